@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid
+from . import decontaminate, jaccard, langid, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard_join": jaccard.op1,
         "op4_benchmark_decontamination": decontaminate.op4,
         "op6_language_id": langid.op6,
+        "op9_toxicity": toxicity.op9,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_decontamination": decontaminate.OP4_SQL}
+    return {
+        "op1_ngram_jaccard_join": jaccard.OP1_SQL,
+        "op4_benchmark_decontamination": decontaminate.OP4_SQL,
+    }

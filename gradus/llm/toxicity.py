@@ -18,7 +18,7 @@ BUCKET_BITS = 20
 #: Prefixes of words, in bytes, that are features beside the whole words; a feature's least number of documents.
 PREFIXES = (4, 5, 6, 7, 8)
 LEAST_DOCUMENTS = 4
-ROUNDS = 250
+ROUNDS = 400
 
 _WORD = tk.byte_class([(0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
 _STOP = np.zeros(256, bool)
@@ -99,14 +99,14 @@ def _train(texts: list[str], labels: np.ndarray, weight: np.ndarray) -> Model:
     y, share = labels[:rows], weight[:rows] / weight[:rows].sum()
     for step in range(1, ROUNDS + 1):
         z = w[-1] + np.bincount(s, w[f], minlength=sentences)
-        p = 1 / (1 + np.exp(-z))
+        p = 1 / (1 + np.exp(-np.maximum(z, -500)))
         toxic = np.clip(1 - np.exp(-np.bincount(doc, np.logaddexp(0, z), minlength=rows)), 1e-9, 1)
         pull = np.where(y == 1, -(1 - toxic) / toxic, 1.0) * share
         g = pull[doc] * p
         grad = np.append(np.bincount(f, g[s], minlength=len(kept)) + 1e-5 * w[:-1], g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         w -= 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-        w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - 0.002, 0)
+        w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - 0.0003, 0)
     weights = np.zeros(size)
     weights[kept] = w[:-1]
     return Model(weights, float(w[-1]))
@@ -163,7 +163,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", locate: float | Non
                 scores.append(p)
                 if locate is not None:
                     own = [[] for _ in range(c.last - c.first)]
-                    chance = 1 / (1 + np.exp(-z))
+                    chance = 1 / (1 + np.exp(-np.maximum(z, -500)))
                     for i in np.flatnonzero(chance >= locate).tolist():
                         a, b, d = int(bags.begin[i]), int(bags.end[i]), int(bags.doc[i])
                         own[d].append({"start": a - int(c.offsets[d]), "end": b - int(c.offsets[d]), "score": float(chance[i]), "sentence": c.data[a:b].tobytes().decode("utf-8", "replace")})
