@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, langid, toxicity
+from . import decontaminate, jaccard, langid, licences, pii, toxicity, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": jaccard.op1,
+        "op2_pii_surrogates": pii.op2,
+        "op3_licence_scan": licences.op3,
         "op4_benchmark_decontamination": decontaminate.op4,
         "op6_language_id": langid.op6,
+        "op7_embedding_near_dedup": vectors.op7,
         "op9_toxicity": toxicity.op9,
     }
 
@@ -22,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": jaccard.OP1_SQL,
         "op4_benchmark_decontamination": decontaminate.OP4_SQL,
+        "op7_embedding_near_dedup": vectors.OP7_SQL,
     }
