@@ -14,10 +14,11 @@ Comparison.  The bits in which two bitmap signatures differ are at most the
 elements in which the sets differ, which bounds the overlap from above; pairs
 that pass are verified by intersecting sorted arrays.
 
-Groups of any size.  In two rounds every tile names a hub and its members are
-compared with it alone, which is linear and links most copies; tiles that then
-still hold unlinked classes are compared in full, cut into blocks of rows that
-are paired by block, so no task holds more than two blocks of a tile.
+Groups of any size.  In two rounds every tile names a hub, and each class is
+compared with one hub alone, which is linear and links most copies; the classes
+of tiles that then still hold unlinked ones are compared in full, cut into
+blocks of rows that are paired by block, so no task holds more than two blocks
+of a tile, and only pairs that signatures leave open go out of it.
 """
 
 from __future__ import annotations
@@ -34,10 +35,12 @@ from pyspark.sql import types as T
 from . import textkit as tk
 from .common import Workspace, components
 
-#: Upper ends of bands grow by this; rows of a tile that are compared with each other at once; rows for a verified hub.
+#: Upper ends of bands grow by this; rows of a tile that are compared with each other at once; groups, in
+#: 16ths, that a hub's pairs are dealt to; bits of a signature; rounds of comparing with hubs alone.
 BAND_GROWTH = 1.25
 BLOCK = 512
 MEMBERS = 64
+MAX_BITS = 1 << 14
 HUB_ROUNDS = 2
 
 
@@ -91,8 +94,8 @@ def _class(own: np.ndarray) -> int:
 
 
 def _bitmap(own: np.ndarray) -> bytes:
-    """About one bit for each element, at least 64."""
-    bits = 1 << max(6, int(len(own) - 1).bit_length())
+    """Eight to sixteen bits for each element, 64 at least and MAX_BITS at most."""
+    bits = min(MAX_BITS, 1 << max(6, int(len(own) - 1).bit_length() + 3))
     marks = np.zeros(bits, np.uint8)
     marks[(tk.mix(own) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)] = 1
     return np.packbits(marks).tobytes()
@@ -267,12 +270,25 @@ def _blocks(entries: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     dealt = rows.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
 
     def pairs(group):
+        """Vectorised over the rows of a block: a row's signature against those of all rows after it."""
+        width = min(len(r[7]) for r in group)
+        bits = np.stack([_fold(r[7], width) for r in group])
+        bits = np.ascontiguousarray(bits).view(np.uint64)
+        own, cls, root, n = (np.array([r[i] for r in group]) for i in (3, 4, 5, 6))
+        within = group[0][1] == group[0][2]
         out = []
-        for k, (_, _, _, own_k, cls_k, root_k, n_k, bits_k) in enumerate(group):
-            for _, i, j, own_m, cls_m, root_m, n_m, bits_m in group[:k]:
-                # A pair of one block is compared where that block meets itself.
-                if root_k != root_m and (own_k != own_m or i == j) and 100 * min(n_k, n_m) >= percent * max(n_k, n_m) and _may_link(bits_k, bits_m, n_k, n_m, percent):
-                    out.append((max(cls_k, cls_m), min(cls_k, cls_m)))
+        for k in range(len(group) - 1):
+            rest = slice(k + 1, None)
+            near = (root[rest] != root[k]) & (100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k]))
+            if not within:  # a pair of one block is compared where that block meets itself
+                near &= own[rest] != own[k]
+            at = np.flatnonzero(near) + k + 1
+            if not len(at):
+                continue
+            differ = np.bitwise_count(bits[at] ^ bits[k]).sum(axis=1, dtype=np.int64)
+            overlap = np.minimum((n[at] + n[k] - differ) // 2, np.minimum(n[at], n[k]))
+            for m in at[100 * overlap >= percent * (n[at] + n[k] - overlap)].tolist():
+                out.append((int(max(cls[k], cls[m])), int(min(cls[k], cls[m]))))
         return out
 
     def run(batches):
@@ -326,11 +342,13 @@ def join_components(docs: DataFrame, size: int = 3, percent: int = 90, text: str
         if bitmaps is None:
             bitmaps = work.save(_bitmaps(docs, size, text).join(entries.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "bitmaps")
         if step < HUB_ROUNDS:
-            # At first the class with the least hash is the hub of most tiles that copies share; later each tile has its own.
-            rank = F.xxhash64("cls") if step == 0 else F.xxhash64("tile", "cls")
-            hubs = left.groupBy("tile").agg(F.min_by(F.struct("cls", "n", "root"), rank).alias("h")).select("tile", "h.*").toDF("tile", "hub", "n_hub", "hub_root")
-            near = (F.col("cls") != F.col("hub")) & (F.col("root") != F.col("hub_root")) & (100 * F.least("n", "n_hub") >= percent * F.greatest("n", "n_hub"))
-            pairs = left.join(hubs, "tile").filter(near).select(F.col("cls").alias("u"), F.col("hub").alias("v")).distinct()
+            # The class that shares the most tiles is what others are copies of.  Each class takes the hub that it meets most.
+            degree = left.groupBy("cls").agg(F.count("*").alias("degree"))
+            known = left.join(degree, "cls")
+            hubs = known.groupBy("tile").agg(F.max_by(F.struct("cls", "n", "root"), F.struct("degree", F.xxhash64(F.lit(step), "cls"))).alias("h")).select("tile", "h.*").toDF("tile", "hub", "n_hub", "hub_root")
+            near = (F.col("root") != F.col("hub_root")) & (100 * F.least("n", "n_hub") >= percent * F.greatest("n", "n_hub"))
+            met_by = left.join(hubs, "tile").filter(near).groupBy("cls", "hub").agg(F.count("*").alias("shared"))
+            pairs = met_by.groupBy("cls").agg(F.max_by("hub", F.struct("shared", "hub")).alias("v")).select(F.col("cls").alias("u"), "v")
             pairs = work.save(_screened(pairs, bitmaps, percent), f"pairs{step}")
         else:
             pairs = work.save(_blocks(left, bitmaps, percent), f"pairs{step}")
@@ -340,9 +358,8 @@ def join_components(docs: DataFrame, size: int = 3, percent: int = 90, text: str
         roots = components(links, work, f"cc{step}_")
         if step == HUB_ROUNDS:
             break
-        # What a tile's hub was compared with is settled; other classes of the tile are left if they aren't linked yet.
-        rest = left.drop("root").join(hubs.select("tile", "hub"), "tile").filter("cls <> hub").drop("hub") 
-        rest = rest.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        # A tile stays open as long as its classes are not all linked.
+        rest = left.drop("root").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         rest = work.save(rest, f"rest{step}")
         open_ = rest.groupBy("tile").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("tile")
         left = work.save(rest.join(open_, "tile").select("tile", "cls", "n", "root"), f"left{step}")
