@@ -13,7 +13,7 @@ from .common import map_rows
 from .langid import held_out
 
 #: Rows of each label that the model is fitted on (a hash of the id chooses them), and weight buckets.
-FIT_ROWS = {1: 3000, 0: 5000}
+FIT_ROWS = {1: 2500, 0: 4000}
 BUCKET_BITS = 20
 #: Prefixes of words, in bytes, that are features beside the whole words; a feature's least number of documents.
 PREFIXES = (4, 5, 6, 7, 8)
@@ -73,30 +73,32 @@ class Model:
 
 def _train(texts: list[str], labels: np.ndarray, weight: np.ndarray) -> Model:
     """Adam on the noisy-or likelihood over screened features, with a soft threshold towards no weight."""
-    feature, sentence, doc = [], [], []
-    rows = sentences = 0
-    for c in tk.chunks(pa.array(texts, pa.large_string())):
+    column, size = pa.array(texts, pa.large_string()), 1 << BUCKET_BITS
+    yes, no = np.zeros(size, np.int32), np.zeros(size, np.int32)
+    rows = len(texts)
+    for c in tk.chunks(column):  # documents with each feature
         bags = Bags(c)
-        feature.append(bags.feature)
-        sentence.append(bags.sentence + sentences)
-        doc.append(bags.doc + c.first)
-        sentences += bags.count
-        rows = c.last
-    feature, sentence, doc = np.concatenate(feature), np.concatenate(sentence), np.concatenate(doc)
-    size = 1 << BUCKET_BITS
-    pairs = np.unique(doc[sentence] * size + feature)
-    own = labels[pairs // size] == 1
-    yes, no = np.bincount(pairs[own] % size, minlength=size), np.bincount(pairs[~own] % size, minlength=size)
+        pairs = np.unique(bags.doc[bags.sentence] * size + bags.feature)
+        own = labels[c.first + pairs // size] == 1
+        yes += np.bincount(pairs[own] % size, minlength=size).astype(np.int32)
+        no += np.bincount(pairs[~own] % size, minlength=size).astype(np.int32)
     n_yes, n_no = max(1, int((labels == 1).sum())), max(1, int((labels == 0).sum()))
     odds = np.log((yes + 0.5) / (n_yes + 1)) - np.log((no + 0.5) / (n_no + 1))
     kept = np.flatnonzero((yes + no >= LEAST_DOCUMENTS) & (np.abs(odds) > 1))
-    index = np.full(size, -1)
+    index = np.full(size, -1, np.int32)
     index[kept] = np.arange(len(kept))
-    use = index[feature] >= 0
-    f, s = index[feature[use]], sentence[use]
+    f, s, doc, sentences = [], [], [], 0
+    for c in tk.chunks(column):
+        bags = Bags(c)
+        use = index[bags.feature] >= 0
+        f.append(index[bags.feature[use]])
+        s.append((bags.sentence[use] + sentences).astype(np.int32))
+        doc.append((bags.doc + c.first).astype(np.int32))
+        sentences += bags.count
+    f, s, doc = np.concatenate(f), np.concatenate(s), np.concatenate(doc)
     w = np.append(np.zeros(len(kept)), -5.0)
     m, v = np.zeros_like(w), np.zeros_like(w)
-    y, share = labels[:rows], weight[:rows] / weight[:rows].sum()
+    y, share = labels, weight / weight.sum()
     for step in range(1, ROUNDS + 1):
         z = w[-1] + np.bincount(s, w[f], minlength=sentences)
         p = 1 / (1 + np.exp(-np.maximum(z, -500)))
