@@ -167,8 +167,8 @@ def classes(docs: DataFrame, size: int, text: str, key: str) -> DataFrame:
     return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, schema)
 
 
-def _tiles(docs: DataFrame, size: int, percent: int, text: str) -> DataFrame:
-    """(tile, cls, n) of every class that can link; classes that a batch repeats are written once."""
+def _tiles(docs: DataFrame, size: int, percent: int, text: str, turn: int = 0, turns: int = 1) -> DataFrame:
+    """(tile, cls, n) of every class that can link, of tiles of one turn; classes that a batch repeats are written once."""
 
     def run(batches):
         for batch in batches:
@@ -182,6 +182,8 @@ def _tiles(docs: DataFrame, size: int, percent: int, text: str) -> DataFrame:
                     continue
                 seen.add(c)
                 keys = _segments(own, percent)
+                if turns > 1:
+                    keys = keys[keys % np.uint64(turns) == turn]
                 tiles.append(keys)
                 cls.append(np.full(len(keys), c, np.int64))
                 ns.append(np.full(len(keys), n, np.int32))
@@ -312,7 +314,7 @@ def _blocks(entries: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
-def join_components(docs: DataFrame, size: int = 3, percent: int = 90, text: str = "text", key: str = "doc_id") -> DataFrame:
+def join_components(docs: DataFrame, size: int = 3, percent: int = 90, text: str = "text", key: str = "doc_id", turns: int | None = None) -> DataFrame:
     """(key, n_shingles, component_id) of every row of docs.
 
     Words are maximal runs without ASCII white space, with A-Z lower-cased; a
@@ -324,15 +326,25 @@ def join_components(docs: DataFrame, size: int = 3, percent: int = 90, text: str
     the component of the rows with its set; a set that only such rows have
     links with nothing.  Other columns of docs are not read.  No rows give no
     rows.
+
+    Lower thresholds need more segments.  So that shuffle files stay a fraction
+    of the input, tiles are then made in ``turns`` (a scan for each), of which
+    each leaves only the tiles in which classes meet.
     """
+    turns = turns or max(1, -(-(100 - percent) // 8) - 1)
     spark = docs.sparkSession
     work = Workspace(spark, "jaccard")
     rows = work.save(classes(docs, size, text, key), "classes")
     # The text of one row stands for a class.
     owners = rows.filter(F.col("n_shingles") > 0).groupBy("cls").agg(F.min(key).alias("rep"))
-    tiles = _tiles(docs, size, percent, text)
-    met = tiles.groupBy("tile").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a <> b").select("tile")
-    entries = work.save(tiles.join(met, "tile").select("tile", "cls", "n").distinct(), "entries")
+    entries = None
+    for turn in range(turns):
+        tiles = _tiles(docs, size, percent, text, turn, turns)
+        met = tiles.groupBy("tile").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a <> b").select("tile")
+        part = work.save(tiles.join(met, "tile").select("tile", "cls", "n").distinct(), f"entries{turn}")
+        entries = part if entries is None else entries.unionAll(part)
+        if turns > 1:
+            work.release()
     bitmaps = None
     links, made = None, []
     left = entries.withColumn("root", F.col("cls"))

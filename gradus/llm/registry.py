@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, langid, licences, pii, toxicity, vectors
+from . import decontaminate, jaccard, langid, licences, mixing, passages, pii, toxicity, vectors, wrappers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,9 +15,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pii_surrogates": pii.op2,
         "op3_licence_scan": licences.op3,
         "op4_benchmark_decontamination": decontaminate.op4,
+        "op5_source_mixing": mixing.op5,
         "op6_language_id": langid.op6,
         "op7_embedding_near_dedup": vectors.op7,
+        "op8_substring_dedup": passages.op8,
         "op9_toxicity": toxicity.op9,
+        "op10_html_extraction": wrappers.op10,
     }
 
 
@@ -25,5 +28,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": jaccard.OP1_SQL,
         "op4_benchmark_decontamination": decontaminate.OP4_SQL,
+        "op5_source_mixing": mixing.OP5_SQL,
         "op7_embedding_near_dedup": vectors.OP7_SQL,
     }
