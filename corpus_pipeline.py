@@ -3,10 +3,71 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from gradus.llm import decontaminate, jaccard, langid, mixing, pii
+from gradus.llm.common import Workspace
+from gradus.session import on_workers
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near duplicates share at least 80 % of their five-word shingles.
+SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
+SURROGATE_KEY = "corpus-pipeline"
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; those without letters, and those far from every language, go."""
+    on_workers(spark)
+    model = langid.fit(docs)
+    return langid.identify(docs, model).filter("accepted").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the least id; rows that repeat an id are one."""
+    on_workers(spark)
+    found = jaccard.join_components(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
+    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that benchmark items don't contaminate."""
+    on_workers(spark)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.decontaminate(docs, benchmark).filter("not contaminated").select(*COLUMNS)
+
+
+def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with surrogates for personal data, and n_chars of the new text."""
+    on_workers(spark)
+    return pii.replace(docs, SURROGATE_KEY).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed corpus: a row for each copy, with its epoch and its position in it."""
+    on_workers(spark)
+    return mixing.realise(mixing.mix(docs)).select(*COLUMNS, "n_tokens", "weight", "copies", "epoch", "position")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", decontamination),
+    ("pii_surrogates", surrogates),
+    ("source_mixing", source_mixing),
+]
+
+#: Language identification is learnt, which SQL can't express; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The last stage's rows over all of ``documents``; each stage is written to the shared folder and read again."""
+    work = Workspace(spark, "pipeline")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
+        docs = work.save(stage(spark, docs, sf_dir), name)
+        if before:
+            work.drop(before)
+        before = name
+    return docs
