@@ -155,7 +155,7 @@ def numbered_items(spark: SparkSession, path: str, question: str = "Did ") -> Da
 
     A file is one document and is read whole.
     """
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     parts = F.regexp_extract_all("value", F.lit(r"(?ms)^(\d+)\.[ \t]*\r?\n(.*?)(?=^\d+\.[ \t]*\r?$|\z)"), F.lit(0))
     item = whole.select(F.explode(parts).alias("p")).select(
         F.regexp_extract("p", r"^(\d+)\.", 1).cast("int").alias("item"), F.trim(F.regexp_replace(F.regexp_replace("p", r"^\d+\.\s*", ""), r"\s+", " ")).alias("body")
