@@ -142,7 +142,8 @@ def rendered(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], dig
     def cell(f: T.StructField) -> Column:
         if isinstance(f.dataType, T.DoubleType | T.FloatType):
             return fixed(f.name, digits)
-        return F.coalesce(F.when(F.col(f.name), "True").otherwise("False") if isinstance(f.dataType, T.BooleanType) else F.col(f.name).cast("string"), F.lit(""))
+        flag = F.when(F.col(f.name), "True").when(F.col(f.name).isNotNull(), "False")
+        return F.coalesce(flag if isinstance(f.dataType, T.BooleanType) else F.col(f.name).cast("string"), F.lit(""))
 
     # Report tables hold a row for each cell of a design; they are made for people to read.
     rows = df.orderBy(*order_by).select(*[cell(df.schema[c]).alias(c) for c in columns]).collect()
