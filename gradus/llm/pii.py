@@ -136,6 +136,9 @@ def find(text: str, numbers: bool = True) -> list[tuple[int, int, str, str]]:
     if not _GENDER.keys().isdisjoint(text.replace("(", " ").replace('"', " ").split()):
         for m in _NAME.finditer(text):
             _names(m.start(1), m[0], add)
+    for name in {(kind, entity) for _, _, kind, entity in hits if kind.startswith("family_")}:  # later mentions without title or given name
+        for m in re.finditer(rf"(?<!\w){re.escape(name[1])}(?!\w)", text):
+            add(m.start(), m.end(), *name)
     return sorted(hits)
 
 
