@@ -165,6 +165,50 @@ def numbered_items(spark: SparkSession, path: str, question: str = "Did ") -> Da
     return item.select("item", F.trim(F.when(at > 0, F.substr("body", F.lit(1), at - 1)).otherwise(F.col("body"))).alias("scenario"), F.when(at > 0, F.trim(F.substr("body", at))).alias("question"))
 
 
+def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """S-15: only the columns that are asked for reach the scan."""
+    df = spark.read.parquet(path)
+    return df.select(*columns) if columns else df
+
+
+def write_parquet(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
+    """S-16: a table, in a folder for each value of ``by``, each written by few tasks."""
+    (df.repartition(*by) if by else df).write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def write_probes(df: DataFrame, path: str, about: dict) -> None:
+    """S-18: weights (construct, kind, layer, coef, intercept, mean, sd) with a JSON description beside them."""
+    df.write.mode("overwrite").partitionBy("construct").parquet(path)
+    df.sparkSession.createDataFrame([(json.dumps(about, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path.rstrip("/") + ".about")
+
+
+def read_probes(spark: SparkSession, path: str, construct: str, layer: int) -> tuple[DataFrame, dict]:
+    """S-18: one layer of one construct; both are pushed to the scan."""
+    about = json.loads(spark.read.text(path.rstrip("/") + ".about").first()[0])
+    return spark.read.parquet(path).filter((F.col("construct") == construct) & (F.col("layer") == layer)), about
+
+
+def write_xlsx(sheets: dict[str, DataFrame], path: str) -> None:
+    """S-19: report tables as sheets of a workbook, where a writer for it is installed."""
+    import pandas as pd
+
+    with pd.ExcelWriter(path) as book:
+        for name, df in sheets.items():
+            df.toPandas().to_excel(book, sheet_name=name, index=False)
+
+
+def reshaped(df: DataFrame, renamed: dict[str, str], order: Sequence[str]) -> DataFrame:
+    """P-08: columns renamed, then those of ``order``, with nulls for those that are missing."""
+    out = df.withColumnsRenamed(renamed)
+    return out.select(*[F.col(c) if c in out.columns else F.lit(None).cast("string").alias(c) for c in order])
+
+
+def ordered(df: DataFrame, by: Sequence[str], tie: Sequence[str] = (), descending: bool = False) -> DataFrame:
+    """X-09, X-10: a total order, by code points for text, with a key that breaks ties."""
+    first = [F.col(c).desc() if descending else F.col(c).asc() for c in by]
+    return df.orderBy(*first, *tie)
+
+
 def read_config(path: str) -> dict:
     """S-25: YAML where a reader is installed, JSON otherwise; on the driver."""
     text = Path(path).read_text()

@@ -151,6 +151,17 @@ def test_files(spark, tmp_path):
     assert files.rendered(df, ["k", "x", "f"], ["k"]) == "k,x,f\na,,\nb,0.500000,True\n"
 
 
+def test_tables_and_probes(spark, tmp_path):
+    df = spark.createDataFrame([("c", "ridge", 1, [0.5]), ("c", "ridge", 2, [0.7]), ("d", "ridge", 1, [0.1])], "construct string, kind string, layer int, coef array<double>")
+    files.write_probes(df, f"{tmp_path}/p", {"alpha": 1})
+    got, about = files.read_probes(spark, f"{tmp_path}/p", "c", 2)
+    assert [r.coef for r in got.collect()] == [[0.7]] and about == {"alpha": 1}
+    files.write_parquet(df, f"{tmp_path}/q", ["construct"])
+    assert files.read_parquet(spark, f"{tmp_path}/q", ["layer"]).columns == ["layer"]
+    assert files.reshaped(df, {"kind": "k"}, ["k", "none", "layer"]).columns == ["k", "none", "layer"]
+    assert [r.layer for r in files.ordered(df, ["layer"], ["construct"], True).collect()] == [2, 1, 1]
+
+
 def test_rewrite_keeps_a_table(spark, tmp_path):
     path = f"{tmp_path}/t"
     spark.range(3).write.parquet(path)

@@ -120,6 +120,18 @@ def test_likelihood_models(spark):
     assert abs(b.estimate - 1) < 0.25 and b.converged
 
 
+def test_sampled_ordinal_model(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(12):
+        u = rng.normal(0, 0.7)
+        for _ in range(60):
+            x = float(rng.integers(0, 2)) - 0.5
+            rows.append((f"g{g}", x, float(np.clip(np.rint(2 + 1.0 * x + u + rng.logistic(0, 1)), 0, 4))))
+    got = stats.bayes_ordinal_table(spark.createDataFrame(rows, "g string, x double, y double"), "y ~ x", "x", "g", draws=600, warmup=400).first()
+    assert abs(got.mean - 1) < 0.5 and got.low < got.mean < got.high and got.p_positive > 0.95 and 0.2 < got.group_sd < 1.6
+
+
 def test_simex_undoes_attenuation(spark):
     rng = np.random.default_rng(4)
     rows = []
