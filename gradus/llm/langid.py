@@ -19,6 +19,8 @@ ORDERS = (2, 3, 4)
 CENTROIDS = 3
 #: Rows for each language from which centroids are clustered (document frequencies use all rows).
 FIT_ROWS = 400
+#: Texts with fewer different n-grams are too short for their distance to tell, and are not rejected by it.
+LEAST_GRAMS = 300
 #: More values than this in the label column are not languages, and the centroids are broadcast.
 MAX_LANGUAGES = 1000
 UNKNOWN = "und"
@@ -78,7 +80,9 @@ class Model:
         names, scores, accepted = [], [], []
         values = column.to_pylist()
         for c in _chunks(column):
-            like = _vectors(_counts(c), self.idf) @ self.centroids.T
+            counts = _counts(c)
+            telling = (counts > 0).sum(axis=1) >= LEAST_GRAMS
+            like = _vectors(counts, self.idf) @ self.centroids.T
             best = like.argmax(axis=1)
             for k in range(c.last - c.first):
                 value = values[c.first + k]
@@ -91,7 +95,7 @@ class Model:
                 cosine = float(min(1.0, max(0.0, like[k, best[k]])))
                 names.append(self.languages[own])
                 scores.append(cosine)
-                accepted.append(bool(cosine >= self.floor[own]))
+                accepted.append(bool(not telling[k] or cosine >= self.floor[own]) and self.languages[own] != UNKNOWN)
         return names, scores, accepted
 
 
@@ -157,14 +161,16 @@ def fit(train: DataFrame, text: str = "text", label: str = "lang", key: str = "d
         column = pa.array([r.t for r in sample if r.lang == language and _LETTER.search(r.t)], pa.large_string())
         blocks = [_vectors(_counts(c), idf) for c in _chunks(column)]
         x = np.concatenate(blocks) if blocks else np.zeros((0, DIMENSIONS), np.float32)
+        enough = (x > 0).sum(axis=1) >= LEAST_GRAMS
         if not len(x):
             floor.append(0.0)
             continue
         found = _cluster(x, centroids)
         centres.append(found)
         owner += [own] * len(found)
-        # Distance-based rejection: far below what training texts of any length show.
-        floor.append(0.5 * float(np.quantile((x @ found.T).max(axis=1), 0.002)))
+        # Distance-based rejection: far below what training texts show.
+        near = (x @ found.T).max(axis=1)[enough]
+        floor.append(0.5 * float(np.quantile(near, 0.002)) if len(near) else 0.0)
     if not centres:
         return _Nothing(idf)
     return Model(languages, idf, np.concatenate(centres), np.array(owner), np.array(floor))
@@ -181,8 +187,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred, score (cosine to the nearest centroid) and accepted.
 
     Null texts and texts without a letter are ``und`` with score 0 and are not
-    accepted; a text whose best cosine is below its language's floor keeps the
-    nearest language and is not accepted.  Ties go to the first language by
+    accepted; a text of at least LEAST_GRAMS different n-grams whose best cosine
+    is below its language's floor keeps the nearest language and is not
+    accepted.  Ties go to the first language by
     name.  Rows are neither moved nor dropped; clashing columns are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

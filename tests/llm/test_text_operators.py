@@ -159,6 +159,8 @@ def test_languages_of_odd_rows(spark, odd, documents):
     by = {r.doc_id: (r.lang_pred, r.score) for r in rows}
     assert len(rows) == odd.count() and all(by[i] == ("und", 0.0) for i in (2, 3, 4, 8)) and by[9][0] in {"en", "de", "fr", "es"}
     assert not any(r.accepted for r in rows if r.lang_pred == "und")
+    far = spark.createDataFrame([(1, "qxzj vkqw xzzq jjvx " * 3 + " ".join(f"{a}{b}qz{b}{a}xk" for a in "qxzjkvwyp" for b in "xqjzkwvpy")), (2, "This."), (3, "the and of this is that with for from have")], "doc_id long, text string")
+    assert {r.doc_id: r.accepted for r in langid.identify(far, model).collect()} == {1: False, 2: True, 3: True}
     nothing = langid.identify(odd, langid.fit(odd)).collect()
     assert {r.lang_pred for r in nothing} == {"und"} and not any(r.accepted for r in nothing)
 
