@@ -491,7 +491,15 @@ def logistic_table(df: DataFrame, formula: str, term: str, cell: Sequence[str] =
     """T-17."""
 
     def fit(x, y, n, names):
-        b, cov, ok = _newton(lambda w: float((n * (np.logaddexp(0, x @ w) - y * (x @ w))).sum()), np.zeros(x.shape[1]))
+        b, ok = np.zeros(x.shape[1]), False
+        for _ in range(50):  # reweighted least squares
+            p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+            cov = np.linalg.pinv(x.T @ (x * (n * p * (1 - p))[:, None]))
+            step = cov @ (x.T @ (n * (y - p)))
+            b = b + step
+            if np.abs(step).max() < 1e-10:
+                ok = True
+                break
         at = names.index(term)
         s = math.sqrt(max(cov[at, at], 0))
         return {"estimate": float(b[at]), "se": s, "p_value": dist.two_sided(b[at] / s) if s > 0 else 1.0, "converged": ok}

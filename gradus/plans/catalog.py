@@ -579,10 +579,15 @@ def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return r6(stats.bootstrap_table(table(spark, d, "lineitem"), "l_quantity ~ l_discount", "l_discount", ["l_returnflag"], "l_suppkey", 7, "price", 199))
 
 
-@query()
+@query(
+    "WITH r AS (SELECT l_returnflag AS f, l_suppkey AS g, l_quantity - avg(l_quantity) OVER (PARTITION BY l_returnflag, l_suppkey) AS y, l_discount - avg(l_discount) OVER (PARTITION BY l_returnflag, l_suppkey) AS x FROM lineitem), "
+    "t AS (SELECT f, count(*) AS n, count(DISTINCT g) AS k, sum(x * x) AS sxx, sum(x * y) / sum(x * x) AS b FROM r GROUP BY 1), s AS (SELECT f, g, sum(x * (y - b * x)) AS s FROM r JOIN t USING (f) GROUP BY 1, 2) "
+    "SELECT f AS l_returnflag, round(any_value(b), 6) AS estimate, round(sqrt(any_value(k / (k - 1) * (n - 1) / (n - 1 - k)) * sum(s * s)) / any_value(sxx), 6) AS se, any_value(n) AS n_obs, any_value(k) AS n_groups FROM s JOIN t USING (f) GROUP BY 1"
+)
 def absorbed_effects(spark: SparkSession, d: str) -> DataFrame:
-    """T-04, T-16."""
-    return r6(stats.ols_table(table(spark, d, "lineitem"), "l_quantity ~ l_discount + C(l_suppkey)", "l_discount", ["l_returnflag"], "l_suppkey"))
+    """T-04, T-16: a slope within suppliers."""
+    out = stats.ols_table(table(spark, d, "lineitem"), "l_quantity ~ l_discount + C(l_suppkey)", "l_discount", ["l_returnflag"], "l_suppkey")
+    return r6(out.select("l_returnflag", "estimate", "se", "n_obs", "n_groups"))
 
 
 @query()
@@ -603,11 +608,13 @@ def random_slopes(spark: SparkSession, d: str) -> DataFrame:
     return r6(stats.slope_table(table(spark, d, "lineitem"), "l_quantity ~ l_discount", "l_discount", ["l_returnflag"], "l_suppkey"))
 
 
-@query()
+@query(
+    "SELECT round(ln(a / b) - ln(c / d), 6) AS estimate, round(sqrt(1 / a + 1 / b + 1 / c + 1 / d), 6) AS se FROM (SELECT CAST(count(*) FILTER (late AND high) AS DOUBLE) AS a, CAST(count(*) FILTER (NOT late AND high) AS DOUBLE) AS b, CAST(count(*) FILTER (late AND NOT high) AS DOUBLE) AS c, CAST(count(*) FILTER (NOT late AND NOT high) AS DOUBLE) AS d FROM (SELECT o_orderstatus = 'F' AS late, o_orderpriority LIKE '1%' AS high FROM orders))"
+)
 def logistic_effect(spark: SparkSession, d: str) -> DataFrame:
-    """T-17."""
+    """T-17: one binary predictor, for which the estimate is a log odds ratio."""
     x = table(spark, d, "orders").withColumn("late", (F.col("o_orderstatus") == "F").cast("int")).withColumn("high", F.col("o_orderpriority").startswith("1").cast("int"))
-    return r6(stats.logistic_table(x, "late ~ high", "high"))
+    return r6(stats.logistic_table(x, "late ~ high", "high").select("estimate", "se"))
 
 
 @query()
