@@ -347,3 +347,42 @@ def test_one_passage_in_many_documents(spark):
     df = spark.createDataFrame([(k, " ".join(random_words(rng, 60) + p)) for k in range(60)], "doc_id long, text string")
     rows = passages.repeated_passages(df).collect()
     assert {r.doc_id for r in rows} | {r.match_doc_id for r in rows} == set(range(60)) and len(rows) <= 2 * 60
+
+
+def test_passages_against_all_exact_runs(spark):
+    """Every document that shares 50 words in a row with another one occurs, and what occurs really matches."""
+    folder = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    said = {i: spoken(t) for i, t in texts.items()}
+    holders = {}
+    for i, w in said.items():
+        for k in range(len(w) - 49):
+            holders.setdefault(tuple(w[k : k + 50]), set()).add(i)
+    truth = set().union(*(v for v in holders.values() if len(v) > 1))
+    rows = registry.queries()["op8_substring_dedup"](spark, folder).collect()
+    assert truth <= {r.doc_id for r in rows} | {r.match_doc_id for r in rows}
+    for r in rows:
+        a, b = said[r.doc_id][r.start : r.end], said[r.match_doc_id][r.match_start : r.match_end]
+        assert len(a) >= 50 and len(b) >= 50 and r.n_matched >= 0.8 * max(len(a), len(b))
+        common = [[0] * (len(b) + 1) for _ in range(2)]
+        for x in a if len(a) * len(b) < 10**5 else ():
+            common = [common[1], [0] * (len(b) + 1)]
+            for j, y in enumerate(b):
+                common[1][j + 1] = common[0][j] + 1 if x == y else max(common[0][j + 1], common[1][j])
+        assert len(a) * len(b) >= 10**5 or r.n_matched <= common[1][len(b)]
+
+
+def test_surrogates_leave_nothing_private(spark, documents):
+    found = {r.doc_id: (r.text, r.n_entities) for r in registry.queries()["op2_pii_surrogates"](spark, DATA).collect()}
+    patterns = [r"[\w.]+@mail\d\.example\.com", r"\+1 \(\d{3}\) 555-\d{4}", r"\b\d{1,3}(?:\.\d{1,3}){3}\b", r"\b[0-9a-f]{40}\b", r"\b4\d{15}\b"]
+    seen = 0
+    for d in documents.collect():
+        for p in patterns:
+            for private in re.findall(p, d.text):
+                if p.startswith(r"\b4") and not pii._luhn(private):
+                    continue
+                seen += 1
+                assert private not in found[d.doc_id][0]
+        if not any(re.search(p, d.text) for p in patterns) and not found[d.doc_id][1]:
+            assert found[d.doc_id][0] == d.text
+    assert seen > 5
