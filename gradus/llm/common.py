@@ -35,12 +35,14 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.saved: set[str] = set()
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
+        self.saved.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def release(self) -> None:
@@ -54,6 +56,28 @@ class Workspace:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(conf).delete(path, True)
+            self.saved.discard(name)
+
+    def finish(self, out: DataFrame) -> DataFrame:
+        """out, after the tables that it does not read are dropped."""
+        read = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in out.inputFiles() if self.base.rsplit("/", 1)[-1] in f}
+        self.drop(*(self.saved - read))
+        return out
+
+
+#: Keys by which a table is filtered before it is shuffled, at most; they are counted first.
+BROADCAST_KEYS = 500_000
+
+
+def with_keys(df: DataFrame, key: str, ids: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """Rows of df whose key is in ids (one column); unfiltered if there are too many to send to all tasks.
+
+    It only spares later shuffles rows that they would drop.
+    """
+    known = work.save(ids.distinct().toDF("__id"), name)
+    if known.count() > BROADCAST_KEYS:
+        return df
+    return df.join(F.broadcast(known), F.col(key) == F.col("__id"), "left_semi")
 
 
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -166,7 +166,7 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str =
     out = out.withColumn("n_tokens", tokens(F.col(text)))
     copies = F.when(F.col("n_tokens") == 0, F.lit(0)).otherwise(F.coalesce("__epochs", F.lit(0)) + F.coalesce(in_part, F.lit(False)).cast("int"))
     out = out.withColumn("weight", F.coalesce("__weight", F.lit(0.0))).withColumn("copies", copies.cast("long")).withColumn("block", block).withColumn("order_hash", h)
-    return out.drop("__s", "__weight", "__epochs", "__edge", "__end_h", "__end_k")
+    return work.finish(out.drop("__s", "__weight", "__epochs", "__edge", "__end_h", "__end_k"))
 
 
 def realise(mixed: DataFrame, seed: str = "mix", source: str = "source") -> DataFrame:

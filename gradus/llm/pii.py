@@ -324,6 +324,7 @@ def redrawn(docs: DataFrame, keyed: Keyed, work: Workspace, text: str = "text")
         again = drawn.filter("attempt > 0").select("kind", "entity", "attempt")
         rows = again.limit(MAX_REDRAWN + 1).collect()
         if len(rows) <= MAX_REDRAWN:
+            work.drop(*work.saved)
             return {(r.kind, r.entity): r.attempt for r in rows}, keyed
         keyed = _restore(keyed.key, keyed.width + 1)
 

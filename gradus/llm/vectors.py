@@ -249,7 +249,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, key: str = "vec
     out = out.select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "id").alias("component_id"))
     out = out.withColumn("kept", F.col("id") == F.col("component_id"))
     none = read.filter("id is null").select("id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"), F.lit(False).alias("kept"))
-    return out.unionAll(none).withColumnRenamed("id", key)
+    return work.finish(out.unionAll(none).withColumnRenamed("id", key))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
