@@ -10,15 +10,17 @@ tile is a band, a segment and the sum of the hashed elements in it; only
 classes that meet in a tile are compared.  Nothing is missed (segments without
 elements are counted out, see ``_segments``).
 
-Comparison.  The bits in which two bitmap signatures differ are at most the
-elements in which the sets differ, which bounds the overlap from above; pairs
-that pass are verified by intersecting sorted arrays.
+Comparison.  A signature's bit tells whether an odd number of elements falls on
+it, so the bits in which two signatures differ are at most the elements in
+which the sets differ, which bounds the overlap from above; pairs that pass are
+verified by intersecting sorted arrays.
 
 Groups of any size.  In two rounds every tile names a hub, and each class is
 compared with one hub alone, which is linear and links most copies; the classes
 of tiles that then still hold unlinked ones are compared in full, cut into
 blocks of rows that are paired by block, so no task holds more than two blocks
-of a tile, and only pairs that signatures leave open go out of it.
+of a tile.  Of a block's pairs that signatures leave open first only a spanning
+set is verified; then all that are still unlinked.
 """
 
 from __future__ import annotations
@@ -33,14 +35,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .common import Workspace, components
+from .common import Workspace, components, with_keys
 
 #: Upper ends of bands grow by this; rows of a tile that are compared with each other at once; groups, in
-#: 16ths, that a hub's pairs are dealt to; bits of a signature; rounds of comparing with hubs alone.
+#: 16ths, that a hub's pairs are dealt to; bits of a signature; tile rows sent at once; rounds of comparing with hubs alone.
 BAND_GROWTH = 1.25
 BLOCK = 512
 MEMBERS = 64
-MAX_BITS = 1 << 14
+MAX_BITS = 1 << 15
+TILE_ROWS = 1 << 17
 HUB_ROUNDS = 2
 
 
@@ -89,25 +92,24 @@ def _sets(column: pa.Array, size: int):
 
 
 def _class(own: np.ndarray) -> int:
-    """A hash of the set; with its size it names the class."""
+    """A 64-bit hash of the set, which names the class; at 10**9 different sets two share one with a chance of 3 %."""
     return int(tk.mix(tk.mix(own + np.uint64(0x1234567)).sum(keepdims=True, dtype=np.uint64)).view(np.int64)[0]) if len(own) else 0
 
 
-def _bitmap(own: np.ndarray) -> bytes:
-    """Eight to sixteen bits for each element, 64 at least and MAX_BITS at most."""
-    bits = min(MAX_BITS, 1 << max(6, int(len(own) - 1).bit_length() + 3))
-    marks = np.zeros(bits, np.uint8)
-    marks[(tk.mix(own) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)] = 1
-    return np.packbits(marks).tobytes()
+def _bitmap(own: np.ndarray, finer: int) -> bytes:
+    """One to two bits for each element, times 2 ** finer, 64 at least: whether an odd number of elements falls on the bit."""
+    bits = min(MAX_BITS, 1 << max(6, int(len(own) - 1).bit_length() + finer))
+    at = (tk.mix(own) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
 def _fold(x: np.ndarray, width: int) -> np.ndarray:
-    """A bitmap made as if with fewer bits: the leading bits of a hash choose the bit, so neighbours merge."""
-    bits = np.unpackbits(x)
-    return np.packbits(bits.reshape(width * 8, -1).max(axis=1)) if len(x) > width else x
+    """A bitmap as if made with fewer bits: leading bits of a hash choose the bit, so neighbours merge."""
+    return np.packbits(np.unpackbits(x).reshape(width * 8, -1).sum(axis=1).astype(np.uint8) & 1) if len(x) > width else x
 
 
 def _may_link(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, percent: int) -> bool:
+    """Each bit that differs takes an element that one set lacks, so few common elements are left."""
     width = min(len(a), len(b))
     differ = int(np.bitwise_count(_fold(a, width) ^ _fold(b, width)).sum())
     overlap = min((n_a + n_b - differ) // 2, n_a, n_b)
@@ -172,7 +174,11 @@ def _tiles(docs: DataFrame, size: int, percent: int, text: str, turn: int = 0, t
 
     def run(batches):
         for batch in batches:
-            seen, tiles, cls, ns = set(), [], [], []
+            seen, tiles, cls, ns, held = set(), [], [], [], 0
+
+            def flush():
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tiles).view(np.int64)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(ns))], names=["tile", "cls", "n"])
+
             for own in _sets(batch.column(0), size):
                 n = len(own)
                 if not n or _alone(n, percent):
@@ -187,8 +193,12 @@ def _tiles(docs: DataFrame, size: int, percent: int, text: str, turn: int = 0, t
                 tiles.append(keys)
                 cls.append(np.full(len(keys), c, np.int64))
                 ns.append(np.full(len(keys), n, np.int32))
+                held += len(keys)
+                if held >= TILE_ROWS:
+                    yield flush()
+                    tiles, cls, ns, held = [], [], [], 0
             if tiles:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tiles).view(np.int64)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(ns))], names=["tile", "cls", "n"])
+                yield flush()
 
     return docs.select(F.col(text).cast("string")).mapInArrow(run, "tile long, cls long, n int")
 
@@ -199,22 +209,25 @@ def _alone(n: int, percent: int) -> bool:
 
 
 def _bitmaps(docs: DataFrame, size: int, text: str) -> DataFrame:
+    """(cls, n, coarse, bits): signatures that sort out most pairs of a tile, and finer ones for what is left."""
+
     def run(batches):
         for batch in batches:
-            seen, c, n, b = set(), [], [], []
+            seen, c, n, coarse, bits = set(), [], [], [], []
             for own in _sets(batch.column(0), size):
                 x = _class(own)
                 if len(own) and x not in seen:
                     seen.add(x)
                     c.append(x)
                     n.append(len(own))
-                    b.append(_bitmap(own))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(b, pa.binary())], names=["cls", "n", "bits"])
+                    coarse.append(_bitmap(own, 0))
+                    bits.append(_bitmap(own, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(coarse, pa.binary()), pa.array(bits, pa.binary())], names=["cls", "n", "coarse", "bits"])
 
-    return docs.select(F.col(text).cast("string")).mapInArrow(run, "cls long, n int, bits binary")
+    return docs.select(F.col(text).cast("string")).mapInArrow(run, "cls long, n int, coarse binary, bits binary")
 
 
-def _verified(pairs: DataFrame, owners: DataFrame, docs: DataFrame, size: int, percent: int, text: str, key: str) -> DataFrame:
+def _verified(pairs: DataFrame, owners: DataFrame, docs: DataFrame, size: int, percent: int, text: str, key: str, work: Workspace, name: str) -> DataFrame:
     """Pairs (u, v) of classes whose sets link.
 
     A pair goes to its second class; the texts of the classes that occur are
@@ -226,7 +239,8 @@ def _verified(pairs: DataFrame, owners: DataFrame, docs: DataFrame, size: int, p
         spread.select("v", "part").distinct().select(F.col("v").alias("cls"), F.col("v").alias("hub"), "part", F.lit(0).alias("role"))
     )
     holders = wanted.join(owners, "cls").select("rep", "cls", "hub", "part", "role")
-    texts = docs.select(F.col(key).alias("rep"), F.col(text).cast("string").alias("t")).join(holders, "rep").select("hub", "part", "role", "cls", "t")
+    rows = with_keys(docs.select(F.col(key).alias("rep"), F.col(text).cast("string").alias("t")), "rep", holders.select("rep"), work, name)
+    texts = rows.join(holders, "rep").select("hub", "part", "role", "cls", "t")
     dealt = texts.repartition("hub", "part").sortWithinPartitions("hub", "part", "role")
 
     def run(batches):
@@ -262,23 +276,28 @@ def _screened(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
-def _blocks(entries: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of unlinked classes of a tile that bitmaps don't rule out, over pairs of blocks of its rows."""
+def _blocks(entries: DataFrame, bitmaps: DataFrame, percent: int, work: Workspace, what: str) -> DataFrame:
+    """Unlinked classes of a tile that bitmaps don't rule out, over pairs of blocks of its rows.
+
+    ``met``: (tile, cls) of classes that coarse bitmaps leave a partner;
+    ``spanning``: as many pairs (u, v) as would link a block's classes if all
+    were verified, the likeliest first; ``all``: all pairs (u, v).
+    """
     sizes = entries.groupBy("tile").agg(F.count("*").alias("g")).withColumn("parts", F.ceil(F.col("g") / BLOCK).cast("int"))
+    sizes = work.save(sizes, f"sizes_{what}")
     own = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
     rows = entries.join(sizes, "tile").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     rows = rows.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "root")
-    rows = rows.join(bitmaps.select("cls", "n", "bits"), "cls").select("tile", "i", "j", "own", "cls", "root", "n", "bits")
+    rows = rows.join(bitmaps.select("cls", "n", F.col("coarse" if what == "met" else "bits").alias("bits")), "cls").select("tile", "i", "j", "own", "cls", "root", "n", "bits")
     dealt = rows.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
 
     def pairs(group):
         """Vectorised over the rows of a block: a row's signature against those of all rows after it."""
         width = min(len(r[7]) for r in group)
-        bits = np.stack([_fold(r[7], width) for r in group])
-        bits = np.ascontiguousarray(bits).view(np.uint64)
+        bits = np.ascontiguousarray(np.stack([_fold(r[7], width) for r in group])).view(np.uint64)
         own, cls, root, n = (np.array([r[i] for r in group]) for i in (3, 4, 5, 6))
         within = group[0][1] == group[0][2]
-        out = []
+        first, second, spare = [], [], []
         for k in range(len(group) - 1):
             rest = slice(k + 1, None)
             near = (root[rest] != root[k]) & (100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k]))
@@ -289,16 +308,44 @@ def _blocks(entries: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
                 continue
             differ = np.bitwise_count(bits[at] ^ bits[k]).sum(axis=1, dtype=np.int64)
             overlap = np.minimum((n[at] + n[k] - differ) // 2, np.minimum(n[at], n[k]))
-            for m in at[100 * overlap >= percent * (n[at] + n[k] - overlap)].tolist():
-                out.append((int(max(cls[k], cls[m])), int(min(cls[k], cls[m]))))
-        return out
+            over = 100 * overlap - percent * (n[at] + n[k] - overlap)
+            ok = over >= 0
+            first.append(np.full(int(ok.sum()), k))
+            second.append(at[ok])
+            spare.append(over[ok])
+        if not first:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        i, j = np.concatenate(first), np.concatenate(second)
+        if what == "met":
+            hit = np.unique(np.concatenate([i, j]))
+            return np.full(len(hit), group[0][0], np.int64), cls[hit]
+        if what == "spanning":
+            names, code = np.unique(root, return_inverse=True)
+            parent = list(range(len(names)))
+
+            def find(x):
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            keep, left = [], len(names) - 1
+            for e in np.argsort(-np.concatenate(spare), kind="stable").tolist():
+                x, y = find(code[i[e]]), find(code[j[e]])
+                if x != y:
+                    parent[x] = y
+                    keep.append(e)
+                    left -= 1
+                    if not left:
+                        break
+            i, j = i[keep], j[keep]
+        return np.maximum(cls[i], cls[j]), np.minimum(cls[i], cls[j])
 
     def run(batches):
         at, group = None, []
 
         def flush():
-            found = set(pairs(group))
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs(group)], names=["u", "v"])
 
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(8)]
@@ -311,7 +358,8 @@ def _blocks(entries: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
         if len(group) > 1:
             yield flush()
 
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    found = dealt.mapInArrow(run, "u long, v long").distinct()
+    return found.toDF("tile", "cls") if what == "met" else found
 
 
 def join_components(docs: DataFrame, size: int = 3, percent: int = 90, text: str = "text", key: str = "doc_id", turns: int | None = None) -> DataFrame:
@@ -340,41 +388,57 @@ def join_components(docs: DataFrame, size: int = 3, percent: int = 90, text: str
     entries = None
     for turn in range(turns):
         tiles = _tiles(docs, size, percent, text, turn, turns)
-        met = tiles.groupBy("tile").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a <> b").select("tile")
+        # Written, so that both sides of the join are plain shuffles, which the planner may split where a tile has many rows.
+        met = work.save(tiles.groupBy("tile").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a <> b").select("tile"), f"met{turn}")
         part = work.save(tiles.join(met, "tile").select("tile", "cls", "n").distinct(), f"entries{turn}")
         entries = part if entries is None else entries.unionAll(part)
         if turns > 1:
             work.release()
+    # Tiles with the same classes ask for the same comparisons: one of them stays, with their number.
+    sets = entries.groupBy("tile").agg(F.count("*").alias("c"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("s"), F.min("cls").alias("a"), F.max("cls").alias("b"))
+    kept = sets.groupBy("c", "s", "a", "b").agg(F.min("tile").alias("tile"), F.count("*").alias("weight")).select("tile", "weight")
+    entries = work.save(entries.join(kept, "tile").select("tile", "cls", "n", "weight"), "tiles")
+    work.drop(*[f"{name}{turn}" for turn in range(turns) for name in ("entries", "met")])
     bitmaps = None
-    links, made = None, []
+    links = None
     left = entries.withColumn("root", F.col("cls"))
-    for step in range(HUB_ROUNDS + 1):
+    tested = None
+    for step in range(HUB_ROUNDS + 2):
         if left.isEmpty():
             break
         if bitmaps is None:
-            bitmaps = work.save(_bitmaps(docs, size, text).join(entries.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "bitmaps")
+            bitmaps = work.save(_bitmaps(docs, size, text).join(entries.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("coarse").alias("coarse"), F.first("bits").alias("bits")), "bitmaps")
         if step < HUB_ROUNDS:
             # The class that shares the most tiles is what others are copies of.  Each class takes the hub that it meets most.
-            degree = left.groupBy("cls").agg(F.count("*").alias("degree"))
+            degree = left.groupBy("cls").agg(F.sum("weight").alias("degree"))
             known = left.join(degree, "cls")
             hubs = known.groupBy("tile").agg(F.max_by(F.struct("cls", "n", "root"), F.struct("degree", F.xxhash64(F.lit(step), "cls"))).alias("h")).select("tile", "h.*").toDF("tile", "hub", "n_hub", "hub_root")
+            hubs = work.save(hubs, f"hubs{step}")
             near = (F.col("root") != F.col("hub_root")) & (100 * F.least("n", "n_hub") >= percent * F.greatest("n", "n_hub"))
-            met_by = left.join(hubs, "tile").filter(near).groupBy("cls", "hub").agg(F.count("*").alias("shared"))
+            met_by = left.join(hubs, "tile").filter(near).groupBy("cls", "hub").agg(F.sum("weight").alias("shared"))
+            if tested is not None:
+                met_by = met_by.withColumns({"u": F.greatest("cls", "hub"), "v": F.least("cls", "hub")}).join(tested, ["u", "v"], "left_anti")
             pairs = met_by.groupBy("cls").agg(F.max_by("hub", F.struct("shared", "hub")).alias("v")).select(F.col("cls").alias("u"), "v")
             pairs = work.save(_screened(pairs, bitmaps, percent), f"pairs{step}")
         else:
-            pairs = work.save(_blocks(left, bitmaps, percent), f"pairs{step}")
-        found = work.save(_verified(pairs, owners, docs, size, percent, text, key), f"links{step}")
-        made.append(f"pairs{step}")
+            # First what would link the rest, then, of what is still unlinked, all that was not tested.
+            if step == HUB_ROUNDS:
+                left = work.save(left.join(work.save(_blocks(left, bitmaps, percent, work, "met"), "met"), ["tile", "cls"], "left_semi"), "open")
+            met_by = _blocks(left, bitmaps, percent, work, "spanning" if step == HUB_ROUNDS else "all")
+            pairs = work.save(met_by if tested is None else met_by.join(tested, ["u", "v"], "left_anti"), f"pairs{step}")
+        here = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        tested = here if tested is None else tested.unionAll(here)
+        found = work.save(_verified(pairs, owners, docs, size, percent, text, key, work, f"ids{step}"), f"links{step}")
         links = found if links is None else links.unionAll(found)
         roots = components(links, work, f"cc{step}_")
-        if step == HUB_ROUNDS:
+        if step == HUB_ROUNDS + 1:
             break
         # A tile stays open as long as its classes are not all linked.
         rest = left.drop("root").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         rest = work.save(rest, f"rest{step}")
         open_ = rest.groupBy("tile").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("tile")
-        left = work.save(rest.join(open_, "tile").select("tile", "cls", "n", "root"), f"left{step}")
+        open_ = work.save(open_, f"open{step}")
+        left = work.save(rest.join(open_, "tile").select("tile", "cls", "n", "weight", "root"), f"left{step}")
     if links is None:
         named = rows.groupBy("cls", "n_shingles").agg(F.min(key).alias("component_id"))
     else:
@@ -384,7 +448,7 @@ def join_components(docs: DataFrame, size: int = 3, percent: int = 90, text: str
     if links is None:
         named = named.filter("n_shingles > 0").select("cls", "component_id")
     out = rows.join(named, "cls", "left")
-    return out.select(F.col(key), "n_shingles", F.when(F.col("n_shingles") == 0, F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
+    return work.finish(out.select(F.col(key), "n_shingles", F.when(F.col("n_shingles") == 0, F.col(key)).otherwise(F.col("component_id")).alias("component_id")))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

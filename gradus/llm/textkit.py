@@ -92,6 +92,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES, rows: int = 1 << 30) -> I
         j = int(min(n, i + rows, max(i + 1, np.searchsorted(offs, offs[i] + limit, "right") - 1)))
         yield Chunk(i, j, bytes_[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
         i = j
+    pa.default_memory_pool().release_unused()
 
 
 def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray) -> Words:
