@@ -349,6 +349,27 @@ def test_one_passage_in_many_documents(spark):
     assert {r.doc_id for r in rows} | {r.match_doc_id for r in rows} == set(range(60)) and len(rows) <= 2 * 60
 
 
+def test_fuzzy_passages_against_all_pairs(spark):
+    """Passages of 80 to 95 % similarity, changed, without or with more words: found wherever comparing the pair finds one."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for k in range(120):
+        p = random_words(rng, 60)
+        q = list(p)
+        n = (3, 4, 6, 8, 12)[k % 5]
+        at = [int((i + 0.5) * 60 / n) for i in range(n)] if k % 2 else sorted(rng.choice(60, n, replace=False).tolist())
+        for i in reversed(at):
+            q[i : i + 1] = [["other"], [], [q[i], "more"]][k // 10 % 3]
+        texts += [random_words(rng, 100) + p + random_words(rng, 100), random_words(rng, 100) + q + random_words(rng, 100)]
+    hashed = []
+    for t in texts:
+        c = next(iter(passages.tk.chunks(passages.pa.array([" ".join(t)]))))
+        hashed.append(passages.tk.words(c.data, c.offsets, passages.tk.ALNUM).hash)
+    truth = {(2 * k + 1, 2 * k) for k in range(120) if passages.chains(hashed[2 * k + 1], hashed[2 * k])}
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    assert len(truth) > 40 and {(r.doc_id, r.match_doc_id) for r in passages.repeated_passages(df).collect()} == truth
+
+
 def test_passages_against_all_exact_runs(spark):
     """Every document that shares 50 words in a row with another one occurs, and what occurs really matches."""
     folder = "/root/testdata/sf0.01"
