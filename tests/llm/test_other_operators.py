@@ -103,6 +103,20 @@ def test_kinds_of_pages(name):
     assert wr.text_of(root, wr.roles(wr._wrap(root))) == told
 
 
+NAMED = {
+    "body": '<body class="single no-sidebar right-sidebar"><div class="has-sidebar"><article><p>all of it</p></article></div></body>',
+    "headings": '<article><h2 id="search">all</h2><h3 id="login">of</h3><h2 id="comments">it</h2></article>',
+    "parts": '<article><section id="related-work"><p>all</p></section><div class="share-price">of</div><p>it</p><div class="share-buttons">s</div><div class="cookie-bar">c</div></article>',
+    "hosts": '<body class="sidebar"><p>all of it</p></body>',
+}
+
+
+@pytest.mark.parametrize("name", NAMED)
+def test_names_drop_whole_blocks_only(name):
+    root = wr.parse(NAMED[name])
+    assert wr.text_of(root, wr.roles(wr._wrap(root))).split() == ["all", "of", "it"]
+
+
 def test_wrappers_find_optional_and_repeated_parts():
     pages = ["<body><nav>m</nav><article><h1>a</h1><p>x<p>y</article>", "<body><nav>m</nav><div class=promo>buy</div><article><h1>b</h1><p>z</article>"]
     whole = None
