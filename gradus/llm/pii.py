@@ -133,10 +133,10 @@ def find(text: str, numbers: bool = True) -> list[tuple[int, int, str, str]]:
     if _TITLE_HINT.search(text):
         for m in _TITLE.finditer(text):
             _names(m.start(3), m[3], add)
-    if not _GENDER.keys().isdisjoint(text.replace("(", " ").replace('"', " ").split()):
+    if any(name in text for name in _GENDER):
         for m in _NAME.finditer(text):
             _names(m.start(1), m[0], add)
-    for name in {(kind, entity) for _, _, kind, entity in hits if kind.startswith("family_")}:  # later mentions without title or given name
+    for name in sorted({(kind, entity) for _, _, kind, entity in hits if kind.startswith(("family_", "given_"))}, key=lambda x: (-len(x[1]), x)):  # other mentions, by one word
         for m in re.finditer(rf"(?<!\w){re.escape(name[1])}(?!\w)", text):
             add(m.start(), m.end(), *name)
     return sorted(hits)
@@ -287,11 +287,36 @@ def _found(column: pa.Array) -> Iterator[tuple[str | None, list[tuple[int, int,
             yield value, find(value, bool(some[k])) if value else []
 
 
+def _format(kind: str, entity: str) -> str:
+    """Entities of one format can stand for each other: same classes of characters, and the parts that surrogates keep."""
+    kept = {"card": entity[:1], "iban": entity[:2], "email": entity[entity.find("@") :], "phone": entity[: len(entity) - 10 if len(entity) > 11 else 2] if entity[:1] == "+" else ""}.get(kind, "")
+    if kind in ("ipv4", "ipv6"):
+        return kind
+    return "\x1f".join([kind, kept, "".join("0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c for c in entity)])
+
+
+def _rotated(pairs: list[tuple[str, str]], keyed: Keyed) -> dict[tuple[str, str], str]:
+    """Each entity's surrogate is the next one of its format in keyed order.
+
+    The others' surrogates are no entities, so all stay distinct.
+    """
+    groups: dict[str, list[tuple[str, str]]] = {}
+    for pair in pairs:
+        groups.setdefault(_format(*pair), []).append(pair)
+    out = {}
+    for same in groups.values():
+        if len(same) < 2:
+            raise ValueError(f"no distinct surrogate is left for an entity of kind {same[0][0]}")
+        same.sort(key=lambda x: (keyed.number("rotate", *x), x))
+        out |= {a: b[1] for a, b in zip(same, same[1:] + same[:1], strict=True)}
+    return out
+
+
 _ENTITIES = "kind string, entity string, attempt int, surrogate string"
 
 
-def redrawn(docs: DataFrame, keyed: Keyed, work: Workspace, text: str = "text") -> tuple[dict[tuple[str, str], int], Keyed]:
-    """Entities whose surrogate would not be distinct, with the draw that is; and the key with the width it took."""
+def redrawn(docs: DataFrame, keyed: Keyed, work: Workspace, text: str = "text") -> tuple[dict[tuple[str, str], int | str], Keyed]:
+    """Entities whose surrogate would not be distinct, with the draw that is, or the surrogate itself; and the key with the width it took."""
 
     def distinct(batches):
         for batch in batches:
@@ -321,11 +346,12 @@ def redrawn(docs: DataFrame, keyed: Keyed, work: Workspace, text: str = "text")
             marked = bad.withColumn("up", F.lit(1))
             now = drawn.drop("surrogate").join(marked, ["kind", "entity"], "left").select("kind", "entity", (F.col("attempt") + F.coalesce("up", F.lit(0))).alias("attempt"))
             step += 1
+        left = [(r.kind, r.entity) for r in bad.limit(MAX_REDRAWN + 1).collect()]
         again = drawn.filter("attempt > 0").select("kind", "entity", "attempt")
         rows = again.limit(MAX_REDRAWN + 1).collect()
-        if len(rows) <= MAX_REDRAWN:
+        if len(rows) <= MAX_REDRAWN and not any(kind.startswith("family_") for kind, _ in left):
             work.drop(*work.saved)
-            return {(r.kind, r.entity): r.attempt for r in rows}, keyed
+            return {(r.kind, r.entity): r.attempt for r in rows} | _rotated(left, keyed), keyed
         keyed = _restore(keyed.key, keyed.width + 1)
 
 
@@ -349,7 +375,8 @@ def replace(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text") -> Data
                 if hits:
                     pieces, done, tally = [], 0, {}
                     for a, b, kind, entity in hits:
-                        new = keyed.surrogate(kind, entity, redraw.get((kind, entity), 0))
+                        own = redraw.get((kind, entity), 0)
+                        new = own if isinstance(own, str) else keyed.surrogate(kind, entity, own)
                         pieces += [value[done:a], keyed.written(kind, value[a:b], new)]
                         done = b
                         tally[kind] = tally.get(kind, 0) + 1

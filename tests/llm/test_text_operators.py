@@ -258,6 +258,23 @@ def test_collisions_are_drawn_again(spark):
     assert len(set(got)) == len(names) and again
 
 
+@pytest.mark.parametrize("said", ["\u201cJohn Smith\u201d left.", "[John Smith] left.", "**John Smith**", "Author:John Smith", "<b>John Smith</b>", "John Smith came. Later John left, and Smith too."])
+def test_names_after_any_sign(said):
+    found = pii.find(said)
+    left = said
+    for a, b, _, _ in reversed(found):
+        left = left[:a] + left[b:]
+    assert found and "John" not in left and "Smith" not in left
+
+
+def test_a_full_format_stays_distinct(spark):
+    """Of ten secrets of one format nine occur, so redrawing never ends well."""
+    df = spark.createDataFrame([(i, f'token="####{i}#"') for i in range(9)], "doc_id long, text string")
+    assert df.count() == sum(r.n_entities for r in pii.replace(df, "k").collect())
+    got = [r.text for r in pii.replace(df, "k").orderBy("doc_id").collect()]
+    assert len(set(got)) == 9 and all(g != f'token="####{i}#"' for i, g in enumerate(got))
+
+
 # ----- op 5
 
 
