@@ -8,11 +8,19 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Rows of an Arrow batch; Spark's default of 10,000 texts takes tens of megabytes in each worker and executor.
+BATCH_ROWS = "2048"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def on_workers(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver found it.
+    """Let Python workers import this package from where the driver found it, and keep their batches small.
 
-    Where executors have the package installed this changes nothing.
+    Where executors have the package installed only the size of batches
+    changes, and that only if the session has Spark's default.
     """
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, BATCH_ROWS)
     root = str(Path(__file__).resolve().parent.parent)
     env = spark.sparkContext.environment
     paths = [p for p in (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
