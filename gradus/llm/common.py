@@ -16,9 +16,11 @@ _FALLBACK: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only if unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``; unset, one of our own in local mode (tests), and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         key = spark.sparkContext.applicationId
         root = _FALLBACK.setdefault(key, "file://" + tempfile.mkdtemp(prefix="gradus-"))
     return root.rstrip("/")

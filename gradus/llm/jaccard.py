@@ -5,10 +5,11 @@ one class; links are sought between classes.
 
 Tiles.  Classes whose sizes may link share a size band.  In a band, sets that
 reach the threshold differ in at most D elements, so if the hash range is cut
-into D + 1 equal segments, some segment holds the same elements in both.  A
-tile is a band, a segment and the sum of the hashed elements in it; only
-classes that meet in a tile are compared.  Nothing is missed (segments without
-elements are counted out, see ``_segments``).
+into D + 1 + R equal segments, R + 1 of them at least hold the same elements in
+both.  A tile is a band, a segment and the sum of the hashed elements in it;
+only classes that meet in a tile are compared.  Segments without elements have
+no tile, so texts without a common n-gram never meet; nothing is missed, as
+sets with more than R such segments have further tiles (see ``_segments``).
 
 Comparison.  A signature's bit tells whether an odd number of elements falls on
 it, so the bits in which two signatures differ are at most the elements in
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 from functools import lru_cache
+from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +50,8 @@ HUB_ROUNDS = 2
 
 
 @lru_cache(maxsize=64)
-def _bands(percent: int, most: int) -> tuple[list[tuple[int, int, int]], np.ndarray]:
-    """(least, greatest, segments) of bands of the smaller set's size up to ``most``; their greatest sizes."""
+def _bands(percent: int, most: int) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
+    """(least, greatest, segments, reserve) of bands of the smaller set's size up to ``most``; their greatest sizes."""
     t = Fraction(percent, 100)
     low, out = 1, []
     while low <= most:
@@ -57,7 +59,11 @@ def _bands(percent: int, most: int) -> tuple[list[tuple[int, int, int]], np.ndar
         # The greatest difference of two linked sets of which the smaller has ``high`` elements.
         other = int(high / t)
         differ = int((1 - t) / (1 + t) * (high + other))
-        out.append((low, high, differ + 1 + (1 + differ // 400 if differ else 0)))
+        # As many in reserve as the band's least sets have empty ones, give or take two deviations.
+        reserve = 0
+        while differ and reserve < (e := (differ + 1 + reserve) * exp(-low / (differ + 1 + reserve))) + 2 * e**0.5 and reserve <= differ:
+            reserve += 1
+        out.append((low, high, differ + 1 + reserve, reserve))
         low = high + 1
     return out, np.array([b[1] for b in out])
 
@@ -129,10 +135,11 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def _segments(own: np.ndarray, percent: int) -> list[int]:
     """Tile keys of a set: those of its own band, and of bands in which it may be the larger set.
 
-    Bands have more segments than D + 1 by a reserve.  Of two linked sets at
-    least 1 + reserve segments agree; as long as a set has no more empty
-    segments than the reserve, one that agrees has elements.  A set with more
-    has keys for its empty segments too; so has the other set then.
+    Of a band's R + 1 + D segments two linked sets disagree in at most D.  If
+    one of them has no more than R empty segments, one that agrees has
+    elements.  Where both have more, they meet by single elements: linked sets
+    share one of their n - percent * n + 1 least, so such sets have a key for
+    each of these too.
     """
     n = len(own)
     bands, ends = _bands(percent, max(16, 1 << int(n).bit_length()))
@@ -141,15 +148,15 @@ def _segments(own: np.ndarray, percent: int) -> list[int]:
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tk.mix(own + np.uint64(0x77777)), dtype=np.uint64)])
     keys = []
     for band in range(first, last + 1):
-        count = bands[band][2]
-        reserve = 0 if count == 1 else 1 + (count - 2) // 401
+        _, _, count, reserve = bands[band]
         edges = np.append((np.arange(count, dtype=np.float64) * (2.0**64 / count)).astype(np.uint64), np.uint64(2**64 - 1))
         at = np.searchsorted(own, edges)
         at[-1] = n
         key = sums[at[1:]] - sums[at[:-1]]
         full = at[1:] > at[:-1]
-        named = tk.mix(key + tk.mix(np.arange(count, dtype=np.uint64) + np.uint64((band << 32) + 1)))
-        keys.append(named if (~full).sum() > reserve else named[full])
+        keys.append(tk.mix(key + tk.mix(np.arange(count, dtype=np.uint64) + np.uint64((band << 32) + 1)))[full])
+        if count - full.sum() > reserve:
+            keys.append(tk.mix(own[: n - -(-n * percent // 100) + 1] + tk.mix(np.array([(band << 32) + (1 << 31)], np.uint64))))
     return np.concatenate(keys)
 
 
@@ -451,6 +458,36 @@ def join_components(docs: DataFrame, size: int = 3, percent: int = 90, text: str
     return work.finish(out.select(F.col(key), "n_shingles", F.when(F.col("n_shingles") == 0, F.col(key)).otherwise(F.col("component_id")).alias("component_id")))
 
 
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs with one row of each group of linked rows (see ``join_components``).
+
+    Rows are told apart by a hash of all their columns, so repeated and null
+    keys do no harm.  Of a group the row with the least key stays, null keys
+    after all others, then the one with the least hash; of equal rows with
+    words one stays.  Rows without words link with nothing and all stay.
+    """
+    spark = docs.sparkSession
+    work = Workspace(spark, "one-of-each")
+    names = docs.columns
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in names])
+    keyed = docs.select(row.alias("__row"), F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text"))
+    found = join_components(keyed, size, percent, "__text", "__row")
+    rows = work.save(found.filter("n_shingles > 0").groupBy("__row", "component_id").agg(F.count("*").alias("n")), "rows")
+    groups = rows.groupBy("component_id").agg(F.sum("n").alias("rows")).filter("rows > 1")
+    shared = work.save(rows.join(groups, "component_id").select("__row", "component_id", "n"), "shared")
+    ids = with_keys(keyed.select("__row", "__key"), "__row", shared.select("__row"), work, "ids").distinct()
+    order = F.struct(F.col("__key").isNull().alias("none"), "__key", "__row")
+    first = shared.join(ids, "__row").groupBy("component_id").agg(F.min(order).alias("first")).select("component_id", F.col("first.__row").alias("kept"))
+    # Rows that go, and rows that stay once though they occur several times.
+    marked = shared.join(first, "component_id").select("__row", (F.col("__row") != F.col("kept")).alias("gone"), "n")
+    marked = work.save(marked.filter("gone or n > 1").select("__row", "gone"), "marked")
+    every = docs.withColumn("__row", row).join(marked, "__row", "left")
+    out = every.filter("gone is null")
+    if not marked.filter("not gone").isEmpty():
+        out = out.unionAll(every.filter("not gone").dropDuplicates(["__row"]))
+    return work.finish(out.select(*[F.col(f"`{c}`") for c in names]))
+
+
 def op1(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return join_components(docs)
