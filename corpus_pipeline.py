@@ -23,11 +23,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the least id; rows that repeat an id are one."""
+    """One row of each group of near duplicates; ids may repeat or be null (see ``jaccard.one_of_each``)."""
     on_workers(spark)
-    found = jaccard.join_components(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return jaccard.one_of_each(docs.select(*COLUMNS), SHINGLE_WORDS, SIMILARITY_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
