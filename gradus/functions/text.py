@@ -86,11 +86,11 @@ def truthy_strict(value: Column | str) -> Column:
 
 def banned_hits(text: Column | str, words: list[str] | None = None) -> Column:
     """F-15: sorted words that begin a word of the text; a prefix is enough."""
-    c = F.lower(_col(text))
-    known = F.array(*[F.lit(w) for w in sorted(words or BANNED)])
-    # One pass over the text for its words, instead of one for each banned word.
-    found = F.array_distinct(F.regexp_extract_all(c, F.lit(r"\w+"), F.lit(0)))
-    return F.filter(known, lambda w: F.exists(found, lambda x: x.startswith(w)))
+    # One pass of one pattern; the least prefix comes first, and a longer one that also fits is found from the words.
+    listed = sorted(words or BANNED)
+    found = F.array_distinct(F.regexp_extract_all(F.lower(_col(text)), F.lit(r"\b(?:" + "|".join(listed) + r")\w*"), F.lit(0)))
+    hits = F.aggregate(found, F.array().cast("array<string>"), lambda acc, x: F.array_union(acc, F.filter(F.array(*[F.lit(w) for w in listed]), lambda w: x.startswith(w))))
+    return F.array_sort(hits)
 
 
 def tokens(text: Column | str, stopwords: list[str] | None = None) -> Column:

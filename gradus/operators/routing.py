@@ -169,7 +169,7 @@ def scaffold_leaks(df: DataFrame, scaffold: str, typicality: str, sentence: str,
 def reviewer_conflicts(reviewers: DataFrame, subjects: DataFrame, a: str, b: str) -> DataFrame:
     """W-14: pairs of which one name holds the other; both sides are short registries."""
     x, y = F.lower(F.col(a)), F.lower(F.col(b))
-    return reviewers.select(a).distinct().join(F.broadcast(subjects.select(b).distinct()), F.contains(x, y) | F.contains(y, x))
+    return reviewers.select(a).distinct().join(subjects.select(b).distinct(), F.contains(x, y) | F.contains(y, x))
 
 
 def large_baseline(base: Column, least: float = 0.25) -> Column:
@@ -256,7 +256,7 @@ def apply_patch(table: DataFrame, patch: DataFrame, key: str, fields: Sequence[s
     """
     wide = patch.groupBy(key).pivot("field", list(fields)).agg(F.max("new_value"))
     wide = wide.select(key, *[F.col(f).alias(f"__{f}") for f in fields])
-    joined = table.join(F.broadcast(wide), key, "left")
+    joined = table.join(wide, key, "left")
     touched = reduce(lambda a, b: a | b, [F.col(f"__{f}").isNotNull() for f in fields])
     new = {f: F.coalesce(f"__{f}", f) for f in fields}
     if approval in table.columns:

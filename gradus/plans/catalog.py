@@ -629,3 +629,6 @@ def probes(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "embeddings").select(F.pmod("vec_id", F.lit(2)).cast("int").alias("layer"), (F.col("label") % 2).alias("y"), F.col("label").alias("g"), F.when(F.pmod("vec_id", F.lit(5)) == 0, "test").otherwise("train").alias("part"), F.col("embedding").alias("vec"))
     return r6(vectors.probe_table(x, ["layer"], "y", "g", "part", "logistic", boots=50))
 
+
+
+from . import study_queries as study_queries  # noqa: E402  registers further queries

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import shared_folder
+
 # Columns of the records in file order.
 VIGNETTE = "variant_id string, family_id string, domain string, valence string, nonmoral_subdomain string, sign string, typicality string, evocativeness string, scenario string, q_intentionality string, q_blame string, q_praise string"
 RATINGS = ["moral_relevance", "severity", "vividness", "typicality_perception"]
@@ -107,10 +110,17 @@ def require_columns(columns: Sequence[str], record: str) -> None:
 
 
 def numbered(df: DataFrame, order_by: Sequence[str], name: str = "ordinal") -> DataFrame:
-    """Dense ordinals from 0 without gathering rows in one task: rows are sorted in ranges, and counted range by range."""
+    """Dense ordinals from 0 without gathering rows in one task: rows are sorted in ranges, and counted range by range.
+
+    The ranged rows are written with the number of their range, so that the
+    rows that are counted are those that are numbered.
+    """
     spark = df.sparkSession
-    ranged = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn("__p", F.spark_partition_id())
-    # Ranges follow from the data; one range's rows are numbered apart from others'.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = f"{shared_folder(spark)}/numbered-{uuid.uuid4().hex}"
+    # A fixed number of ranges, which the adaptive planner does not coalesce.
+    df.repartitionByRange(parts, *order_by).withColumn("__p", F.spark_partition_id()).write.parquet(at)
+    ranged = spark.read.parquet(at)
     counts = {r["__p"]: r["n"] for r in ranged.groupBy("__p").agg(F.count("*").alias("n")).collect()}
     start, total = {}, 0
     for p in sorted(counts):
