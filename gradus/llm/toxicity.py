@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     the texts held by the driver at every size; weights give both labels their
     shares among all labelled rows (negatives count at most ten times).  Null
     labels, ids and texts are left out; an id with several labels counts as
-    toxic if any is.  With rows of one label only, every score is near it.
+    toxic if any is, and of texts that repeat an id the least counts.  With rows of one label only, every score is near it.
     """
     fit_rows = fit_rows or FIT_ROWS
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("k is not null and y in (0, 1)")
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         part = known.filter(F.col("y") == y).withColumn("r", F.xxhash64(F.col("k").cast("string"))).orderBy("r", "k").limit(most)
         chosen = part if chosen is None else chosen.unionAll(part)
     chosen = chosen.groupBy("k").agg(F.max("y").alias("y"))
-    found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").join(F.broadcast(chosen), "k").select("t", "y").limit(2 * sum(fit_rows.values())).collect()
+    found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").join(F.broadcast(chosen), "k").groupBy("k").agg(F.min("t").alias("t"), F.max("y").alias("y")).collect()
     if not found:
         return Model(np.zeros(1 << BUCKET_BITS), -20.0)
     y = np.array([r.y for r in found])
