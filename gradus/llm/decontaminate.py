@@ -12,8 +12,9 @@ from . import textkit as tk
 from .common import map_rows, without
 
 WINDOW = 13
-#: Bytes of benchmark text that one broadcast set may hold; more is taken in blocks of this size.
-BLOCK_BYTES = 64 << 20
+#: Bytes of benchmark text that one broadcast set may hold; more is taken in blocks of this size.  A byte of text takes about 50 of
+#: memory in the set, so a block takes some 200 MB on the driver and in a worker.
+BLOCK_BYTES = 4 << 20
 
 _HITS = T.ArrayType(T.IntegerType(), False)
 _ITEMS = T.ArrayType(T.StringType(), False)
