@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,13 +22,17 @@ LEAST_GRAMS = 300
 #: More values than this in the label column are not languages, and the centroids are broadcast.
 MAX_LANGUAGES = 1000
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 #: Bytes to gram alphabet: ASCII letters lower-cased, other ASCII a space, non-ASCII kept.
 _GRAM = tk.LOWER.copy()
 _GRAM[[b for b in range(128) if not (97 <= int(tk.LOWER[b]) <= 122)]] = 32
 
 
+def _spoken(text: str) -> bool:
+    """Whether the text has a letter of any script; digits and numbers in any form are none."""
+    return any(map(str.isalpha, text))
+
+
 def _counts(c: tk.Chunk) -> np.ndarray:
     """Rows x DIMENSIONS counts of the byte n-grams of a chunk; Latin-1 capitals count as small."""
     rows, n = c.last - c.first, len(c.data)
@@ -86,7 +88,7 @@ class Model:
             best = like.argmax(axis=1)
             for k in range(c.last - c.first):
                 value = values[c.first + k]
-                if value is None or not _LETTER.search(value):
+                if value is None or not _spoken(value):
                     names.append(UNKNOWN)
                     scores.append(0.0)
                     accepted.append(False)
@@ -158,7 +160,7 @@ def fit(train: DataFrame, text: str = "text", label: str = "lang", key: str = "d
     sample = rows.withColumn("r", rank).filter("r < 1.5").orderBy("r").limit(fit_rows * len(languages)).select("lang", "t").collect()
     centres, owner, floor = [], [], []
     for own, language in enumerate(languages):
-        column = pa.array([r.t for r in sample if r.lang == language and _LETTER.search(r.t)], pa.large_string())
+        column = pa.array([r.t for r in sample if r.lang == language and _spoken(r.t)], pa.large_string())
         blocks = [_vectors(_counts(c), idf) for c in _chunks(column)]
         x = np.concatenate(blocks) if blocks else np.zeros((0, DIMENSIONS), np.float32)
         enough = (x > 0).sum(axis=1) >= LEAST_GRAMS

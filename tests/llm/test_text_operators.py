@@ -159,6 +159,8 @@ def test_languages_of_odd_rows(spark, odd, documents):
     by = {r.doc_id: (r.lang_pred, r.score) for r in rows}
     assert len(rows) == odd.count() and all(by[i] == ("und", 0.0) for i in (2, 3, 4, 8)) and by[9][0] in {"en", "de", "fr", "es"}
     assert not any(r.accepted for r in rows if r.lang_pred == "und")
+    none = langid.identify(spark.createDataFrame([(1, "\u00b2 \u00bd 12 _!"), (2, "\u4e2d")], "doc_id long, text string"), model).collect()
+    assert [r.lang_pred == "und" for r in none] == [True, False]
     far = spark.createDataFrame([(1, "qxzj vkqw xzzq jjvx " * 3 + " ".join(f"{a}{b}qz{b}{a}xk" for a in "qxzjkvwyp" for b in "xqjzkwvpy")), (2, "This."), (3, "the and of this is that with for from have")], "doc_id long, text string")
     assert {r.doc_id: r.accepted for r in langid.identify(far, model).collect()} == {1: False, 2: True, 3: True}
     nothing = langid.identify(odd, langid.fit(odd)).collect()
@@ -189,6 +191,8 @@ def test_toxicity_locates_sentences(spark, odd):
     plain = {r.doc_id: r.score for r in toxicity.score(odd, model).collect()}
     assert plain[2] == plain[3] == 0.0 and len(plain) == odd.select("doc_id").distinct().count()
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).filter("predicted = 1").count() == 0
+    repeated = toxicity.fit(docs.unionAll(docs).unionAll(docs), labels)
+    assert (repeated.weights == model.weights).all() and toxicity.score(docs.limit(0), model).count() == 0
 
 
 # ----- op 3
