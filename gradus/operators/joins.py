@@ -173,6 +173,20 @@ def similar_goals(new: DataFrame, old: DataFrame, domain: str, goal: str, least:
     return a.join(b, domain).withColumn("similarity", jaccard("new_goal", "old_goal")).filter(F.col("similarity") > least)
 
 
+def token_pairs(df: DataFrame, order: str, text: str, least: float) -> DataFrame:
+    """J-25, J-27: pairs a < b with a token Jaccard similarity above ``least`` (0 or more), met through their common tokens.
+
+    Texts are tokenised once; pairs without a common token are never made.
+    """
+    from ..functions.text import tokens
+
+    words = df.select(F.col(order), tokens(text, []).alias("w")).select(order, F.size("w").alias("n"), F.explode("w").alias("w"))
+    a = words.select(F.col(order).alias(f"{order}_a"), F.col("n").alias("n_a"), "w")
+    b = words.select(F.col(order).alias(f"{order}_b"), F.col("n").alias("n_b"), "w")
+    both = a.join(b, "w").filter(F.col(f"{order}_a") < F.col(f"{order}_b")).groupBy(f"{order}_a", f"{order}_b", "n_a", "n_b").agg(F.count("*").alias("c"))
+    return both.withColumn("similarity", F.col("c") / (F.col("n_a") + F.col("n_b") - F.col("c"))).filter(F.col("similarity") > least).select(f"{order}_a", f"{order}_b", "similarity")
+
+
 def reconcile_tables(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
     """J-28, X-19: (status, key columns) for ids of one side only and rows that differ in shared columns."""
     shared = [c for c in a.columns if c in b.columns and c not in key]

@@ -296,7 +296,7 @@ def random_slope(c: Clusters, at: int, rounds: int = 400) -> dict:
         u = np.einsum("gij,gj->gi", inner, r) / s2
         rss = c.yy.sum() - 2 * beta @ c.xy.sum(axis=0) + beta @ c.xx.sum(axis=0) @ beta
         quad = rss / s2 - np.einsum("gi,gi->", r, u) / s2
-        log = -0.5 * (n * math.log(2 * math.pi * s2) + quad + sum(np.linalg.slogdet(np.eye(2) + d @ x / s2)[1] for x in zz))
+        log = -0.5 * (n * math.log(2 * math.pi * s2) + quad + np.linalg.slogdet(np.eye(2) + d @ zz / s2)[1].sum())
         cov = np.linalg.pinv(a)
         e = rss - 2 * np.einsum("gi,gi->", u, r) + np.einsum("gi,gij,gj->", u, zz, u) + np.einsum("gij,gji->", zz, inner)
         d = (np.einsum("gi,gj->ij", u, u) + inner.sum(axis=0)) / len(c.n) + 1e-12 * np.eye(2)

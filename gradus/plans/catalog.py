@@ -192,11 +192,12 @@ def banned_scan(spark: SparkSession, d: str) -> DataFrame:
 _STOP_SQL = "[" + ", ".join(f"'{w}'" for w in tx.STOPWORDS) + "]"
 
 
-@query(rf"SELECT d.doc_id, b.item_id, CAST(len(list_intersect(d.w, b.w)) AS INTEGER) AS overlap FROM (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]+')), lambda x: NOT list_contains({_STOP_SQL}, x)) AS w FROM documents) d JOIN (SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]+')), lambda x: NOT list_contains({_STOP_SQL}, x)) AS w FROM benchmark) b ON b.item_id = d.doc_id % 40")
+@query(rf"SELECT d.doc_id, b.item_id, CAST(len(list_intersect(d.w, b.w)) AS INTEGER) AS overlap FROM (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]+')), lambda x: NOT list_contains({_STOP_SQL}, x)) AS w FROM documents) d JOIN (SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]+')), lambda x: NOT list_contains({_STOP_SQL}, x)) AS w FROM benchmark) b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)")
 def token_overlap(spark: SparkSession, d: str) -> DataFrame:
     """F-16."""
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("a"), F.pmod("doc_id", F.lit(40)).alias("item_id"))
-    return docs.join(table(spark, d, "benchmark").select("item_id", F.col("text").alias("b")), "item_id").select("doc_id", "item_id", tx.overlap("a", "b").alias("overlap"))
+    items = table(spark, d, "benchmark")
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("a"), F.pmod("doc_id", F.lit(items.count())).alias("item_id"))
+    return docs.join(items.select("item_id", F.col("text").alias("b")), "item_id").select("doc_id", "item_id", tx.overlap("a", "b").alias("overlap"))
 
 
 @query(
@@ -214,8 +215,7 @@ def failure_category(spark: SparkSession, d: str) -> DataFrame:
 @query(r"WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) SELECT a.item_id AS item_id_a, b.item_id AS item_id_b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS similarity FROM t a JOIN t b ON a.item_id < b.item_id WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) > 0.1")
 def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
     """J-25, J-27: pairs of benchmark items with similar words."""
-    pairs = joins.unordered_pairs(table(spark, d, "benchmark"), [], "item_id", ["text"])
-    return r6(pairs.withColumn("similarity", tx.jaccard("text_a", "text_b")).filter("similarity > 0.1").select("item_id_a", "item_id_b", "similarity"))
+    return r6(joins.token_pairs(table(spark, d, "benchmark"), "item_id", "text", 0.1))
 
 
 @query("SELECT p_partkey, CASE WHEN len(string_split(p_type, ' ')) = 3 THEN string_split(p_type, ' ')[1] END AS first_part, regexp_replace(p_brand || '-MB-' || p_size, '-(MB|MG|NMB|NMG|NEU)-', '-') AS set_id, CAST(nullif(regexp_extract(p_brand, '(\\d+)$', 1), '') AS INTEGER) AS number FROM part".replace("\\\\d", "\\d"))
@@ -270,11 +270,11 @@ def grid(spark: SparkSession, d: str) -> DataFrame:
     return ag.complete_grid(p, "p_brand", "size", ["small", "mid", "large"])
 
 
-@query("SELECT CASE WHEN max(n) > 2 * min(n) THEN arg_min(c_mktsegment, (n, c_mktsegment)) END AS rarest FROM (SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_nationkey < 5 AND c_acctbal < 1500 GROUP BY 1)")
+@query("SELECT CASE WHEN max(n) > 2 * min(n) THEN arg_min(o_orderstatus, (n, o_orderstatus)) END AS rarest FROM (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1)")
 def rarest(spark: SparkSession, d: str) -> DataFrame:
     """A-18."""
-    c = ag.group_sizes(table(spark, d, "customer").filter("c_nationkey < 5 and c_acctbal < 1500"), ["c_mktsegment"])
-    return ag.rarest(c, "c_mktsegment", "n", "c_mktsegment")
+    c = ag.group_sizes(table(spark, d, "orders"), ["o_orderstatus"])
+    return ag.rarest(c, "o_orderstatus", "n", "o_orderstatus")
 
 
 @query("SELECT o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS n_distinct FROM orders GROUP BY 1")
@@ -355,13 +355,12 @@ def peak_row(spark: SparkSession, d: str) -> DataFrame:
     return r6(ag.peak(e, ["label"], "x", "vec_id"))
 
 
-@query("SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'left_only' WHEN a.o_orderkey IS NULL THEN 'right_only' WHEN a.s IS DISTINCT FROM b.s THEN 'differs' ELSE 'equal' END AS status FROM (SELECT o_orderkey, o_orderstatus AS s FROM orders WHERE o_orderkey % 3 <> 0) a FULL JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 5 <> 0) b ON a.o_orderkey = b.o_orderkey")
+@query("SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'left_only' WHEN a.o_orderkey IS NULL THEN 'right_only' WHEN a.s IS DISTINCT FROM b.s THEN 'differs' ELSE 'equal' END AS status FROM (SELECT o_orderkey, o_orderstatus AS s FROM orders) a FULL JOIN (SELECT o_orderkey + 50 AS o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS s FROM orders) b ON a.o_orderkey = b.o_orderkey")
 def reconcile(spark: SparkSession, d: str) -> DataFrame:
     """J-28, X-19."""
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("s"))
-    a = o.filter("o_orderkey % 3 <> 0")
-    b = o.filter("o_orderkey % 5 <> 0").withColumn("s", F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("s")))
-    return joins.reconcile_tables(a, b, ["o_orderkey"])
+    b = o.select((F.col("o_orderkey") + 50).alias("o_orderkey"), F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("s")).alias("s"))
+    return joins.reconcile_tables(o, b, ["o_orderkey"])
 
 
 @query("SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority END AS note FROM orders")
@@ -516,12 +515,11 @@ def first_last_row(spark: SparkSession, d: str) -> DataFrame:
     return a.join(joins.last_row(o, ["o_custkey"], "o_orderkey").withColumnRenamed("o_orderkey", "last_order"), "o_custkey")
 
 
-@query("SELECT s_suppkey, p_partkey, round(s_acctbal + p_retailprice, 6) AS x FROM supplier, part WHERE s_nationkey = 3 AND p_size = 7")
+@query("SELECT r_name, n_name, r_regionkey * 100 + n_nationkey AS x FROM region, nation")
 def cross_grid(spark: SparkSession, d: str) -> DataFrame:
-    """J-24: a few rows by a few rows."""
-    s = table(spark, d, "supplier").filter("s_nationkey = 3").select("s_suppkey", "s_acctbal")
-    p = table(spark, d, "part").filter("p_size = 7").select("p_partkey", "p_retailprice")
-    return r6(s.crossJoin(p).select("s_suppkey", "p_partkey", (F.col("s_acctbal") + F.col("p_retailprice")).alias("x")))
+    """J-24: all pairs of two dimensions of fixed size."""
+    r, n = table(spark, d, "region").select("r_name", "r_regionkey"), table(spark, d, "nation").select("n_name", "n_nationkey")
+    return r.crossJoin(n).select("r_name", "n_name", (F.col("r_regionkey") * 100 + F.col("n_nationkey")).alias("x"))
 
 
 @query("SELECT 'c' AS kind, c_custkey AS id, c_nationkey AS nation FROM customer UNION ALL SELECT 's', s_suppkey, s_nationkey FROM supplier")
