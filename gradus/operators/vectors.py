@@ -150,6 +150,30 @@ def probe_table(df: DataFrame, key: Sequence[str], target: str, group: str, part
     return rows.groupBy(*key).applyInPandas(run, ", ".join([*[f"{k} {types[k]}" for k in key], "score double, low double, high double, cv_score double, n_train bigint, n_test bigint"]))
 
 
+def left_out_table(df: DataFrame, key: Sequence[str], target: str, domain: str, kind: str = "ridge", penalty: float = 1.0, vector: str = "vec") -> DataFrame:
+    """T-29: for each key and domain, the score on that domain's rows of a probe fitted on all other domains.
+
+    Null where no other domain has two rows.
+    """
+    rows = df.select(*key, F.col(target).cast("double").alias("y"), F.col(domain).cast("string").alias("domain"), F.col(vector).cast("array<double>").alias("vec")).dropna(subset=["y", "domain", "vec"])
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["domain", "y"])
+        x, y, names = np.array(pdf["vec"].tolist(), float), pdf["y"].to_numpy(), pdf["domain"].to_numpy()
+        out = []
+        for name in np.unique(names):
+            test, score = names == name, None
+            if (~test).sum() >= 2:
+                w, b, mean, sd = (logistic if kind == "logistic" else ridge)(x[~test], y[~test], penalty)
+                z = (x[test] - mean) / sd @ w + b
+                score = float(((z >= 0) == (y[test] >= 0.5)).mean()) if kind == "logistic" else float(1 - ((y[test] - z) ** 2).sum() / max(((y[test] - y[test].mean()) ** 2).sum(), 1e-300))
+            out.append({**{k: pdf[k].iloc[0] for k in key}, "domain": name, "score": score, "n_test": int(test.sum())})
+        return pd.DataFrame(out)
+
+    return rows.groupBy(*key).applyInPandas(run, ", ".join([*[f"{k} {types[k]}" for k in key], "domain string, score double, n_test bigint"]))
+
+
 def alignment_table(df: DataFrame, key: Sequence[str], label: str, direction: Sequence[float], permutations: int = 200, seed: int = 0, vector: str = "vec") -> DataFrame:
     """T-35: cosine of the labels' mean difference with a direction, against permuted labels, and a random vector's deviation."""
     rows = df.select(*key, F.col(label).cast("boolean").alias("s"), F.col(vector).cast("array<double>").alias("vec")).dropna()

@@ -76,7 +76,7 @@ j AS (
 
 @query(f"WITH {_ROUTED} SELECT p_brand, round(avg(CASE WHEN l_returnflag = 'R' THEN l_extendedprice END) - avg(CASE WHEN l_returnflag = 'A' THEN l_extendedprice END), 6) AS gap, count(*) AS n FROM j WHERE drop_reason IS NULL GROUP BY 1")
 def routed_gap(spark: SparkSession, d: str) -> DataFrame:
-    """J-01, W-01, P-04, A-19: lines joined to parts and orders, routed, and the gap of two flags in each brand."""
+    """W-01, A-19: lines joined to parts and orders, routed, and the gap of two flags in each brand."""
     kept = _routed(spark, d).filter("drop_reason is null")
     return r6(kept.groupBy("p_brand").agg(ag.gap("l_extendedprice", "l_returnflag", "R", "A").alias("gap"), F.count("*").alias("n")))
 
@@ -136,7 +136,7 @@ def derive_seeds(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT d.doc_id, l.quality, CASE WHEN l.quality = 1 THEN true ELSE false END AS accepted, EXISTS (SELECT 1 FROM labels x WHERE x.doc_id = d.doc_id AND x.toxic = 1) AS toxic_known FROM documents d LEFT JOIN labels l USING (doc_id) WHERE EXISTS (SELECT 1 FROM labels y WHERE y.doc_id = d.doc_id)")
 def accepted_gate(spark: SparkSession, d: str) -> DataFrame:
-    """J-17, J-18, J-19."""
+    """J-18."""
     docs, labels = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels")
     semi = joins.in_split(docs, labels, "doc_id").join(labels.select("doc_id", "quality"), "doc_id", "left")
     flagged = joins.in_split(semi, labels.filter("toxic = 1"), "doc_id", "toxic_known")
@@ -154,7 +154,7 @@ _EV = "list_sum(list_transform(w, lambda x, i: x * (i - 1))) / list_sum(w)"
 
 @query(f"SELECT vec_id, round({_EV}, 6) AS ev FROM (SELECT vec_id, list_transform(e, lambda x: exp(x - list_max(e))) AS w FROM (SELECT vec_id, list_transform(embedding[1:11], lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings))")
 def softmax_ev(spark: SparkSession, d: str) -> DataFrame:
-    """F-02, F-03, F-30: the first eleven elements as log probabilities."""
+    """F-05, F-30: the first eleven elements as log probabilities."""
     return r6(table(spark, d, "embeddings").select("vec_id", scoring.ev_safe(F.slice("embedding", 1, 11)).alias("ev")))
 
 
@@ -214,7 +214,7 @@ def failure_category(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) SELECT a.item_id AS item_id_a, b.item_id AS item_id_b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS similarity FROM t a JOIN t b ON a.item_id < b.item_id WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) > 0.1")
 def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """J-25, J-27: pairs of benchmark items with similar words."""
+    """J-25: pairs of benchmark items with similar words."""
     return r6(joins.token_pairs(table(spark, d, "benchmark"), "item_id", "text", 0.1))
 
 
@@ -240,7 +240,7 @@ def cell_means(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_suppkey, round(avg(CASE WHEN l_linestatus = 'O' AND l_returnflag = 'R' THEN l_quantity END) - avg(CASE WHEN l_linestatus = 'O' AND l_returnflag = 'A' THEN l_quantity END), 6) AS gap_O, round(avg(CASE WHEN l_linestatus = 'F' AND l_returnflag = 'R' THEN l_quantity END) - avg(CASE WHEN l_linestatus = 'F' AND l_returnflag = 'A' THEN l_quantity END), 6) AS gap_F FROM lineitem GROUP BY 1")
 def pivot_gap(spark: SparkSession, d: str) -> DataFrame:
-    """A-03, A-04."""
+    """A-03."""
     return r6(ag.pivoted_gaps(table(spark, d, "lineitem"), ["l_suppkey"], "l_linestatus", ["O", "F"], "l_returnflag", "l_quantity", "R", "A"))
 
 
@@ -373,7 +373,7 @@ def carry_forward(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH g AS (SELECT user_id, event_type, avg(value) AS gap FROM events GROUP BY 1, 2), b AS (SELECT *, max(CASE WHEN event_type = 'click' THEN gap END) OVER (PARTITION BY user_id) AS baseline FROM g) SELECT user_id, event_type, round(gap / baseline, 6) AS normalised, round(1 - gap / baseline, 6) AS suppression FROM b WHERE abs(baseline) >= 0.25")
 def baseline_norm(spark: SparkSession, d: str) -> DataFrame:
-    """J-05, T-33, T-34, W-16."""
+    """J-05, T-33, T-34."""
     g = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("gap")).withColumn("component", F.lit("all"))
     return r6(vectors.normalised_gaps(g, ["user_id"], "event_type", "click").select("user_id", "event_type", "normalised", "suppression"))
 
@@ -434,21 +434,21 @@ def topk_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT conv_id, turn, sha256(text) AS sha256, 'user' AS role, text AS content, conv_id || '::' || turn || '::chat' AS prompt_id FROM conversations")
 def messages_array(spark: SparkSession, d: str) -> DataFrame:
-    """P-02."""
+    """F-09: a text as one message of a conversation."""
     c = table(spark, d, "conversations").withColumn("m", F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))))
     return c.select("conv_id", "turn", seeds.text_hash("text").alias("sha256"), F.col("m")[0]["role"].alias("role"), F.col("m")[0]["content"].alias("content"), F.concat_ws("::", F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.lit("chat")).alias("prompt_id"))
 
 
 @query("SELECT event_type, count(k) AS n, round(avg(k), 6) AS mean_k FROM (SELECT event_type, TRY_CAST(props->>'$.k' AS BIGINT) AS k FROM events) GROUP BY 1")
 def json_prop(spark: SparkSession, d: str) -> DataFrame:
-    """S-03: a typed read of JSON text."""
+    """A typed read of JSON text."""
     e = table(spark, d, "events").select("event_type", F.from_json("props", "k bigint")["k"].alias("k"))
     return r6(e.groupBy("event_type").agg(F.count("k").alias("n"), F.avg("k").alias("mean_k")))
 
 
 @query("SELECT l_shipdate_month, round(100 * count(*) FILTER (l_returnflag = 'R') / count(*), 2) AS R, round(100 * count(*) FILTER (l_returnflag = 'A') / count(*), 2) AS A FROM (SELECT strftime(l_shipdate, '%Y-%m') AS l_shipdate_month, l_returnflag FROM lineitem) GROUP BY 1".replace("round(100", "round_even(100"))
 def category_shares(spark: SparkSession, d: str) -> DataFrame:
-    """A-26, F-25."""
+    """A-26."""
     x = table(spark, d, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM").alias("l_shipdate_month"), "l_returnflag")
     return ag.category_shares(x, ["l_shipdate_month"], "l_returnflag", ["R", "A"])
 
@@ -509,7 +509,7 @@ def centred_group_mean(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_custkey, arg_min(o_orderkey, o_orderkey) AS first_order, arg_max(o_orderkey, o_orderkey) AS last_order FROM orders GROUP BY 1")
 def first_last_row(spark: SparkSession, d: str) -> DataFrame:
-    """X-07, X-08, J-09, J-10."""
+    """X-07, X-08."""
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey")
     a = joins.first_row(o, ["o_custkey"], "o_orderkey").withColumnRenamed("o_orderkey", "first_order")
     return a.join(joins.last_row(o, ["o_custkey"], "o_orderkey").withColumnRenamed("o_orderkey", "last_order"), "o_custkey")
@@ -524,7 +524,7 @@ def cross_grid(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 'c' AS kind, c_custkey AS id, c_nationkey AS nation FROM customer UNION ALL SELECT 's', s_suppkey, s_nationkey FROM supplier")
 def union_shards(spark: SparkSession, d: str) -> DataFrame:
-    """X-17, X-18, X-21, S-11."""
+    """X-17, X-18, X-21."""
     c = table(spark, d, "customer").select(F.lit("c").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"))
     s = table(spark, d, "supplier").select(F.lit("s").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"))
     return ag.merged_shards(ag.union_all(c, s), "kind", ["kind", "id"], 2, [])
@@ -583,7 +583,7 @@ def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     "SELECT f AS l_returnflag, round(any_value(b), 6) AS estimate, round(sqrt(any_value(k / (k - 1) * (n - 1) / (n - 1 - k)) * sum(s * s)) / any_value(sxx), 6) AS se, any_value(n) AS n_obs, any_value(k) AS n_groups FROM s JOIN t USING (f) GROUP BY 1"
 )
 def absorbed_effects(spark: SparkSession, d: str) -> DataFrame:
-    """T-04, T-16: a slope within suppliers."""
+    """T-16: a slope within suppliers."""
     out = stats.ols_table(table(spark, d, "lineitem"), "l_quantity ~ l_discount + C(l_suppkey)", "l_discount", ["l_returnflag"], "l_suppkey")
     return r6(out.select("l_returnflag", "estimate", "se", "n_obs", "n_groups"))
 
@@ -623,7 +623,7 @@ def power_grid(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def probes(spark: SparkSession, d: str) -> DataFrame:
-    """T-27, T-29, T-30, T-31: whether a vector tells its label's parity, by layer."""
+    """T-27, T-29 (folds), T-30, T-31 (intervals): whether a vector tells its label's parity, by layer."""
     x = table(spark, d, "embeddings").select(F.pmod("vec_id", F.lit(2)).cast("int").alias("layer"), (F.col("label") % 2).alias("y"), F.col("label").alias("g"), F.when(F.pmod("vec_id", F.lit(5)) == 0, "test").otherwise("train").alias("part"), F.col("embedding").alias("vec"))
     return r6(vectors.probe_table(x, ["layer"], "y", "g", "part", "logistic", boots=50))
 

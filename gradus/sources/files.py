@@ -116,6 +116,22 @@ def read_torn(spark: SparkSession, path: str, record: str) -> tuple[DataFrame, D
     return good, bad.select("value")
 
 
+def repair_torn(spark: SparkSession, path: str, record: str) -> int:
+    """S-10: drop a torn last line from JSON lines and put the rest in the file's place; the number of lines dropped.
+
+    Whole lines stay as they are written, in order; nothing is replaced if the
+    last line is whole.
+    """
+    _, torn = read_torn(spark, path, record)
+    n = torn.count()
+    if n:
+        lines = spark.read.option("lineSep", "\n").text(path).withColumn("at", F.monotonically_increasing_id())
+        last = lines.filter(F.trim("value") != "").agg(F.max("at")).first()[0]
+        lines.filter(F.col("at") < F.lit(last)).select("value").write.mode("overwrite").option("lineSep", "\n").text(path + ".next")
+        Store(spark, path).replace(path + ".next", path)
+    return n
+
+
 def read_fields(spark: SparkSession, path: str, fields: str) -> DataFrame:
     """S-12, S-14: only the fields that are needed, by an explicit schema."""
     return spark.read.schema(T.StructType.fromDDL(fields)).json(path)

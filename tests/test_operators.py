@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gradus.operators import aggregates as ag
-from gradus.operators import joins, routing
+from gradus.operators import joins, routing, vectors
 from gradus.sources import files, schemas
 from gradus.streaming import resume
 
@@ -153,6 +153,8 @@ def test_files(spark, tmp_path):
     (tmp_path / "t.jsonl").write_text('{"job_id": "a b"}\n\n{"job_id": "c"}\n{"job_id": "to')
     good, torn = files.read_torn(spark, f"{tmp_path}/t.jsonl", "job")
     assert [r.job_id for r in good.collect()] == ["a b", "c"] and torn.count() == 1
+    assert files.repair_torn(spark, f"{tmp_path}/t.jsonl", "job") == 1 and files.repair_torn(spark, f"{tmp_path}/t.jsonl", "job") == 0
+    assert [r.job_id for r in files.read_jsonl(spark, f"{tmp_path}/t.jsonl", "job").collect()] == ["a\u2028b", "c"]
     (tmp_path / "u.jsonl").write_text('{"job_id": "to\n{"job_id": "c"}\n')
     with pytest.raises(ValueError, match="not the last"):
         files.read_torn(spark, f"{tmp_path}/u.jsonl", "job")
@@ -173,6 +175,15 @@ def test_tables_and_probes(spark, tmp_path):
     assert [r.layer for r in files.ordered(df, ["layer"], ["construct"], True).collect()] == [2, 1, 1]
 
 
+def test_probes_without_one_domain(spark):
+    rng = random.Random(1)
+    rows = [(0, d, y, [y + rng.gauss(0, 0.1), rng.gauss(0, 1)]) for d in "abc" for y in (0.0, 1.0) for _ in range(10)] + [(1, "a", 1.0, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "layer int, d string, y double, vec array<double>")
+    got = {(r.layer, r.domain): r for r in vectors.left_out_table(df, ["layer"], "y", "d", "logistic").collect()}
+    assert set(got) == {(0, "a"), (0, "b"), (0, "c"), (1, "a")} and got[1, "a"].score is None
+    assert all(got[0, d].score == 1.0 and got[0, d].n_test == 20 for d in "abc")
+
+
 def test_rewrite_keeps_a_table(spark, tmp_path):
     path = f"{tmp_path}/t"
     spark.range(3).write.parquet(path)
