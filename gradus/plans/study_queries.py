@@ -300,17 +300,21 @@ def study_inner(spark: SparkSession, d: str) -> DataFrame:
     return joins.inner(r, _variants(spark, d).select("variant_id", "valence"), ["variant_id"], F.col("parse_ok"), F.col("parsed_rating") > 2).select("job_id", "valence")
 
 
-@query(f"WITH {_RES}, w AS (SELECT variant_id, arg_min(rating, job_id) FILTER (question_type = 'blame') AS blame, arg_min(rating, job_id) FILTER (question_type = 'praise') AS praise FROM ing WHERE drop_reason IS NULL GROUP BY 1) SELECT v.variant_id, blame, praise FROM var v LEFT JOIN w USING (variant_id)")
+def _in_order(spark: SparkSession, d: str) -> DataFrame:
+    """Usable results with a place that tells rows of one job apart by their rating."""
+    return _ingested(spark, d).filter("drop_reason is null").withColumn("place", F.concat("job_id", F.lpad(F.col("rating").cast("int").cast("string"), 3, "0")))
+
+
+@query(f"WITH {_RES}, w AS (SELECT variant_id, arg_min(rating, job_id || lpad(CAST(CAST(rating AS INTEGER) AS VARCHAR), 3, '0')) FILTER (question_type = 'blame') AS blame, arg_min(rating, job_id || lpad(CAST(CAST(rating AS INTEGER) AS VARCHAR), 3, '0')) FILTER (question_type = 'praise') AS praise FROM ing WHERE drop_reason IS NULL GROUP BY 1) SELECT v.variant_id, blame, praise FROM var v LEFT JOIN w USING (variant_id)")
 def study_wide(spark: SparkSession, d: str) -> DataFrame:
     """J-12, A-05: the first rating of each question, wide, beside the items."""
-    rows = _ingested(spark, d).filter("drop_reason is null")
-    return joins.pivot_join(_variants(spark, d).select("variant_id"), rows, "variant_id", "question_type", "rating", ["blame", "praise"], "job_id")
+    return joins.pivot_join(_variants(spark, d).select("variant_id"), _in_order(spark, d), "variant_id", "question_type", "rating", ["blame", "praise"], "place")
 
 
-@query(f"WITH {_RES}, f AS (SELECT variant_id, arg_min(rating, job_id) AS rating FROM ing WHERE drop_reason IS NULL GROUP BY 1) SELECT v.variant_id, rating FROM var v LEFT JOIN f USING (variant_id)")
+@query(f"WITH {_RES}, f AS (SELECT variant_id, arg_min(rating, job_id || lpad(CAST(CAST(rating AS INTEGER) AS VARCHAR), 3, '0')) AS rating FROM ing WHERE drop_reason IS NULL GROUP BY 1) SELECT v.variant_id, rating FROM var v LEFT JOIN f USING (variant_id)")
 def study_first(spark: SparkSession, d: str) -> DataFrame:
     """J-09, J-10, X-07: one column of a dimension's first row."""
-    return joins.with_column_of(_variants(spark, d).select("variant_id"), _ingested(spark, d).filter("drop_reason is null"), ["variant_id"], "rating", "job_id")
+    return joins.with_column_of(_variants(spark, d).select("variant_id"), _in_order(spark, d), ["variant_id"], "rating", "place")
 
 
 @query(f"WITH {_RES}, q AS (SELECT v.variant_id, t.question_type FROM var v, (VALUES ('intentionality'), ('blame'), ('praise')) t(question_type)) SELECT variant_id, question_type FROM q WHERE NOT EXISTS (SELECT 1 FROM ing i WHERE i.drop_reason IS NULL AND i.variant_id = q.variant_id AND i.question_type = q.question_type)")
