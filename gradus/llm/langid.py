@@ -17,8 +17,13 @@ ORDERS = (2, 3, 4)
 CENTROIDS = 3
 #: Rows for each language from which centroids are clustered (document frequencies use all rows).
 FIT_ROWS = 400
-#: Texts with fewer different n-grams are too short for their distance to tell, and are not rejected by it.
-LEAST_GRAMS = 300
+#: Sizes that have a floor of their own, as powers of two of the different n-grams in a text; repeated lines don't make a text larger.
+SIZES = range(3, 14)
+#: Bytes of the pieces that floors are learnt from, as powers of two; pieces of each, fewer of long ones; where the floor lies
+#: between what shuffled letters reach and the middle of true pieces.
+LENGTHS = range(3, 18)
+PIECES = 48
+MARGIN = 0.1
 #: More values than this in the label column are not languages, and the centroids are broadcast.
 MAX_LANGUAGES = 1000
 UNKNOWN = "und"
@@ -72,8 +77,14 @@ def _chunks(column: pa.Array):
     return tk.chunks(column, 1 << 19, rows=64)
 
 
+def _size(counts: np.ndarray) -> np.ndarray:
+    """Index into SIZES of rows of counts."""
+    different = np.maximum((counts > 0).sum(axis=1), 1)
+    return np.clip(np.log2(different).astype(int) - SIZES[0], 0, len(SIZES) - 1)
+
+
 class Model:
-    """centroids: rows of unit length; owner: index into languages; floor: least cosine that is accepted, by language."""
+    """centroids: rows of unit length; owner: index into languages; floor: least cosine that is accepted, by language and size."""
 
     def __init__(self, languages: list[str], idf: np.ndarray, centroids: np.ndarray, owner: np.ndarray, floor: np.ndarray):
         self.languages, self.idf, self.centroids, self.owner, self.floor = languages, idf, centroids, owner, floor
@@ -83,7 +94,7 @@ class Model:
         values = column.to_pylist()
         for c in _chunks(column):
             counts = _counts(c)
-            telling = (counts > 0).sum(axis=1) >= LEAST_GRAMS
+            size = _size(counts)
             like = _vectors(counts, self.idf) @ self.centroids.T
             best = like.argmax(axis=1)
             for k in range(c.last - c.first):
@@ -97,7 +108,7 @@ class Model:
                 cosine = float(min(1.0, max(0.0, like[k, best[k]])))
                 names.append(self.languages[own])
                 scores.append(cosine)
-                accepted.append(bool(not telling[k] or cosine >= self.floor[own]) and self.languages[own] != UNKNOWN)
+                accepted.append(bool(cosine >= self.floor[own, size[k]]) and self.languages[own] != UNKNOWN)
         return names, scores, accepted
 
 
@@ -119,6 +130,47 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
+def _pieces(texts: list[str], power: int) -> np.ndarray:
+    """Pieces of 2 ** power bytes, a row each, at even distances in the texts one after the other, which repeat if they are too short."""
+    line = np.frombuffer(" ".join(texts).encode(), np.uint8)
+    starts = np.linspace(0, max(0, len(line) - (1 << power)), max(8, PIECES >> max(0, power - 11))).astype(int)
+    return line[(starts[:, None] + np.arange(1 << power)) % len(line)]
+
+
+def _likeness(pieces: np.ndarray, idf: np.ndarray, centres: np.ndarray) -> list[tuple[int, float]]:
+    """Size of each piece and its cosine to the nearest centroid."""
+    out = []
+    for piece in pieces:
+        counts = _counts(tk.Chunk(0, 1, piece, np.array([0, len(piece)])))
+        out.append((int(_size(counts)[0]), float((_vectors(counts, idf) @ centres.T).max())))
+    return out
+
+
+def _by_size(found: list[tuple[int, float]], share: float) -> np.ndarray:
+    """The quantile of the cosines at each of SIZES; sizes that no piece has take it from those beside them."""
+    at = sorted({k for k, _ in found})
+    return np.interp(np.arange(len(SIZES)), at, [np.quantile([x for k, x in found if k == i], share) for i in at])
+
+
+def _floors(texts: list[str], idf: np.ndarray, centres: np.ndarray) -> list[float]:
+    """Distance-based rejection, a floor for each of SIZES.
+
+    True pieces are compared with the same pieces with their bytes shuffled.
+    The floor lies above nearly all shuffled ones by MARGIN of the way to the
+    middle of the true ones; where that would reject more than the lowest few
+    true ones, as in texts too short to tell, it is far below all true ones.
+    """
+    true, noise, chance = [], [], np.random.default_rng(7)
+    for power in LENGTHS:
+        pieces = _pieces(texts, power)
+        true += _likeness(pieces, idf, centres)
+        noise += _likeness(chance.permuted(pieces, axis=1), idf, centres)
+    middle, low, least = (_by_size(true, q) for q in (0.5, 0.02, 0.0))
+    above = _by_size(noise, 0.98)
+    floor = above + MARGIN * (middle - above)
+    return np.where(floor <= low, floor, np.minimum(floor, 0.5 * least)).tolist()
+
+
 def fit(train: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", centroids: int = CENTROIDS, fit_rows: int = FIT_ROWS) -> Model:
     """Learn from rows with a label and a text that is neither null nor without letters.
 
@@ -163,16 +215,14 @@ def fit(train: DataFrame, text: str = "text", label: str = "lang", key: str = "d
         column = pa.array([r.t for r in sample if r.lang == language and _spoken(r.t)], pa.large_string())
         blocks = [_vectors(_counts(c), idf) for c in _chunks(column)]
         x = np.concatenate(blocks) if blocks else np.zeros((0, DIMENSIONS), np.float32)
-        enough = (x > 0).sum(axis=1) >= LEAST_GRAMS
         if not len(x):
-            floor.append(0.0)
+            floor.append([0.0] * len(SIZES))
             continue
         found = _cluster(x, centroids)
         centres.append(found)
         owner += [own] * len(found)
-        # Distance-based rejection: far below what training texts show.
-        near = (x @ found.T).max(axis=1)[enough]
-        floor.append(0.5 * float(np.quantile(near, 0.002)) if len(near) else 0.0)
+        # Half of the rows give the floors by their distance to the centroids of the other half.
+        floor.append(_floors(column[1::2].to_pylist() or column.to_pylist(), idf, _cluster(x[::2], centroids)))
     if not centres:
         return _Nothing(idf)
     return Model(languages, idf, np.concatenate(centres), np.array(owner), np.array(floor))
@@ -182,17 +232,16 @@ class _Nothing(Model):
     """What is learnt from no rows."""
 
     def __init__(self, idf: np.ndarray):
-        super().__init__([UNKNOWN], idf, np.zeros((1, DIMENSIONS), np.float32), np.zeros(1, int), np.array([2.0]))
+        super().__init__([UNKNOWN], idf, np.zeros((1, DIMENSIONS), np.float32), np.zeros(1, int), np.full((1, len(SIZES)), 2.0))
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred, score (cosine to the nearest centroid) and accepted.
 
     Null texts and texts without a letter are ``und`` with score 0 and are not
-    accepted; a text of at least LEAST_GRAMS different n-grams whose best cosine
-    is below its language's floor keeps the nearest language and is not
-    accepted.  Ties go to the first language by
-    name.  Rows are neither moved nor dropped; clashing columns are replaced.
+    accepted; a text whose best cosine is below the floor of its language and
+    size keeps the nearest language and is not accepted.  Ties go to the
+    first language by name.  Rows are neither moved nor dropped; clashing columns are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
