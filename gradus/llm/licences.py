@@ -9,7 +9,7 @@ shuffles nor joins.
 from __future__ import annotations
 
 import json
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -24,9 +24,6 @@ UNKNOWN = "unknown"
 LEAST_PROBABILITY = 0.5
 LEAST_OVERLAP = 0.6
 
-# Words without one of which a paragraph is no licence statement, in lower case.
-ANCHORS = ["licen", "copyright", "reserved", "warrant", "permission", "redistribut", "spdx", "public domain", "creative commons", "gpl", "cc by", "cc-by", "cc0"]
-
 # Statements of licence families.
 TEMPLATES = {
     "mit": [
@@ -103,7 +100,7 @@ TEMPLATES = {
     ],
 }
 
-# Paragraphs that use the anchors and state no licence.
+# Paragraphs that state no licence, most with words of licences.
 OTHER = [
     "He lost his driving licence after the accident and had to take the bus to work.",
     "The restaurant applied for a liquor license last spring, and the council granted it.",
@@ -121,21 +118,31 @@ OTHER = [
     "The agreement reserved the right of the town to use the road.",
     "License fees rose again this year, which angered the fishermen.",
     "She wrote a book about copyright and creative commons, and how writers earn a living.",
+    "The software of the new machine was written by two students in a single summer.",
+    "Use the form on this page to send us your question, and we will answer within a week.",
+    "Version 2.0 of the game came out in 2019 and sold well in the first three months.",
+    "The library is open to the public from nine to five, free of charge for all children.",
+    "Er verlor seinen F\u00fchrerschein und musste mit dem Bus zur Arbeit fahren.",
+    "Die Rechte der Kinder waren das Thema der Stunde, und alle haben viel gelernt.",
+    "Avec la permission du professeur, les enfants sont sortis plus t\u00f4t de la salle.",
+    "Tous les soirs, il lisait un livre sous la licence du vieux p\u00eacheur.",
+    "Con el permiso de la maestra, los ni\u00f1os salieron temprano de la sala.",
+    "La licencia de pesca cuesta m\u00e1s este a\u00f1o, y eso no gusta a nadie.",
 ]
 
 _PREFIXES = ["", "Copyright (c) 2021 Example Authors. ", "# ", "Notice: "]
 
 
 def _variants() -> list[dict]:
-    """Each statement as it is, after prefixes, and each half of a long one; every fourth is for calibration."""
+    """Each statement as it is, after prefixes, and each half of a long one; all forms of every third one are for calibration."""
     out = []
     for family, statements in [*TEMPLATES.items(), (UNKNOWN, OTHER)]:
-        for text in statements:
+        for number, text in enumerate(statements):
             words = text.split()
             forms = [p + text for p in _PREFIXES] if family != UNKNOWN else [text, text + " " + text, "Yesterday, " + text, text + " That was all."]
             if len(words) >= 24 and family != UNKNOWN:
                 forms += [" ".join(words[: len(words) // 2]), text + " " + text]
-            out += [{"family": family, "text": f, "held": i == 3} for i, f in enumerate(forms)]
+            out += [{"family": family, "text": f, "held": number % 3 == 1} for f in forms]
     return out
 
 
@@ -155,41 +162,69 @@ def _literal(value: object, kind: str) -> Column:
 
 
 class Model:
-    """families in order of the classes; weights by bucket and class; intercepts; temperature that calibrates."""
+    """families in order of the classes, unknown first; weights by bucket and class; intercepts; temperature that calibrates; n-grams that it knows."""
 
-    def __init__(self, families: list[str], weights: list[list[float]], intercept: list[float], temperature: float):
+    def __init__(self, families: list[str], weights: list[list[float]], intercept: list[float], temperature: float, known: list[str]):
         self.families, self.weights, self.intercept, self.temperature = families, weights, intercept, temperature
+        self.known = known
+
+    def telling(self) -> Callable[[Column], Column]:
+        """Whether an n-gram weighs more for some family than for unknown; if no intercept does, a paragraph without one is unknown for sure."""
+        told = [b for b, w in enumerate(self.weights) if max(w[1:]) > w[0]]
+        return lambda g: g.isin(self.known) & F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int").isin(told)
+
+    def needs_telling(self) -> bool:
+        return max(self.intercept[1:]) <= self.intercept[0]
 
-    def logits(self, hashed: Column) -> Column:
-        """Inputs have unit length: each of n buckets counts 1 / sqrt(n)."""
+    def logits(self, found: Column) -> Column:
+        """Each bucket of known n-grams counts 1 / sqrt(number of all n-grams)."""
         weights = _literal(self.weights, "array<array<double>>")
         zero = F.array(*[F.lit(0.0)] * len(self.families))
+        hashed = buckets(F.filter(found, lambda g: g.isin(self.known)))
         total = F.aggregate(hashed, zero, lambda acc, h: F.zip_with(acc, F.element_at(weights, h + 1), lambda a, b: a + b))
-        scale = F.sqrt(F.greatest(F.size(hashed), F.lit(1)).cast("double"))
+        scale = F.sqrt(F.greatest(F.size(found), F.lit(1)).cast("double"))
         return F.zip_with(total, _literal(self.intercept, "array<double>"), lambda a, b: (a / scale + b) / F.lit(self.temperature))
 
 
-def _soft(logits: Column) -> Column:
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+def _best(logits: Column) -> Column:
+    """(z, p): the greatest logit and its probability; each logit is read once."""
+    start = F.struct(F.lit(-1e300).alias("z"), F.lit(0.0).alias("s"), F.lit(0).alias("n"), F.lit(0).alias("f"))
+
+    def add(acc, x):
+        top = F.greatest(acc["z"], x)
+        s = acc["s"] * F.exp(acc["z"] - top) + F.exp(x - top)
+        return F.struct(top.alias("z"), s.alias("s"), (acc["n"] + 1).alias("n"), F.when(x > acc["z"], acc["n"]).otherwise(acc["f"]).alias("f"))
+
+    return F.aggregate(logits, start, add, lambda acc: F.struct(acc["f"].alias("f"), (1 / acc["s"]).alias("q")))
+
+
+def _regression(train: DataFrame, families: list[str], known: list[str]) -> Model:
+    """Sparse (elastic net) multinomial regression on (label, g), the n-grams of a statement."""
+    h = train.select("label", buckets(F.col("g")).alias("h"), F.size("g").cast("double").alias("n"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.when(F.array_contains("h", i), 1 / F.sqrt("n")).otherwise(F.lit(0.0)))
+    rows = h.select("label", array_to_vector(dense).alias("features")).coalesce(1)
+    fitted = LogisticRegression(family="multinomial", regParam=0.0005, elasticNetParam=0.2, maxIter=60, standardization=False).fit(rows)
+    matrix = fitted.coefficientMatrix.toArray()
+    weights = [[round(float(x), 5) for x in matrix[:, b]] for b in range(BUCKETS)]
+    return Model(families, weights, [float(x) for x in fitted.interceptVector], 1.0, known)
 
 
 def fit(spark: SparkSession) -> Model:
-    """Sparse (elastic net) multinomial regression on the variants, with the temperature of least log loss on those held."""
+    """Regression on all variants, with the temperature of least log loss on statements held out of another one.
+
+    The model knows the n-grams of the variants; others only make a paragraph longer.
+    """
     families = [UNKNOWN, *TEMPLATES]
     rows = F.from_json(F.lit(json.dumps([v | {"label": families.index(v["family"])} for v in _variants()])), "array<struct<family string, text string, held boolean, label double>>")
-    data = spark.range(1).select(F.explode(rows).alias("r")).select("r.*").withColumn("h", buckets(grams(F.col("text"))))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.when(F.array_contains("h", i), 1 / F.sqrt(F.size("h").cast("double"))).otherwise(F.lit(0.0)))
-    train = data.filter("not held").select("label", array_to_vector(dense).alias("features")).coalesce(1)
-    fitted = LogisticRegression(family="multinomial", regParam=0.0005, elasticNetParam=0.2, maxIter=60, standardization=False).fit(train)
-    matrix, n = fitted.coefficientMatrix, len(families)
-    weights = [[round(float(matrix[c, b]), 5) for c in range(n)] for b in range(BUCKETS)]
-    model = Model(families, weights, [float(x) for x in fitted.interceptVector], 1.0)
-    held = data.filter("held").select("label", model.logits(F.col("h")).alias("z"))
+    data = spark.range(1).select(F.explode(rows).alias("r")).select("r.*").withColumn("g", grams(F.col("text")))
+    seen = data.select("held", "g").collect()
+    trial = _regression(data.filter("not held"), families, sorted({g for r in seen if not r.held for g in r.g}))
+    held = data.filter("held").select("label", trial.logits(F.col("g")).alias("z"))
     choices = [0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5]
-    loss = lambda t: -F.log(F.element_at(_soft(F.transform("z", lambda x: x / F.lit(t))), F.col("label").cast("int") + 1))
+    own = F.element_at("z", F.col("label").cast("int") + 1)
+    loss = lambda t: F.log(F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp((x - own) / F.lit(t))))
     losses = held.agg(*[F.avg(loss(t)).alias(f"t{i}") for i, t in enumerate(choices)]).first()
+    model = _regression(data, families, sorted({g for r in seen for g in r.g}))
     model.temperature = choices[min(range(len(choices)), key=lambda i: losses[i])]
     return model
 
@@ -203,24 +238,23 @@ def scan(docs: DataFrame, model: Model | None = None, text: str = "text") -> Dat
     if that isn't unknown and has at least LEAST_PROBABILITY; it is confirmed
     if the share of n-grams common with its best template, of the smaller of
     the two, is at least LEAST_OVERLAP.  families holds the sorted confirmed
-    families.  A paragraph without any anchor is unknown by definition.  Null
-    and empty texts have no paragraphs.  Rows are neither moved nor dropped;
+    families.  Every paragraph is judged by the model; those without an n-gram
+    that speaks for some family are unknown without a sum.  Null and empty texts have no paragraphs.  Rows are neither moved nor dropped;
     clashing columns are replaced.
     """
     model = model or fit(docs.sparkSession)
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     low = F.lower(body)
-    has = lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(w)) for w in ANCHORS])
     parts = F.filter(F.when(F.regexp_like(low, F.lit(r"\n[ \t]*\n")), F.split(low, r"\n[ \t]*\n")).otherwise(F.split(low, "\n")), lambda p: F.regexp_like(p, F.lit(r"\S")))
-    none = F.array().cast("array<struct<i:int,p:string>>")
     out = without(docs, ["n_paragraphs", "licences", "families"])
     out = out.withColumn("__parts", parts)
-    numbered = F.transform("__parts", lambda p, i: F.struct(i.alias("i"), p.alias("p")))
-    out = out.withColumn("__cand", F.when(has(low), F.filter(numbered, lambda x: has(x["p"]))).otherwise(none))
-    out = out.withColumn("__grams", F.transform("__cand", lambda x: F.struct(x["i"].alias("i"), grams(x["p"]).alias("g"))))
-    out = out.withColumn("__probs", F.transform("__grams", lambda x: F.struct(x["i"].alias("i"), x["g"].alias("g"), _soft(model.logits(buckets(x["g"]))).alias("q"))))
+    out = out.withColumn("__grams", F.transform("__parts", lambda p, i: F.struct(i.alias("i"), grams(p).alias("g"))))
+    if model.needs_telling():
+        telling = model.telling()
+        out = out.withColumn("__grams", F.filter("__grams", lambda x: F.exists(x["g"], telling)))
+    out = out.withColumn("__probs", F.transform("__grams", lambda x: F.struct(x["i"].alias("i"), x["g"].alias("g"), _best(model.logits(x["g"])).alias("b"))))
     names = _literal(model.families, "array<string>")
-    best = F.transform("__probs", lambda x: F.struct(x["i"].alias("i"), x["g"].alias("g"), F.array_max(x["q"]).alias("q"), F.element_at(names, F.array_position(x["q"], F.array_max(x["q"])).cast("int")).alias("f")))
+    best = F.transform("__probs", lambda x: F.struct(x["i"].alias("i"), x["g"].alias("g"), x["b"]["q"].alias("q"), F.element_at(names, x["b"]["f"] + 1).alias("f")))
     out = out.withColumn("__best", F.filter(best, lambda x: (x["f"] != UNKNOWN) & (x["q"] >= LEAST_PROBABILITY)))
     told = [(f, t) for f, ts in TEMPLATES.items() for t in ts]
     rows = docs.sparkSession.range(1).select(*[grams(F.lit(t)).alias(f"t{i}") for i, (_, t) in enumerate(told)]).first()
@@ -235,7 +269,7 @@ def scan(docs: DataFrame, model: Model | None = None, text: str = "text") -> Dat
     licences = F.transform("__met", lambda x: F.struct(x["paragraph"].alias("paragraph"), x["family"].alias("family"), x["probability"].alias("probability"), x["overlap"].alias("overlap"), (x["overlap"] >= LEAST_OVERLAP).alias("confirmed")))
     out = out.withColumn("n_paragraphs", F.size("__parts").cast("long")).withColumn("licences", licences)
     out = out.withColumn("families", F.array_sort(F.array_distinct(F.transform(F.filter("licences", lambda x: x["confirmed"]), lambda x: x["family"]))))
-    return out.drop("__parts", "__cand", "__grams", "__probs", "__best", "__met")
+    return out.drop("__parts", "__grams", "__probs", "__best", "__met")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -163,6 +163,13 @@ def test_languages_of_odd_rows(spark, odd, documents):
     assert [r.lang_pred == "und" for r in none] == [True, False]
     far = spark.createDataFrame([(1, "qxzj vkqw xzzq jjvx " * 3 + " ".join(f"{a}{b}qz{b}{a}xk" for a in "qxzjkvwyp" for b in "xqjzkwvpy")), (2, "This."), (3, "the and of this is that with for from have")], "doc_id long, text string")
     assert {r.doc_id: r.accepted for r in langid.identify(far, model).collect()} == {1: False, 2: True, 3: True}
+    rng = np.random.default_rng(5)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x4E00, 0x6E00))), "".join(map(chr, range(0x430, 0x450)))]
+    junk = [(n, " ".join("".join(rng.choice(list(letters), 6)) for _ in range(n))) for letters in alphabets for n in (20, 400, 2000, 20000)]
+    assert not any(r.accepted for r in langid.identify(spark.createDataFrame(junk, "n int, text string"), model).collect())
+    line = documents.filter("length(text) > 300").first().text[:300]
+    kept = langid.identify(spark.createDataFrame([(1, line), (2, (line + "\n") * 200)], "doc_id long, text string"), model).collect()
+    assert all(r.accepted for r in kept)
     nothing = langid.identify(odd, langid.fit(odd)).collect()
     assert {r.lang_pred for r in nothing} == {"und"} and not any(r.accepted for r in nothing)
 
@@ -212,6 +219,17 @@ def test_licences(spark, odd, documents):
     assert {r.doc_id: r.families for r in licences.scan(documents, model).collect()} == brute
 
 
+def test_every_paragraph_is_judged(spark):
+    """What is left out before the sum changes no result, and no word has to be in a paragraph."""
+    model = licences.fit(spark)
+    said = ["Dual MIT / Apache-2.0", "Distributed under the MIT terms", licences.TEMPLATES["proprietary"][3], "The road was long.", "x", "Alle Rechte vorbehalten"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(said + licences.OTHER)], "doc_id long, text string")
+    quick = {r.doc_id: r.licences for r in licences.scan(df, model).collect()}
+    model.needs_telling = lambda: False
+    assert quick == {r.doc_id: r.licences for r in licences.scan(df, model).collect()}
+    assert [[x.family for x in quick[i]] for i in range(5)] == [["apache"], ["mit"], ["proprietary"], [], []]
+
+
 def test_licence_plan_has_no_python(spark, documents):
     plan = licences.scan(documents)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
