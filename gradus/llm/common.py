@@ -5,12 +5,14 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import batched, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _FALLBACK: dict[str, str] = {}
 
@@ -151,3 +153,33 @@ def components(edges: DataFrame, work: Workspace, prefix: str = "cc") -> DataFra
     # At the fixed point every edge is (node, root).
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return leaves.unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def segmented(df: DataFrame, order: Sequence[str], work: Workspace, name: str) -> DataFrame:
+    """df in the total order of ``order`` (nulls first), written with ``at``, which ascends in it; ``at >> 33`` is the segment.
+
+    Segments come from a range partitioning, so a key with any number of rows
+    spans as many as it needs; rows that are equal in all of ``order`` stay in
+    one, so ``order`` should tell rows apart.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return work.save(ranged.withColumn("at", F.monotonically_increasing_id()), name).withColumn("seg", F.shiftright("at", 33))
+
+
+def stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Callable[[tuple, Iterator[tuple]], Iterable[tuple]], schema: str, size: int = 2048) -> DataFrame:
+    """``step(key, rows)`` for each key, whose rows it reads one by one in ``order``; its tuples make the result.
+
+    Columns of df come as they are, keys first.  Nothing is held but Arrow
+    batches, so memory does not grow with a key's rows unless step holds them.
+    """
+    columns = [*keys, *[c for c in df.columns if c not in keys]]
+    spread = df.select(*columns).repartition(*keys).sortWithinPartitions(*keys, *order)
+    width, out = len(keys), to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches):
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        made = (x for key, own in groupby(rows, key=lambda r: r[:width]) for x in step(key, own))
+        for part in batched(made, size):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), out.types, strict=True)], schema=out)
+
+    return spread.mapInArrow(run, schema)
