@@ -183,3 +183,14 @@ def stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Calla
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), out.types, strict=True)], schema=out)
 
     return spread.mapInArrow(run, schema)
+
+
+#: crc32 of the column k of ``crc_keys``, whose characters are ASCII: a table from the polynomial's rule, then a fold over the bytes.
+CRC32_SQL = r"""
+crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_concat([i::UBIGINT], list_transform(range(8), lambda x: x::UBIGINT)),
+      lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END) AS v FROM range(256) r(i))),
+crc AS (
+  SELECT k, xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(k, ''), lambda c: ascii(c)::UBIGINT)),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT) AS v FROM crc_keys, crc_table)"""

@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, segmented, stream
+from .common import CRC32_SQL, Workspace, segmented, stream
 
 RENAMED, DELETED, INSERTED, CUT_SHORT = 1, 2, 5, 5
 #: States: nothing yet, after system, after user, after assistant.  The first and the last may end.
@@ -312,16 +312,6 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", *[zero(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
-#: crc32 of the column k, whose characters are ASCII: a table from the polynomial's rule, then a fold over the bytes.
-CRC32_SQL = r"""
-crc_table AS (
-  SELECT list(v ORDER BY i) AS t FROM (
-    SELECT i, list_reduce(list_concat([i::UBIGINT], list_transform(range(8), lambda x: x::UBIGINT)),
-      lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END) AS v FROM range(256) r(i))),
-crc AS (
-  SELECT k, xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(k, ''), lambda c: ascii(c)::UBIGINT)),
-    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT) AS v FROM crc_keys, crc_table)"""
-
 OP13_SQL = (
     r"""
 WITH RECURSIVE raw AS (

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, decontaminate, jaccard, langid, licences, mixing, passages, pii, toxicity, vectors, wrappers
+from . import conversations, decontaminate, jaccard, langid, licences, manifest, mixing, passages, pii, toxicity, vectors, warc, wrappers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": passages.op8,
         "op9_toxicity": toxicity.op9,
         "op10_html_extraction": wrappers.op10,
+        "op11_warc_revisits": warc.op11,
+        "op12_merkle_manifest": manifest.op12,
         "op13_conversation_repair": conversations.op13,
     }
 
@@ -31,5 +33,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_benchmark_decontamination": decontaminate.OP4_SQL,
         "op5_source_mixing": mixing.OP5_SQL,
         "op7_embedding_near_dedup": vectors.OP7_SQL,
+        "op11_warc_revisits": warc.OP11_SQL,
+        "op12_merkle_manifest": manifest.OP12_SQL,
         "op13_conversation_repair": conversations.OP13_SQL,
     }
