@@ -64,9 +64,12 @@ def responses(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     return rows.select(_record(fields, _http(F.octet_length("payload")), F.col("payload")).alias("value"))
 
 
-def write(records: DataFrame, path: str) -> None:
-    """One file for each task; a task that is run again replaces its own file when it commits."""
-    records.select("value").write.mode("overwrite").option("lineSep", 2 * _END).text(path)
+def write(records: DataFrame, path: str, compression: str = "gzip") -> None:
+    """One file for each task; a task that is run again replaces its own file when it commits.
+
+    Compressed files are read by one task each; with "none", readers split them.
+    """
+    records.select("value").write.mode("overwrite").option("lineSep", 2 * _END).option("compression", compression).text(path)
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:

@@ -27,11 +27,12 @@ def _pages(spark, rows):
     return spark.createDataFrame([Row(page_id=i, url=u, html=h, value="x", TYPE=1) for i, u, h in rows], "page_id long, url string, html string, value string, TYPE int")
 
 
-def test_archive_round_trip_with_odd_payloads(spark, tmp_path):
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_archive_round_trip_with_odd_payloads(spark, tmp_path, compression):
     inner = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\nWARC/1.1\r\n" + "ß" * 50
     long = "word \r\n\r\n" * 300_000
     rows = [(1, "http://a/", inner), (2, None, inner), (3, "x\r\nContent-Length: 9", None), (None, "http://b/", long), (5, "http://b/", long), (5, "http://b/", long), (6, "u", ""), (7, "u", "short"), (8, "v", "short"), (9, "w", "WARC/1.1\r\n"), (10, "w", "\r\n\r\n")]
-    warc.write(warc.responses(_pages(spark, rows).repartition(3)), str(tmp_path / "a"))
+    warc.write(warc.responses(_pages(spark, rows).repartition(3)), str(tmp_path / "a"), compression)
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
@@ -40,7 +41,7 @@ def test_archive_round_trip_with_odd_payloads(spark, tmp_path):
         assert got == sorted(((i, h or "") for i, _, h in rows), key=repr)
         assert back.filter("not whole").count() == 0
         work = Workspace(spark, "test-warc")
-        warc.write(warc.deduplicated(back, work), str(tmp_path / "b"))
+        warc.write(warc.deduplicated(back, work), str(tmp_path / "b"), compression)
         kept = warc.read(spark, str(tmp_path / "b"))
         found = {(r.page_id, r.type, r.refers_to, r.payload_bytes) for r in kept.collect()}
         n, m = len(inner.encode()), len(long.encode())
@@ -52,7 +53,7 @@ def test_archive_round_trip_with_odd_payloads(spark, tmp_path):
 
 
 def test_archive_files_are_plain_warc(spark, tmp_path):
-    warc.write(warc.responses(_pages(spark, [(1, "http://a/", "héllo"), (2, "http://b/", "x" * 200)]).coalesce(1)), str(tmp_path / "a"))
+    warc.write(warc.responses(_pages(spark, [(1, "http://a/", "héllo"), (2, "http://b/", "x" * 200)]).coalesce(1)), str(tmp_path / "a"), "none")
     (file,) = (tmp_path / "a").glob("part-*")
     data, seen = file.read_bytes(), []
     while data:
@@ -70,7 +71,7 @@ def test_archive_files_are_plain_warc(spark, tmp_path):
 
 
 def test_torn_archive(spark, tmp_path):
-    warc.write(warc.responses(_pages(spark, [(1, "a", "x" * 300), (2, "b", "y" * 300)]).coalesce(1)), str(tmp_path / "a"))
+    warc.write(warc.responses(_pages(spark, [(1, "a", "x" * 300), (2, "b", "y" * 300)]).coalesce(1)), str(tmp_path / "a"), "none")
     (file,) = (tmp_path / "a").glob("part-*")
     (tmp_path / "c").mkdir()
     (tmp_path / "c" / "torn.warc").write_bytes(file.read_bytes()[:-40])
