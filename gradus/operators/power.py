@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 
 from . import stats
 
+def sha_seed(*parts: object) -> int:
+    return int(hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest(), 16) % 2**32
+
+
 CONTRASTS = ("1a", "1b", "1c_typicality", "1c_evocativeness", "1d")
 
 
@@ -78,7 +83,7 @@ def replicates(spark: SparkSession, contrasts: Sequence[str], item_counts: Seque
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                rng = np.random.default_rng(stats.sha_seed(seed, r.item_count, r.n, r.contrast, r.sim))
+                rng = np.random.default_rng(sha_seed(seed, r.item_count, r.n, r.contrast, r.sim))
                 x, y, code, at = simulate(r.contrast, rng, r.item_count, r.n, mu, var_group, var_resid, effect)
                 fit = stats.fit_term("t", "family_id")(_clusters(x, y, code), ["t" if i == at else str(i) for i in range(x.shape[1])])
                 raw = y if r.contrast != "1d" else y + mu

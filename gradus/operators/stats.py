@@ -2,15 +2,14 @@
 
 One aggregation makes, for each cell and cluster, the number of rows and the
 products of the design's columns and the outcome; everything after it works on
-these few numbers per cluster: cluster-robust least squares, the cluster and
-wild cluster bootstraps, the jackknife, random intercept and slope models.  A
+these few numbers per cluster: cluster-robust least squares, random intercept and
+slope models; the bootstraps are in ``resampling``.  A
 cell's clusters are the units of its design, so a cell is one group of a
 grouped map.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Callable, Sequence
@@ -180,98 +179,6 @@ def lmm(c: Clusters, reml: bool = False) -> dict:
     return {"beta": beta, "cov": cov, "log_likelihood": log, "var_cluster": rho * variance, "var_resid": variance, "converged": 0 < i < len(grid) - 1 or values[0] == max(values)}
 
 
-# ----- T-03, T-07: cluster bootstraps
-
-
-def sha_seed(*parts: object) -> int:
-    return int(hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest(), 16) % 2**32
-
-
-def bootstrap(c: Clusters, at: int, seeds: Sequence[int]) -> np.ndarray:
-    """Estimates of least squares on resampled clusters, a generator for each replicate."""
-    out = []
-    for s in seeds:
-        picks = np.random.default_rng(s).choice(len(c.n), size=len(c.n), replace=True)
-        weight = np.bincount(picks, minlength=len(c.n)).astype(float)
-        a = np.einsum("g,gij->ij", weight, c.xx)
-        if np.linalg.matrix_rank(a) > at:
-            out.append(_solve(a, weight @ c.xy)[at])
-    return np.array(out)
-
-
-def percentile_interval(estimates: np.ndarray) -> tuple[float | None, float | None]:
-    return (float(np.percentile(estimates, 2.5)), float(np.percentile(estimates, 97.5))) if len(estimates) >= 2 else (None, None)
-
-
-def bca_interval(c: Clusters, at: int, estimates: np.ndarray, alpha: float = 0.05) -> tuple[float, float]:
-    """Bias-corrected and accelerated, with the jackknife over clusters."""
-    whole_a, whole_b = c.xx.sum(axis=0), c.xy.sum(axis=0)
-    point = _solve(whole_a, whole_b)[at]
-    left_out = np.array([_solve(whole_a - x, whole_b - y)[at] for x, y in zip(c.xx, c.xy, strict=True)])
-    share = np.clip((estimates < point).mean(), 1 / (2 * len(estimates)), 1 - 1 / (2 * len(estimates)))
-    z0 = NORMAL.inv_cdf(float(share))
-    d = left_out.mean() - left_out
-    accel = (d**3).sum() / (6 * max((d**2).sum(), 1e-300) ** 1.5)
-    levels = []
-    for p in (alpha / 2, 1 - alpha / 2):
-        z = z0 + NORMAL.inv_cdf(p)
-        levels.append(100 * NORMAL.cdf(z0 + z / (1 - accel * z)))
-    low, high = np.percentile(estimates, levels)
-    return float(low), float(high)
-
-
-# ----- T-05, T-06: wild cluster bootstraps
-
-
-def wild(c: Clusters, at: Sequence[int], replicates: int = 1999, seed: int = 0) -> dict:
-    """Bootstrap-t (one term) or Wald F (several) under the null, with signs by cluster.
-
-    y* = fitted + w_g residual is linear in w, so X_g'y* needs X_g'X_g and
-    X_g'y_g of each cluster only.
-    """
-    at = list(at)
-    k = c.xy.shape[1]
-    rest = [i for i in range(k) if i not in at]
-    a = c.xx.sum(axis=0)
-    null = np.zeros(k)
-    if rest:
-        null[rest] = _solve(a[np.ix_(rest, rest)], c.xy.sum(axis=0)[rest])
-    fitted = c.xx @ null
-    resid = c.xy - fitted
-    inverse = np.linalg.pinv(a)
-    g, n = len(c.n), c.n.sum()
-    factor = g / max(g - 1, 1) * (n - 1) / max(n - k - c.absorbed, 1)
-
-    def statistic(xy: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        beta = inverse @ xy.sum(axis=0)
-        scores = xy - c.xx @ beta
-        cov = factor * inverse @ (scores.T @ scores) @ inverse
-        if len(at) == 1:
-            return beta[at[0]] / math.sqrt(max(cov[at[0], at[0]], 1e-300)), beta, cov
-        part = beta[at]
-        return float(part @ np.linalg.pinv(cov[np.ix_(at, at)]) @ part) / len(at), beta, cov
-
-    seen, beta, cov = statistic(c.xy)
-    rng = np.random.default_rng(seed)
-    signs = np.array([rng.choice(np.array([-1.0, 1.0]), size=g) for _ in range(replicates)])
-    drawn = np.empty(replicates)
-    for block in range(0, replicates, 256):
-        w = signs[block : block + 256]
-        xy = fitted[None] + w[:, :, None] * resid[None]
-        b = np.einsum("ij,rgj->ri", inverse, xy)
-        s = xy - np.einsum("gij,rj->rgi", c.xx, b)
-        v = factor * np.einsum("ia,rga,rgb,bj->rij", inverse, s, s, inverse, optimize=True)
-        if len(at) == 1:
-            drawn[block : block + 256] = b[:, at[0]] / np.sqrt(np.maximum(v[:, at[0], at[0]], 1e-300))
-        else:
-            for r in range(len(w)):
-                part = b[r, at]
-                drawn[block + r] = part @ np.linalg.pinv(v[r][np.ix_(at, at)]) @ part / len(at)
-    p = float(np.mean(np.abs(drawn) >= abs(seen)))
-    classical = dist.f_sf(seen, len(at), g - 1) if len(at) > 1 else dist.two_sided(seen)
-    return {"beta": float(beta[at[0]]), "se": float(math.sqrt(max(cov[at[0], at[0]], 0))), "statistic": float(seen), "p_wild": p, "p_classical": classical, "n_clusters": g}
-
-
 # ----- T-09, T-19: random slopes
 
 
@@ -335,30 +242,6 @@ def by_cell(df: DataFrame, formula: str, cell: Sequence[str], cluster: str, fit:
     return out.drop("__all") if not cell else out
 
 
-FIT = "estimate double, se double, p_value double, n_obs bigint, n_groups bigint, converged boolean, fallback_used boolean, method string"
-
-
-def fit_term(term: str, cluster: str) -> Callable[[Clusters, list[str]], dict]:
-    """T-01: the mixed model, or least squares if it doesn't converge or has no finite result; a cell is never dropped."""
-    label = f"{cluster.removesuffix('_id')}RI"
-
-    def fit(c: Clusters, names: list[str]) -> dict:
-        at = names.index(term)
-        base = {"n_obs": int(c.n.sum()), "n_groups": len(c.n)}
-        try:
-            m = lmm(c)
-            b, s = float(m["beta"][at]), float(math.sqrt(max(m["cov"][at, at], 0)))
-            if m["converged"] and math.isfinite(b) and s > 0:
-                return base | {"estimate": b, "se": s, "p_value": dist.two_sided(b / s), "converged": True, "fallback_used": False, "method": f"lmm-{label}"}
-        except np.linalg.LinAlgError:
-            pass
-        beta, cov = ols(c)
-        b, s = float(beta[at]), float(math.sqrt(max(cov[at, at], 0)))
-        return base | {"estimate": b, "se": s, "p_value": dist.two_sided(b / s) if s > 0 else 1.0, "converged": False, "fallback_used": True, "method": f"ols-{label}"}
-
-    return fit
-
-
 def ols_table(df: DataFrame, formula: str, term: str, cell: Sequence[str], cluster: str) -> DataFrame:
     """T-02, T-16, T-18."""
 
@@ -371,42 +254,6 @@ def ols_table(df: DataFrame, formula: str, term: str, cell: Sequence[str], clust
     return by_cell(df, formula, cell, cluster, fit, "estimate double, se double, t double, p_value double, n_obs bigint, n_groups bigint")
 
 
-def lmm_table(df: DataFrame, formula: str, term: str, cell: Sequence[str], cluster: str) -> DataFrame:
-    """T-01, T-10."""
-    return by_cell(df, formula, cell, cluster, fit_term(term, cluster), FIT)
-
-
-def wild_table(df: DataFrame, formula: str, terms: Sequence[str], cell: Sequence[str], cluster: str, seed: int, replicates: int = 1999) -> DataFrame:
-    """T-05, T-06, T-37, T-38."""
-    return by_cell(df, formula, cell, cluster, lambda c, names: wild(c, [names.index(t) for t in terms], replicates, seed), "beta double, se double, statistic double, p_wild double, p_classical double, n_clusters bigint")
-
-
-def bootstrap_table(df: DataFrame, formula: str, term: str, cell: Sequence[str], cluster: str, seed: int, contrast: str, replicates: int = 499) -> DataFrame:
-    """T-03, T-04, T-07."""
-
-    def fit(c: Clusters, names: list[str]) -> dict:
-        at = names.index(term)
-        found = bootstrap(c, at, [sha_seed(seed, contrast, "", b) for b in range(replicates)])
-        low, high = percentile_interval(found)
-        bca = bca_interval(c, at, found) if len(found) >= 2 else (None, None)
-        return {"ci_low": low, "ci_high": high, "bca_low": bca[0], "bca_high": bca[1], "n_used": len(found)}
-
-    return by_cell(df, formula, cell, cluster, fit, "ci_low double, ci_high double, bca_low double, bca_high double, n_used bigint")
-
-
-def lrt_table(df: DataFrame, full: str, reduced: str, cell: Sequence[str], cluster: str) -> DataFrame:
-    """T-15: twice the difference of log likelihoods, and its chi-square probability."""
-    kept = design(reduced).names
-
-    def fit(c: Clusters, names: list[str]) -> dict:
-        at = [names.index(n) for n in kept]
-        small = Clusters(c.n, c.xx[:, at][:, :, at], c.xy[:, at], c.yy, c.absorbed, c.names)
-        x = max(0.0, 2 * (lmm(c)["log_likelihood"] - lmm(small)["log_likelihood"]))
-        return {"chi2": x, "df": len(names) - len(at), "p_value": dist.chi2_sf(x, len(names) - len(at))}
-
-    return by_cell(df, full, cell, cluster, fit, "chi2 double, df int, p_value double")
-
-
 def slope_table(df: DataFrame, formula: str, term: str, cell: Sequence[str], cluster: str) -> DataFrame:
     """T-09, T-19."""
 
@@ -432,18 +279,6 @@ def variance_components(df: DataFrame, cell: Sequence[str], group: str, value: s
     return s.select(*cell, "var_group", "var_resid", icc.alias("icc"), (1 + (F.col("n_total") / F.col("k") - 1) * icc).alias("design_effect"), F.col("k").alias("n_groups"), F.col("n_total").alias("n_obs"))
 
 
-def reml_components(df: DataFrame, cell: Sequence[str], group: str, value: str) -> DataFrame:
-    """T-13, T-14."""
-
-    def fit(c: Clusters, names: list[str]) -> dict:
-        m = lmm(c, reml=True)
-        total = m["var_cluster"] + m["var_resid"]
-        icc = m["var_cluster"] / total if total > 0 else 0.0
-        return {"var_group": m["var_cluster"], "var_resid": m["var_resid"], "icc": icc, "design_effect": 1 + (c.n.mean() - 1) * icc, "n_groups": len(c.n), "n_obs": int(c.n.sum()), "converged": bool(m["converged"])}
-
-    return by_cell(df, f"{value} ~ 1", cell, group, fit, "var_group double, var_resid double, icc double, design_effect double, n_groups bigint, n_obs bigint, converged boolean")
-
-
 # ----- T-08, T-17: likelihoods on counts of distinct rows
 
 

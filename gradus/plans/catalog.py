@@ -553,30 +553,6 @@ def formats(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
-def mixed_model(spark: SparkSession, d: str) -> DataFrame:
-    """T-01: random intercepts of suppliers for each return flag."""
-    return r6(stats.lmm_table(table(spark, d, "lineitem"), "l_quantity ~ l_discount", "l_discount", ["l_returnflag"], "l_suppkey"))
-
-
-@query()
-def wild_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """T-05."""
-    return r6(stats.wild_table(table(spark, d, "lineitem"), "l_quantity ~ l_discount * l_tax", ["l_discount:l_tax"], ["l_returnflag"], "l_suppkey", 3, 499))
-
-
-@query()
-def joint_wild(spark: SparkSession, d: str) -> DataFrame:
-    """T-06."""
-    return r6(stats.wild_table(table(spark, d, "lineitem"), "l_quantity ~ l_discount + l_tax", ["l_discount", "l_tax"], ["l_returnflag"], "l_suppkey", 3, 199))
-
-
-@query()
-def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """T-03, T-07."""
-    return r6(stats.bootstrap_table(table(spark, d, "lineitem"), "l_quantity ~ l_discount", "l_discount", ["l_returnflag"], "l_suppkey", 7, "price", 199))
-
-
 @query(
     "WITH r AS (SELECT l_returnflag AS f, l_suppkey AS g, l_quantity - avg(l_quantity) OVER (PARTITION BY l_returnflag, l_suppkey) AS y, l_discount - avg(l_discount) OVER (PARTITION BY l_returnflag, l_suppkey) AS x FROM lineitem), "
     "t AS (SELECT f, count(*) AS n, count(DISTINCT g) AS k, sum(x * x) AS sxx, sum(x * y) / sum(x * x) AS b FROM r GROUP BY 1), s AS (SELECT f, g, sum(x * (y - b * x)) AS s FROM r JOIN t USING (f) GROUP BY 1, 2) "
@@ -588,18 +564,6 @@ def absorbed_effects(spark: SparkSession, d: str) -> DataFrame:
     return r6(out.select("l_returnflag", "estimate", "se", "n_obs", "n_groups"))
 
 
-@query()
-def likelihood_ratio(spark: SparkSession, d: str) -> DataFrame:
-    """T-15."""
-    return r6(stats.lrt_table(table(spark, d, "lineitem"), "l_quantity ~ l_discount + l_tax", "l_quantity ~ l_tax", ["l_returnflag"], "l_suppkey"))
-
-
-@query()
-def reml_components(spark: SparkSession, d: str) -> DataFrame:
-    """T-13."""
-    return r6(stats.reml_components(table(spark, d, "lineitem"), ["l_returnflag"], "l_suppkey", "l_quantity"))
-
-
 @query()
 def random_slopes(spark: SparkSession, d: str) -> DataFrame:
     """T-09, T-19."""
@@ -629,4 +593,4 @@ def probes(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-from . import study_queries as study_queries  # noqa: E402  registers further queries
+from . import stat_queries, study_queries  # noqa: E402, F401  register further queries

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import distributions as dist
-from ..operators import aggregates, joins, routing, stats
+from ..operators import aggregates, joins, profile, resampling, routing
 
 _BOTH = ["moral", "nonmoral"]
 
@@ -76,10 +76,10 @@ def run(prepared: DataFrame, fit: Fit, replicates: int = 1999, least: int = 30,
     rows = frame_of(prepared, fit)
     guard = rows.groupBy(*cell).agg(F.count("*").alias("n"), F.count_distinct(fit.cluster).alias("n_groups")).withColumn("untestable", (F.col("n") < least) | (F.col("n_groups") < clusters))
     kept = rows.join(guard.filter("not untestable").select(*cell), cell, "left_semi")
-    wild = stats.wild_table(kept, fit.formula, fit.terms, cell, fit.cluster, fit.seed, replicates)
+    wild = resampling.wild_table(kept, fit.formula, fit.terms, cell, fit.cluster, fit.seed, replicates)
     out = guard.join(wild.drop("n_clusters"), cell, "left")
     if "C(" not in fit.formula:
-        mixed = stats.lmm_table(kept, fit.formula, fit.terms[0], cell, fit.cluster).select(*cell, F.col("estimate").alias("lmm_estimate"), F.col("p_value").alias("lmm_p"))
+        mixed = profile.lmm_table(kept, fit.formula, fit.terms[0], cell, fit.cluster).select(*cell, F.col("estimate").alias("lmm_estimate"), F.col("p_value").alias("lmm_p"))
         out = out.join(mixed, cell, "left")
     return out.select(F.lit(fit.name).alias("fit"), *cell, *[c for c in out.columns if c not in cell])
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 #: Rows of an Arrow batch; Spark's default of 10,000 texts takes tens of megabytes in each worker and executor.
@@ -41,3 +42,10 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = _FALLBACK.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="gradus-"))
     return root.rstrip("/")
+
+
+def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: it is computed once, and a lost executor costs later jobs nothing."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,11 +1,13 @@
+import hashlib
 import math
+import statistics
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gradus.operators import power, stats, vectors
+from gradus.operators import power, profile, resampling, stats, vectors
 from gradus.plans import analysis
 
 
@@ -56,24 +58,67 @@ def test_absorbed_factor_matches_dummies(spark, data):
     assert math.isclose(got.estimate, beta[0], rel_tol=1e-8) and math.isclose(got.se, math.sqrt(cov[0, 0]), rel_tol=1e-6)
 
 
-def test_wild_bootstrap_matches_refits(spark, data):
-    got = stats.wild_table(spark.createDataFrame(data), "y ~ x + z", ["z"], [], "g", 3, 99).first()
+def hashed_signs(seed, replicate, names):
+    digest = lambda n: hashlib.sha256(f"{seed}|{replicate // 32}|{n}".encode()).hexdigest()
+    return np.array([1.0 - 2 * (int(digest(n)[:8], 16) >> replicate % 32 & 1) for n in names])
+
+
+@pytest.mark.parametrize("terms", [["z"], ["x", "z"]])
+def test_wild_bootstrap_matches_refits(spark, data, terms):
+    got = resampling.wild_table(spark.createDataFrame(data), "y ~ x + z", terms, [], "g", 3, 99).first()
     X, y, g = dense(data, ["x", "z"])
-    beta, cov = cluster_cov(X, y, g)
-    t = beta[2] / math.sqrt(cov[2, 2])
-    R = X[:, :2]
+    at = [["x", "z"].index(t) + 1 for t in terms]
+
+    def statistic(v):
+        beta, cov = cluster_cov(X, v, g)
+        if len(at) == 1:
+            return beta[at[0]] / math.sqrt(cov[at[0], at[0]])
+        return beta[at] @ np.linalg.inv(cov[np.ix_(at, at)]) @ beta[at] / len(at)
+
+    t = statistic(y)
+    R = X[:, [i for i in range(3) if i not in at]]
     fit = R @ np.linalg.lstsq(R, y, rcond=None)[0]
-    rng = np.random.default_rng(3)
-    code = np.unique(g, return_inverse=True)[1]
-    ts = []
-    for _ in range(99):
-        w = rng.choice(np.array([-1.0, 1.0]), size=24)
-        b, c = cluster_cov(X, fit + w[code] * (y - fit), g)
-        ts.append(b[2] / math.sqrt(c[2, 2]))
-    assert math.isclose(got.statistic, t, rel_tol=1e-9)
+    names, code = np.unique(g, return_inverse=True)
+    ts = [statistic(fit + hashed_signs(3, r, names)[code] * (y - fit)) for r in range(99)]
+    assert math.isclose(got.statistic, t, rel_tol=1e-9) and got.n_clusters == 24
     assert math.isclose(got.p_wild, float(np.mean(np.abs(ts) >= abs(t))), abs_tol=1e-12)
 
 
+def test_bootstrap_matches_resampled_rows(spark, data):
+    got = resampling.bootstrap_table(spark.createDataFrame(data), "y ~ x", "x", [], "g", 5, 80).first()
+    X, y, g = dense(data, ["x"])
+    names = np.unique(g)
+    slope = lambda rows: np.linalg.lstsq(X[rows], y[rows], rcond=None)[0][1]
+    draws = []
+    for r in range(80):
+        h = [hashlib.sha256(f"5|{r // 4}|{i}".encode()).hexdigest() for i in range(24)]
+        picks = [int(x[15 * (r % 4) : 15 * (r % 4) + 15], 16) % 24 for x in h]
+        draws.append(slope(np.concatenate([np.flatnonzero(g == names[p]) for p in picks])))
+    draws, point = np.array(draws), slope(np.arange(len(y)))
+    jack = np.array([slope(np.flatnonzero(g != n)) for n in names])
+    dev = jack.mean() - jack
+    accel = (dev**3).sum() / (6 * (dev**2).sum() ** 1.5)
+    share = (draws < point).mean()
+    normal = statistics.NormalDist()
+    z0 = normal.inv_cdf(share)
+    levels = [normal.cdf(z0 + (z0 + q) / (1 - accel * (z0 + q))) for q in (normal.inv_cdf(0.025), normal.inv_cdf(0.975))]
+    want = [*np.percentile(draws, [2.5, 97.5]), *np.quantile(draws, levels), share, accel]
+    assert np.allclose([got.ci_low, got.ci_high, got.bca_low, got.bca_high, got.share_below, got.acceleration], want, rtol=1e-8, atol=1e-10)
+    assert got.n_used == 80
+
+
+def test_bootstraps_do_not_depend_on_partitions(spark, data):
+    seen = set()
+    for n in ("1", "9"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        df = spark.createDataFrame(data).repartition(int(n)).withColumn("cell", F.when(F.col("x") > 0, "a"))
+        rows = resampling.wild_table(df, "y ~ x", ["x"], ["cell"], "g", 1, 64).union(resampling.bootstrap_table(df, "y ~ x", "x", ["cell"], "g", 1, 64).select("cell", "ci_low", "ci_high", "bca_low", "bca_high", "acceleration", "n_used")).collect()
+        assert {r.cell for r in rows} == {"a", None}
+        seen.add(tuple(sorted(str([None if v is None else round(v, 9) if isinstance(v, float) else v for v in r]) for r in rows)))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(seen) == 1
+
+
 def test_mixed_model_is_the_maximum(spark, data):
     c = stats.Clusters.of(stats.sufficient(spark.createDataFrame(data), stats.design("y ~ x"), [], "g").toPandas())
     m = stats.lmm(c)
@@ -95,18 +140,72 @@ def test_mixed_model_is_the_maximum(spark, data):
     assert abs(m["beta"][1] - 0.7) < 0.2 and 0.4 < m["var_cluster"] < 2.5
 
 
-def test_intervals_and_components(spark, data):
+def test_profiles_match_a_search_in_one_place(spark, data):
     df = spark.createDataFrame(data)
-    got = stats.bootstrap_table(df, "y ~ x", "x", [], "g", 1, "c", 199).first()
-    assert got.ci_low < 0.7 < got.ci_high and got.bca_low < got.bca_high
-    reml, moments = stats.reml_components(df, [], "g", "y").first(), stats.variance_components(df.withColumn("a", F.lit(1)), ["a"], "g", "y").first()
+    c = stats.Clusters.of(stats.sufficient(df, stats.design("y ~ x + z"), [], "g").toPandas())
+    m = stats.lmm(c)
+    got = profile.lmm_table(df, "y ~ x + z", "x", [], "g").first()
+    assert math.isclose(got.estimate, m["beta"][1], rel_tol=1e-7) and math.isclose(got.se, math.sqrt(m["cov"][1, 1]), rel_tol=1e-7)
+    assert got.converged and got.method == "lmm-gRI" and (got.n_obs, got.n_groups) == (240, 24)
+    lrt = profile.lrt_table(df, "y ~ x + z", "y ~ z", [], "g").first()
+    small = stats.Clusters.of(stats.sufficient(df, stats.design("y ~ z"), [], "g").toPandas())
+    assert math.isclose(lrt.chi2, 2 * (m["log_likelihood"] - stats.lmm(small)["log_likelihood"]), rel_tol=1e-8) and lrt.df == 1 and lrt.p_value < 1e-6
+    reml = profile.reml_table(df, [], "g", "y").first()
+    one = stats.lmm(stats.Clusters.of(stats.sufficient(df, stats.design("y ~ 1"), [], "g").toPandas()), reml=True)
+    assert math.isclose(reml.var_group, one["var_cluster"], rel_tol=1e-5) and math.isclose(reml.var_resid, one["var_resid"], rel_tol=1e-6)
+    moments = stats.variance_components(df.withColumn("a", F.lit(1)), ["a"], "g", "y").first()
     assert abs(reml.var_group - moments.var_group) < 0.2 and abs(reml.icc - moments.icc) < 0.1
-    lrt = stats.lrt_table(df, "y ~ x + z", "y ~ z", [], "g").first()
-    assert lrt.p_value < 1e-6 and lrt.df == 1
     slope = stats.slope_table(df, "y ~ x", "x", [], "g").first()
     assert abs(slope.estimate - 0.7) < 0.25 and slope.slope_variance < 0.3
 
 
+def test_a_cell_of_one_cluster_falls_back(spark):
+    df = spark.createDataFrame([("a", float(i), float(2 * i + i % 3)) for i in range(9)], "g string, x double, y double")
+    got = profile.lmm_table(df, "y ~ x", "x", [], "g").first()
+    assert got.n_groups == 1 and got.n_obs == 9 and got.fallback_used != got.converged
+
+
+def test_interaction_of_factors_matches_dense_fits(spark):
+    rng = np.random.default_rng(33)
+    rows = []
+    for g in range(30):
+        u = rng.normal()
+        for _ in range(rng.integers(3, 12)):
+            a, b = rng.choice(["base", "half", "full"]), rng.choice(["p", "q", "r", "s"])
+            if (a, b) != ("full", "r"):  # a pair that never occurs
+                rows.append((f"g{g}", a, b, float(u + (a == "half") + 0.5 * (b == "q") + 0.9 * (a == "full") * (b == "s") + rng.normal())))
+    pdf = pd.DataFrame(rows, columns=["g", "a", "b", "y"])
+    df = spark.createDataFrame([*rows, (None, "base", "p", 1.0), ("g1", None, "p", 1.0), ("g1", "base", "p", None), ("g1", "base", "p", float("nan"))], "g string, a string, b string, y double")
+    got = profile.interaction_test(df, "y", "a", "b", "g").first()
+
+    def top(X):
+        y, code = pdf["y"].to_numpy(), pd.factorize(pdf["g"])[0]
+        n = np.bincount(code).astype(float)
+        S, t = np.zeros((len(n), X.shape[1])), np.bincount(code, y)
+        np.add.at(S, code, X)
+
+        def log(rho):
+            s = rho / (1 + n * rho)
+            a, b = X.T @ X - (S * s[:, None]).T @ S, X.T @ y - S.T @ (s * t)
+            rss = y @ y - (s * t * t).sum() - b @ np.linalg.pinv(a) @ b
+            return -0.5 * (len(y) * (math.log(2 * math.pi * rss / len(y)) + 1) + np.log1p(n * rho).sum())
+
+        grid = np.concatenate([[0], np.exp(np.linspace(-10, 6, 4001))])
+        return max(map(log, grid)), np.linalg.matrix_rank(X)
+
+    x, z = pd.get_dummies(pdf["a"]).to_numpy(float), pd.get_dummies(pdf["b"]).to_numpy(float)
+    full, reduced = top(np.einsum("ni,nj->nij", x, z).reshape(len(pdf), -1)), top(np.column_stack([x, z]))
+    assert math.isclose(got.chi2, 2 * (full[0] - reduced[0]), abs_tol=1e-4)
+    assert (got.df, got.n_cells, got.n_obs, got.n_groups) == (full[1] - reduced[1], 11, len(pdf), 30) and got.df == 5
+
+
+def test_interaction_of_nothing(spark):
+    empty = spark.createDataFrame([], "g string, a string, b string, y double")
+    assert profile.interaction_test(empty, "y", "a", "b", "g").count() == 0
+    one = spark.createDataFrame([("g", "a", "b", 1.0), ("h", "a", "b", 2.0)], "g string, a string, b string, y double")
+    assert profile.interaction_test(one, "y", "a", "b", "g").first().p_value is None
+
+
 def test_likelihood_models(spark):
     rng = np.random.default_rng(2)
     x = rng.integers(0, 2, 2000) - 0.5
