@@ -254,3 +254,89 @@ def _quantiles(estimates: DataFrame, levels: DataFrame, keys: list[str]) -> Data
         place = F.col(f"{side}_level") * (F.col("n_used") - 1)
         out.append(F.sum(F.col("estimate") * F.greatest(1 - F.abs(F.col("r") - place), F.lit(0.0))).alias(f"bca_{side}"))
     return rows.groupBy(*keys).agg(*out)
+
+
+# ----- T-20: SIMEX
+
+
+def normals(material: Column) -> list[Column]:
+    """Four standard normal deviates of a string: pairs of 60 bits of its SHA-256, by sines and cosines."""
+    h = F.sha2(material, 256)
+    u = [(F.conv(F.substring(h, 15 * j + 1, 15), 16, 10).cast("double") + 0.5) / float(1 << 60) for j in range(4)]
+    return [F.sqrt(-2 * F.log(u[j])) * f(2 * np.pi * u[j + 1]) for j in (0, 2) for f in (F.cos, F.sin)]
+
+
+def simex_table(
+    df: DataFrame,
+    cell: Sequence[str],
+    cluster: str,
+    item: str,
+    outcome: str,
+    predictor: str,
+    error_variance: str,
+    sign: str,
+    seed: int = 0,
+    draws: int = 200,
+    outer: int = 200,
+    inner: int = 20,
+    lambdas: tuple[float, float, float, float] = (0.5, 1.0, 1.5, 2.0),
+) -> DataFrame:
+    """T-20: slope-by-sign interaction within clusters, extrapolated to a predictor without error, with an interval over resampled clusters.
+
+    Predictor, its error variance (missing: the cell's mean) and sign belong to
+    an item.  Noise is drawn for each item, draw and lambda; the coefficient's
+    mean over draws is extrapolated by a quadratic to lambda = -1.  The interval
+    repeats this with ``inner`` fresh draws on each of ``outer`` samples of
+    clusters.  Nested draws are rows over item sums, and a sample multiplies
+    what its clusters' deviations add to the normal equations, so work is split
+    by rows and no cell lies in one task.  Columns: naive, simex, low, high,
+    p_boot, n, n_items, n_clusters.  Rows that lack any of the columns are left out.
+    """
+    spark = df.sparkSession
+    keys = list(cell)
+    if not keys:
+        df, keys = df.withColumn("__all", F.lit(0)), ["__all"]
+    rows = df.select(*keys, F.col(cluster).cast("string").alias("cluster"), F.col(item).cast("string").alias("item"), *[F.col(c).cast("double").alias(n) for c, n in ((outcome, "y"), (predictor, "x"), (error_variance, "v"), (sign, "s"))])
+    rows = rows.dropna(subset=["cluster", "item", "y", "x", "s"])
+    items = rows.groupBy(*keys, "cluster", "item", "x", "v", "s").agg(F.count("*").alias("n"), F.sum("y").alias("sy"))
+    items = written(spark, items, "items")
+    mean = items.groupBy(*keys).agg(F.coalesce(F.avg("v"), F.lit(0.0)).alias("mean_v"))
+    items = beside(items, mean, keys).withColumn("v", F.greatest(F.coalesce("v", "mean_v"), F.lit(0.0))).drop("mean_v")
+    clusters = written(spark, indexed(items.select(*keys, "cluster").distinct(), keys), "clusters")
+
+    # Outer sample -1 is the data itself, with more inner draws.
+    nested = items.select("*", F.lit(-1).alias("outer"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("inner"))
+    if outer:
+        again = items.select("*", F.explode(F.sequence(F.lit(0), F.lit(outer - 1))).alias("outer")).select("*", F.explode(F.sequence(F.lit(0), F.lit(inner - 1))).alias("inner"))
+        nested = nested.unionAll(again)
+    material = F.concat_ws("|", F.lit(str(seed)), F.col("outer").cast("string"), F.col("inner").cast("string"), "cluster", "item")
+    noise = F.array(*[F.struct(F.lit(t).alias("t"), (F.col("x") + F.sqrt(F.lit(t) * F.col("v")) * z).alias("p")) for t, z in zip(lambdas, normals(material), strict=True)])
+    noisy = nested.withColumn("e", F.explode(noise)).select(*keys, "cluster", "outer", "inner", F.col("e.t").alias("t"), F.col("e.p").alias("p"), "s", "n", "sy")
+    # Without noise once for each sample.
+    once = [items.select("*", F.lit(-1).alias("outer")), *([items.select("*", F.explode(F.sequence(F.lit(0), F.lit(outer - 1))).alias("outer"))] if outer else [])]
+    for x in once:
+        noisy = noisy.unionAll(x.select(*keys, "cluster", "outer", F.lit(0).alias("inner"), F.lit(0.0).alias("t"), F.col("x").alias("p"), "s", "n", "sy"))
+    n, p, s, y = (F.col(c) for c in ("n", "p", "s", "sy"))
+    sums = {"n": n, "p": n * p, "q": n * p * s, "pp": n * p * p, "pq": n * p * p * s, "qq": n * p * p * s * s, "y": y, "py": p * y, "qy": p * s * y}
+    inside = noisy.groupBy(*keys, "cluster", "outer", "inner", "t").agg(*[F.sum(e).alias(f"s_{c}") for c, e in sums.items()])
+    less = lambda a, b: (F.col(f"s_{a + b}") - F.col(f"s_{a}") * F.col(f"s_{b}") / F.col("s_n")).alias(a + b)
+    inside = inside.select(*keys, "cluster", "outer", "inner", "t", less("p", "p"), less("p", "q"), less("q", "q"), less("p", "y"), less("q", "y"))
+    picks = clusters.select(*keys, "cluster", F.lit(-1).alias("outer"), F.lit(1).cast("bigint").alias("weight"))
+    if outer:
+        drawn = beside(weights(clusters.select(*keys, "i", "size"), keys, seed, outer), clusters.select(*keys, "i", "cluster"), [*keys, "i"])
+        picks = picks.unionAll(drawn.select(*keys, "cluster", F.col("replicate").alias("outer"), "weight"))
+    total = beside(inside, picks, [*keys, "cluster", "outer"]).groupBy(*keys, "outer", "inner", "t").agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in ("pp", "pq", "qq", "py", "qy")])
+    det = F.col("pp") * F.col("qq") - F.col("pq") * F.col("pq")
+    slope = F.when(det > 1e-12 * F.col("pp") * F.col("qq"), (F.col("pp") * F.col("qy") - F.col("pq") * F.col("py")) / det)
+    curve = total.groupBy(*keys, "outer", "t").agg(F.avg(slope).alias("b"))
+    # A quadratic's value at -1 is a fixed combination of its five means.
+    grid = np.array([0.0, *lambdas])
+    share = np.linalg.pinv(np.vander(grid, 3)).T @ np.array([1.0, -1.0, 1.0])
+    weight = F.coalesce(*[F.when(F.col("t") == float(t), F.lit(float(w))) for t, w in zip(grid, share, strict=True)])
+    estimates = curve.groupBy(*keys, "outer").agg(F.sum(weight * F.col("b")).alias("simex"), F.max(F.when(F.col("t") == 0, F.col("b"))).alias("naive"), F.count("b").alias("k")).filter(F.col("k") == len(grid))
+    estimates = written(spark, estimates, "estimates")
+    boot = estimates.filter("outer >= 0").groupBy(*keys).agg(F.percentile("simex", F.lit(0.025)).alias("low"), F.percentile("simex", F.lit(0.975)).alias("high"), (2 * F.least(F.avg((F.col("simex") <= 0).cast("double")), F.avg((F.col("simex") >= 0).cast("double")))).alias("p_boot"))
+    sizes = items.groupBy(*keys).agg(F.sum("n").alias("n"), F.count("*").alias("n_items"), F.count_distinct("cluster").alias("n_clusters"))
+    out = beside(estimates.filter("outer < 0").select(*keys, "naive", "simex"), sizes, keys)
+    boot = boot.select(*[F.col(k).alias(f"__{k}") for k in keys], "low", "high", "p_boot")
+    return out.join(boot, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left").select(*cell, "naive", "simex", "low", "high", "p_boot", "n", "n_items", "n_clusters")

@@ -366,36 +366,6 @@ def ordinal_table(df: DataFrame, formula: str, term: str, cell: Sequence[str] =
     return _on_counts(df, formula, cell, fit, "estimate double, se double, p_value double, converged boolean")
 
 
-# ----- T-20: SIMEX
-
-
-def simex_table(items: DataFrame, cell: Sequence[str], cluster: str, outcome: str, predictor: str, error_variance: str, sign: str, seed: int = 0, lambdas: Sequence[float] = (0.5, 1.0, 1.5, 2.0), draws: int = 200) -> DataFrame:
-    """Slope-by-sign interaction within clusters, extrapolated to a predictor without error (quadratic, to -1)."""
-    keys = list(cell) or ["__all"]
-    rows = items.withColumn("__all", F.lit(0)).select(*keys, F.col(cluster).cast("string").alias("g"), F.col(outcome).cast("double").alias("y"), F.col(predictor).cast("double").alias("x"), F.col(error_variance).cast("double").alias("v"), F.col(sign).cast("double").alias("s")).dropna()
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["g", "x", "y"])
-        code = pdf["g"].astype("category").cat.codes.to_numpy()
-        n = np.bincount(code)
-        y, x, v, s = (pdf[c].to_numpy() for c in "yxvs")
-        inside = lambda a: a - (np.bincount(code, a) / n)[code]
-
-        def slope(z):
-            a = np.stack([inside(z), inside(z * s)], axis=1)
-            return float(np.linalg.lstsq(a, inside(y), rcond=None)[0][1])
-
-        rng = np.random.default_rng(seed)
-        naive = slope(x)
-        means = [naive] + [float(np.mean([slope(x + math.sqrt(t) * np.sqrt(np.maximum(v, 0)) * rng.standard_normal(len(x))) for _ in range(draws)])) for t in lambdas]
-        curve = np.polyfit([0.0, *lambdas], means, 2)
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "naive": naive, "simex": float(np.polyval(curve, -1.0)), "n": len(x)}])
-
-    out = rows.groupBy(*keys).applyInPandas(run, ", ".join([*[f"{k} {types[k]}" for k in keys], "naive double, simex double, n bigint"]))
-    return out if cell else out.drop("__all")
-
-
 # ----- T-21: cumulative mixed model by sampling
 
 

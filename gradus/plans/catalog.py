@@ -585,12 +585,5 @@ def power_grid(spark: SparkSession, d: str) -> DataFrame:
     return r6(power.grid_points(power.replicates(spark, list(power.CONTRASTS), [10], [5], 20, 11)))
 
 
-@query()
-def probes(spark: SparkSession, d: str) -> DataFrame:
-    """T-27, T-29 (folds), T-30, T-31 (intervals): whether a vector tells its label's parity, by layer."""
-    x = table(spark, d, "embeddings").select(F.pmod("vec_id", F.lit(2)).cast("int").alias("layer"), (F.col("label") % 2).alias("y"), F.col("label").alias("g"), F.when(F.pmod("vec_id", F.lit(5)) == 0, "test").otherwise("train").alias("part"), F.col("embedding").alias("vec"))
-    return r6(vectors.probe_table(x, ["layer"], "y", "g", "part", "logistic", boots=50))
-
-
 
 from . import stat_queries, study_queries  # noqa: E402, F401  register further queries

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import profile, resampling, vectors
+from ..operators import gram, profile, resampling, vectors
 from .catalog import query, r6, table
 
 # ----- resampling
@@ -207,3 +208,180 @@ def suppression_sums(spark: SparkSession, d: str) -> DataFrame:
 def suppression_lrt(spark: SparkSession, d: str) -> DataFrame:
     """T-33: whether kinds of events differ by the same proportion in both halves."""
     return r6(profile.interaction_test(_suppression(spark, d), "normalised", "event_type", "component", "user_id"))
+
+
+# ----- probes
+
+_HALVES = "(SELECT vec_id, label, list_avg(list_filter(e, lambda x, i: i % 2 = 1)) AS x1, list_avg(list_filter(e, lambda x, i: i % 2 = 0)) AS x2, e[1] AS first, list_max(e) AS peak, list_min(e) AS low FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings))"
+
+
+def _probed(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of two features (means of odd and even places), targets from the whole vector, layers by id, labels as groups."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    half = lambda k: F.aggregate(F.filter("e", lambda x, i: i % 2 == k), F.lit(0.0), lambda a, b: a + b) / F.size(F.filter("e", lambda x, i: i % 2 == k))
+    return e.select("vec_id", "label", F.pmod("vec_id", F.lit(4)).alias("layer"), F.array(half(0), half(1)).alias("vec"), F.col("e")[0].alias("first"), F.array_max("e").alias("peak"), F.array_min("e").alias("low"), F.when(F.pmod("label", F.lit(3)) == 0, 1).otherwise(0).alias("part"))
+
+
+def _products(source: str, by: str, y: str) -> str:
+    return f"SELECT {by}, count(*) AS n, sum(x1) AS s1, sum(x2) AS s2, sum(x1 * x1) AS s11, sum(x1 * x2) AS s12, sum(x2 * x2) AS s22, sum({y}) AS sy, sum({y} * {y}) AS syy, sum(x1 * {y}) AS s1y, sum(x2 * {y}) AS s2y FROM {source} GROUP BY ALL"
+
+
+def _line(source: str, keep: str) -> str:
+    """b, v1 and v2 of a ridge with penalty 1 on standardised features, from rows of products."""
+    return f"""SELECT {keep}, v1, v2, sy / n - v1 * s1 / n - v2 * s2 / n AS b FROM (
+  SELECT *, (t1 * (n + 1) - r * n * t2) / ((n + 1) * (n + 1) - r * r * n * n) / d1 AS v1, (t2 * (n + 1) - r * n * t1) / ((n + 1) * (n + 1) - r * r * n * n) / d2 AS v2 FROM (
+    SELECT *, (s12 / n - s1 / n * s2 / n) / d1 / d2 AS r, (s1y - s1 * sy / n) / d1 AS t1, (s2y - s2 * sy / n) / d2 AS t2 FROM (
+      SELECT *, sqrt(s11 / n - s1 / n * s1 / n) AS d1, sqrt(s22 / n - s2 / n * s2 / n) AS d2 FROM {source})))"""
+
+
+_SSE = "syy - 2 * b * sy - 2 * v1 * s1y - 2 * v2 * s2y + n * b * b + 2 * b * (v1 * s1 + v2 * s2) + v1 * v1 * s11 + 2 * v1 * v2 * s12 + v2 * v2 * s22"
+
+
+@query(
+    f"""WITH e AS (SELECT *, vec_id % 4 AS layer, CASE WHEN label % 3 = 0 THEN 1 ELSE 0 END AS part FROM {_HALVES}),
+c AS (SELECT *, CASE WHEN vec_id % 10 <> 7 THEN peak END AS k FROM e), m AS (SELECT layer, avg(k) FILTER (part = 0) AS mk FROM c GROUP BY 1),
+f AS (SELECT c.*, coalesce(k, mk) AS q FROM c JOIN m USING (layer)), g AS (SELECT layer, regr_slope(first, q) AS slope, regr_intercept(first, q) AS cut FROM f WHERE part = 0 GROUP BY 1),
+r AS (SELECT f.*, first - cut - slope * q AS res FROM f JOIN g USING (layer)),
+s AS ({_products("e", "'raw' AS target, layer, part", "first")} UNION ALL {_products("r", "'residual' AS target, layer, part", "res")}),
+l AS ({_line("(SELECT * FROM s WHERE part = 0)", "target, layer, n AS n_train")})
+SELECT target, layer, round(b, 6) AS intercept, round(v1, 6) AS weight_1, round(v2, 6) AS weight_2, round(1 - ({_SSE}) / (syy - sy * sy / n), 6) AS score, n_train, n AS n_test FROM s JOIN l USING (target, layer) WHERE part = 1"""
+)
+def probes(spark: SparkSession, d: str) -> DataFrame:
+    """T-27, T-28, T-30: ridge probes of a target and of its residual on another, by layer; a tenth of the controls is missing."""
+    e = _probed(spark, d).withColumn("control", F.when(F.pmod("vec_id", F.lit(10)) != 7, F.col("peak")))
+    r = gram.residualised(e, ["layer"], "first", ["control"], F.col("part") == 0)
+    both = r.select("layer", "part", "vec", F.explode(F.create_map(F.lit("raw"), F.col("first"), F.lit("residual"), F.col("residual"))).alias("target", "y"))
+    f = gram.fits(gram.block_sums(both, ["target", "layer"], "part", "y"), ["target", "layer"])
+    return r6(f.select("target", "layer", "intercept", F.col("weights")[0].alias("weight_1"), F.col("weights")[1].alias("weight_2"), "score", "n_train", "n_test"))
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT *, vec_id % 4 AS layer FROM {_HALVES}),
+z AS (SELECT layer, label, n, row_number() OVER (PARTITION BY layer ORDER BY n DESC, CAST(label AS VARCHAR)) AS k FROM (SELECT layer, label, count(*) AS n FROM e GROUP BY 1, 2)),
+w AS (
+  SELECT DISTINCT layer, CAST(0 AS BIGINT) AS k, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS loads, CAST(NULL AS BIGINT) AS label, CAST(NULL AS BIGINT) AS fold FROM z
+  UNION ALL
+  SELECT w.layer, z.k, list_transform(loads, lambda x, i: x + CASE WHEN i = list_position(loads, list_min(loads)) THEN n ELSE 0 END), z.label, CAST(list_position(loads, list_min(loads)) - 1 AS BIGINT) FROM w JOIN z ON z.layer = w.layer AND z.k = w.k + 1),
+s AS ({_products("(SELECT e.*, fold FROM e JOIN w ON w.layer = e.layer AND w.label = e.label)", "layer, fold", "first")}),
+t AS (SELECT layer, sum(n) AS n, sum(s1) AS s1, sum(s2) AS s2, sum(s11) AS s11, sum(s12) AS s12, sum(s22) AS s22, sum(sy) AS sy, sum(syy) AS syy, sum(s1y) AS s1y, sum(s2y) AS s2y FROM s GROUP BY 1),
+o AS (SELECT layer, fold, t.n - s.n AS n, t.s1 - s.s1 AS s1, t.s2 - s.s2 AS s2, t.s11 - s.s11 AS s11, t.s12 - s.s12 AS s12, t.s22 - s.s22 AS s22, t.sy - s.sy AS sy, t.s1y - s.s1y AS s1y, t.s2y - s.s2y AS s2y FROM s JOIN t USING (layer)),
+l AS ({_line("o", "layer, fold")}),
+x AS (SELECT layer, fold, {_SSE} AS sse FROM s JOIN l USING (layer, fold))
+SELECT layer, round(1 - any_value(sse) / any_value(syy - sy * sy / n), 6) AS cv_score, CAST(any_value(n) AS BIGINT) AS n FROM (SELECT layer, sum(sse) AS sse FROM x GROUP BY 1) JOIN t USING (layer) GROUP BY 1"""
+)
+def probe_folds(spark: SparkSession, d: str) -> DataFrame:
+    """T-29: five folds of whole labels, each scored by a probe of the other four."""
+    e = _probed(spark, d)
+    folds = gram.group_folds(e, ["layer"], "label", 5)
+    rows = e.withColumn("label", F.col("label").cast("string")).join(folds, ["layer", "label"])
+    return r6(gram.cross_validated(gram.left_out(gram.block_sums(rows, ["layer"], "fold", "first"), ["layer"]), ["layer"]))
+
+
+@query(
+    f"""WITH e AS (SELECT *, vec_id % 4 AS layer FROM {_HALVES}), s AS ({_products("e", "layer, label % 5 AS domain", "first")}),
+t AS (SELECT layer, sum(n) AS n, sum(s1) AS s1, sum(s2) AS s2, sum(s11) AS s11, sum(s12) AS s12, sum(s22) AS s22, sum(sy) AS sy, sum(s1y) AS s1y, sum(s2y) AS s2y FROM s GROUP BY 1),
+o AS (SELECT layer, domain, t.n - s.n AS n, t.s1 - s.s1 AS s1, t.s2 - s.s2 AS s2, t.s11 - s.s11 AS s11, t.s12 - s.s12 AS s12, t.s22 - s.s22 AS s22, t.sy - s.sy AS sy, t.s1y - s.s1y AS s1y, t.s2y - s.s2y AS s2y FROM s JOIN t USING (layer)),
+l AS ({_line("o", "layer, domain")})
+SELECT layer, domain, round(1 - ({_SSE}) / (syy - sy * sy / n), 6) AS score, n FROM s JOIN l USING (layer, domain)"""
+)
+def probe_domains(spark: SparkSession, d: str) -> DataFrame:
+    """T-29: each domain scored by a probe of all others."""
+    e = _probed(spark, d).withColumn("domain", F.pmod("label", F.lit(5)))
+    return r6(gram.left_out(gram.block_sums(e, ["layer"], "domain", "first"), ["layer"]).select("layer", F.col("block").alias("domain"), "score", "n"))
+
+
+@query(
+    f"""WITH e AS (SELECT *, vec_id % 4 AS layer, CASE WHEN label % 3 = 0 THEN 1 ELSE 0 END AS part FROM {_HALVES}),
+u AS (SELECT 'first' AS target, layer, part, label, x1, x2, first AS y FROM e UNION ALL SELECT 'low', layer, part, label, x1, x2, low FROM e UNION ALL SELECT 'peak', layer, part, label, x1, x2, peak FROM e),
+s AS ({_products("u", "target, layer, part", "y")}), l AS ({_line("(SELECT * FROM s WHERE part = 0)", "target, layer")}),
+g AS (SELECT target, layer, CAST(label AS VARCHAR) AS g, count(*) AS n, sum(y) AS sy, sum(y * y) AS syy, sum(pow(y - b - v1 * x1 - v2 * x2, 2)) AS sse FROM u JOIN l USING (target, layer) WHERE part = 1 GROUP BY ALL),
+i AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS size FROM (SELECT DISTINCT g FROM g)),
+m AS (SELECT r, i, count(*) AS m FROM (SELECT r, CAST('0x' || substr(sha256('31|' || (r // 4) || '|' || i), 15 * (r % 4) + 1, 15) AS BIGINT) % size AS i FROM i, range(200) x(r)) GROUP BY 1, 2),
+d AS (SELECT target, layer, r, 1 - sum(m * sse) / (sum(m * syy) - sum(m * sy) * sum(m * sy) / sum(m * n)) AS score FROM g JOIN i USING (g) JOIN m USING (i) GROUP BY ALL),
+p AS (SELECT target, r, layer AS peak FROM d QUALIFY row_number() OVER (PARTITION BY target, r ORDER BY score DESC, layer) = 1),
+o AS (SELECT target, layer AS peak FROM (SELECT target, layer, 1 - sum(sse) / (sum(syy) - sum(sy) * sum(sy) / sum(n)) AS score FROM g GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY target ORDER BY score DESC, layer) = 1)
+SELECT a.target AS target_a, b.target AS target_b, any_value(oa.peak) AS peak_a, any_value(ob.peak) AS peak_b, any_value(oa.peak - ob.peak) AS diff, round(quantile_cont(a.peak - b.peak, 0.025), 6) AS diff_low, round(quantile_cont(a.peak - b.peak, 0.975), 6) AS diff_high, round(avg(CASE WHEN a.peak <> b.peak THEN 1.0 ELSE 0.0 END), 6) AS share_apart, count(*) AS n_draws
+FROM p a JOIN p b ON a.r = b.r AND a.target < b.target JOIN o oa ON oa.target = a.target JOIN o ob ON ob.target = b.target GROUP BY 1, 2"""
+)
+def peak_layers(spark: SparkSession, d: str) -> DataFrame:
+    """T-31: where three targets are best told, and how far apart over draws of test labels that they share."""
+    e = _probed(spark, d)
+    u = e.select("layer", "part", "label", "vec", F.explode(F.create_map(*[x for c in ("first", "low", "peak") for x in (F.lit(c), F.col(c))])).alias("target", "y"))
+    keys = ["target", "layer"]
+    f = gram.fits(gram.block_sums(u, keys, "part", "y"), keys)
+    groups = gram.group_errors(u.filter("part = 1"), f, keys, "y", "label")
+    return r6(gram.peak_differences(f.select(*keys, "score"), gram.drawn_scores(groups, keys, 31, 200), "target", "layer"))
+
+
+@query(
+    """WITH e AS (SELECT label % 2 AS layer, vec_id % 3 AS s, vec_id % 5 < 2 AS side, generate_subscripts(embedding, 1) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+v AS (SELECT 'c' || s AS c, layer AS m, pos, avg(CASE WHEN side THEN x END) - avg(CASE WHEN NOT side THEN x END) AS x FROM e GROUP BY ALL),
+g AS (SELECT a.c AS a, a.m, b.c AS b, b.m AS o, sum(a.x * b.x) AS v FROM v a JOIN v b USING (pos) GROUP BY ALL),
+w AS (SELECT a, b, max(v) FILTER (m = 0 AND o = 0) AS p, max(v) FILTER (m = 0 AND o = 1) AS q, max(v) FILTER (m = 1 AND o = 0) AS r, max(v) FILTER (m = 1 AND o = 1) AS s FROM g GROUP BY ALL),
+t AS (
+  SELECT x.a, x.b, (x.p * x.s - x.q * x.r) * (x.p * x.s - x.q * x.r) / ((y.p * y.s - y.q * y.r) * (z.p * z.s - z.q * z.r)) AS det,
+    ((y.s * x.p - y.q * x.r) * (z.s * x.p - z.q * x.q) + (y.s * x.q - y.q * x.s) * (z.p * x.q - z.q * x.p) + (y.p * x.r - y.r * x.p) * (z.s * x.r - z.q * x.s) + (y.p * x.s - y.r * x.q) * (z.p * x.s - z.q * x.r)) / ((y.p * y.s - y.q * y.r) * (z.p * z.s - z.q * z.r)) AS tr
+  FROM w x JOIN w y ON y.a = x.a AND y.b = x.a JOIN w z ON z.a = x.b AND z.b = x.b WHERE x.a < x.b),
+u AS (SELECT a, b, sqrt((tr + sqrt(greatest(tr * tr - 4 * det, 0))) / 2) AS c1, sqrt(greatest((tr - sqrt(greatest(tr * tr - 4 * det, 0))) / 2, 0)) AS c2 FROM t)
+SELECT a AS construct_a, b AS construct_b, round(acos(c1), 6) AS least_angle, round(acos(c2), 6) AS greatest_angle, round(c1, 6) AS top_cosine, round((c1 + c2) / 2, 6) AS mean_cosine FROM u"""
+)
+def probe_angles(spark: SparkSession, d: str) -> DataFrame:
+    """T-32: planes that three constructs' difference vectors of two layers span."""
+    e = table(spark, d, "embeddings").select((F.col("label") % 2).alias("layer"), F.concat(F.lit("c"), F.pmod("vec_id", F.lit(3)).cast("string")).alias("c"), (F.pmod("vec_id", F.lit(5)) < 2).alias("side"), F.col("embedding").alias("vec"))
+    diff = vectors.mean_difference(e, ["c", "layer"], F.col("side"))
+    v = diff.groupBy("c", "layer").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "d"))), lambda x: x["d"]).alias("vec"))
+    return r6(gram.subspace_angles(v, "c", "layer"))
+
+
+@query(
+    f"""WITH e AS (SELECT *, vec_id % 4 AS layer FROM {_HALVES}),
+y AS (SELECT layer, vec_id, first AS y, row_number() OVER (PARTITION BY layer ORDER BY CAST(vec_id AS VARCHAR)) AS k FROM e),
+h AS (SELECT layer, vec_id, p, row_number() OVER (PARTITION BY layer, p ORDER BY sha256('35|' || p || '|' || vec_id)) AS k FROM e, range(40) x(p)),
+u AS (SELECT e.layer, -1 AS p, x1, x2, first AS y FROM e UNION ALL SELECT h.layer, p, x1, x2, y FROM h JOIN y ON y.layer = h.layer AND y.k = h.k JOIN e ON e.vec_id = h.vec_id),
+l AS ({_line(f"({_products('u', 'layer, p', 'y')})", "layer, p")}),
+c AS (SELECT layer, p, (0.6 * v1 - 0.8 * v2) / sqrt(v1 * v1 + v2 * v2) AS c FROM l),
+n AS (SELECT layer, quantile_cont(abs(c), 0.95) AS high, quantile_cont(abs(c), 0.5) AS mid FROM c WHERE p >= 0 GROUP BY 1)
+SELECT layer, round(c, 6) AS cosine, round(high, 6) AS null_high, round(mid, 6) AS null_median, round(1 / sqrt(2), 6) AS random_sd, abs(c) > high AS aligned FROM c JOIN n USING (layer) WHERE p = -1"""
+)
+def permuted_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """T-35: probes of each layer against a direction, and those of forty permutations of the target."""
+    e = _probed(spark, d)
+    to = e.select("layer").distinct().withColumn("direction", F.array(F.lit(0.6), F.lit(-0.8)))
+    return r6(gram.alignment_null(e, to, ["layer"], "vec_id", "first", 40, 35))
+
+
+# ----- SIMEX
+
+_NORMAL = [f"sqrt(-2 * ln((CAST('0x' || substr(h, {15 * j + 1}, 15) AS BIGINT) + 0.5) / 1152921504606846976.0)) * {f}(2 * pi() * ((CAST('0x' || substr(h, {15 * j + 16}, 15) AS BIGINT) + 0.5) / 1152921504606846976.0))" for j in (0, 2) for f in ("cos", "sin")]
+_SHARE = [float(x) for x in np.linalg.pinv(np.vander(np.array([0.0, 0.5, 1.0, 1.5, 2.0]), 3)).T @ np.array([1.0, -1.0, 1.0])]
+
+
+@query(
+    f"""WITH x AS (SELECT l_returnflag AS f, CAST(l_suppkey AS VARCHAR) AS g, CAST(l_linenumber AS VARCHAR) AS i, avg(l_discount) * 100 AS x, var_samp(l_discount) * 10000 / count(*) AS v, CASE WHEN l_linenumber % 2 = 0 THEN 0.5 ELSE -0.5 END AS s, count(*) AS n, sum(l_quantity) AS sy FROM lineitem GROUP BY ALL),
+a AS (SELECT x.* REPLACE (greatest(coalesce(v, avg(v) OVER (PARTITION BY f), 0), 0) AS v) FROM x),
+k AS (SELECT f, g, row_number() OVER (PARTITION BY f ORDER BY g) - 1 AS i, count(*) OVER (PARTITION BY f) AS size FROM (SELECT DISTINCT f, g FROM a)),
+o AS (SELECT -1 AS outer_, r AS inner_ FROM range(40) t(r) UNION ALL SELECT o, r FROM range(30) u(o), range(4) t(r)),
+z AS (SELECT a.*, outer_, inner_, sha256('20|' || outer_ || '|' || inner_ || '|' || g || '|' || i) AS h FROM a, o),
+e AS (
+  SELECT f, g, s, n, sy, outer_, inner_, unnest([0.5, 1.0, 1.5, 2.0]) AS t, unnest([x + sqrt(0.5 * v) * {_NORMAL[0]}, x + sqrt(1.0 * v) * {_NORMAL[1]}, x + sqrt(1.5 * v) * {_NORMAL[2]}, x + sqrt(2.0 * v) * {_NORMAL[3]}]) AS p FROM z
+  UNION ALL SELECT f, g, s, n, sy, outer_, 0, 0.0, x FROM a, (SELECT DISTINCT outer_ FROM o)),
+d AS (
+  SELECT f, g, outer_, inner_, t, sum(n * p * p) - sum(n * p) * sum(n * p) / sum(n) AS pp, sum(n * p * p * s) - sum(n * p) * sum(n * p * s) / sum(n) AS pq, sum(n * p * p * s * s) - sum(n * p * s) * sum(n * p * s) / sum(n) AS qq,
+    sum(p * sy) - sum(n * p) * sum(sy) / sum(n) AS py, sum(p * s * sy) - sum(n * p * s) * sum(sy) / sum(n) AS qy FROM e GROUP BY ALL),
+m AS (
+  SELECT f, g, -1 AS outer_, 1 AS m FROM k
+  UNION ALL SELECT c.f, k.g, o, count(*) FROM (SELECT f, o, CAST('0x' || substr(sha256('20|' || (o // 4) || '|' || i), 15 * (o % 4) + 1, 15) AS BIGINT) % size AS i FROM k, range(30) u(o)) c JOIN k ON k.f = c.f AND k.i = c.i GROUP BY ALL),
+b AS (SELECT f, outer_, inner_, t, (sum(m * pp) * sum(m * qy) - sum(m * pq) * sum(m * py)) / (sum(m * pp) * sum(m * qq) - sum(m * pq) * sum(m * pq)) AS b FROM d JOIN m USING (f, g, outer_) GROUP BY ALL),
+c AS (SELECT f, outer_, t, avg(b) AS b FROM b GROUP BY ALL),
+w AS (SELECT f, outer_, sum(b * CASE t WHEN 0.0 THEN {_SHARE[0]!r} WHEN 0.5 THEN {_SHARE[1]!r} WHEN 1.0 THEN {_SHARE[2]!r} WHEN 1.5 THEN {_SHARE[3]!r} ELSE {_SHARE[4]!r} END) AS simex, max(b) FILTER (t = 0.0) AS naive FROM c GROUP BY ALL),
+q AS (SELECT f, quantile_cont(simex, 0.025) AS low, quantile_cont(simex, 0.975) AS high, 2 * least(avg(CASE WHEN simex <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN simex >= 0 THEN 1.0 ELSE 0.0 END)) AS p_boot FROM w WHERE outer_ >= 0 GROUP BY 1)
+SELECT f AS l_returnflag, round(naive, 6) AS naive, round(simex, 6) AS simex, round(low, 6) AS low, round(high, 6) AS high, round(p_boot, 6) AS p_boot, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_items, count(DISTINCT g) AS n_clusters
+FROM a JOIN w USING (f) JOIN q USING (f) WHERE outer_ = -1 GROUP BY ALL"""
+)
+def simex_interval(spark: SparkSession, d: str) -> DataFrame:
+    """T-20: items are a supplier's lines of one number; their mean discount is the predictor that has error."""
+    x = table(spark, d, "lineitem")
+    keys = ["l_returnflag", "l_suppkey", "l_linenumber"]
+    means = x.groupBy(*keys).agg((F.avg("l_discount") * 100).alias("x"), (F.var_samp("l_discount") * 10000 / F.count("*")).alias("v"))
+    rows = x.select(*keys, "l_quantity").join(means, keys).withColumn("s", F.when(F.col("l_linenumber") % 2 == 0, 0.5).otherwise(-0.5))
+    return r6(resampling.simex_table(rows, ["l_returnflag"], "l_suppkey", "l_linenumber", "l_quantity", "x", "v", "s", 20, draws=40, outer=30, inner=4))

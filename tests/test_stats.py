@@ -233,14 +233,56 @@ def test_sampled_ordinal_model(spark):
 
 def test_simex_undoes_attenuation(spark):
     rng = np.random.default_rng(4)
-    rows = []
-    for g in range(80):
-        s = 0.5 if g % 2 else -0.5
-        for _ in range(10):
-            x = rng.normal()
-            rows.append((f"g{g}", x + rng.normal(0, 0.5), 0.25, s, x * (1 + s) + rng.normal(0, 0.3)))
-    got = stats.simex_table(spark.createDataFrame(pd.DataFrame(rows, columns=["g", "w", "v", "s", "y"])), [], "g", "y", "w", "v", "s", draws=40).first()
-    assert abs(got.simex - 1) < abs(got.naive - 1)
+    rows, dense = [], []
+    for g in range(40):
+        for i in range(6):
+            x, s = rng.normal(), (-1.0) ** i / 2
+            w, y = x + 0.6 * rng.normal(), None
+            for _ in range(3):
+                y = 1.0 * x + 0.8 * x * s + 0.2 * g + rng.normal(0, 0.3)
+                rows.append((f"g{g:02d}", f"{i}", w, 0.36 if i else None, s, y))
+            dense.append((g, w, s))
+    df = spark.createDataFrame([*rows, ("g00", "0", None, 0.3, 0.5, 1.0)], "g string, i string, w double, v double, s double, y double")
+    got = resampling.simex_table(df, [], "g", "i", "y", "w", "v", "s", seed=1, draws=40, outer=24, inner=6).first()
+    assert got.n == 720 and got.n_items == 240 and got.n_clusters == 40
+    pdf = pd.DataFrame(rows, columns=["g", "i", "w", "v", "s", "y"])
+
+    def slope(noise, weight):
+        p = pdf["w"] + noise
+        a = b = 0
+        for g, own in pdf.groupby("g"):
+            m = weight.get(g, 0)
+            z = np.column_stack([p[own.index], p[own.index] * own["s"]])
+            z = z - z.mean(axis=0)
+            a, b = a + m * z.T @ z, b + m * z.T @ (own["y"] - own["y"].mean()).to_numpy()
+        return np.linalg.solve(a, b)[1]
+
+    ones = {g: 1 for g in pdf["g"].unique()}
+    assert math.isclose(got.naive, slope(0.0, ones), rel_tol=1e-9)
+    uniform = lambda h: [(int(h[15 * j : 15 * j + 15], 16) + 0.5) / 2**60 for j in range(4)]
+
+    def extrapolated(outer, draws, weight):
+        means = [slope(0.0, weight)]
+        found = np.zeros((draws, 4))
+        for d in range(draws):
+            z = {}
+            for g, i in {(r.g, r.i) for r in pdf.itertuples()}:
+                u = uniform(hashlib.sha256(f"1|{outer}|{d}|{g}|{i}".encode()).hexdigest())
+                z[g, i] = [math.sqrt(-2 * math.log(u[j])) * f(2 * math.pi * u[j + 1]) for j in (0, 2) for f in (math.cos, math.sin)]
+            for k, t in enumerate((0.5, 1.0, 1.5, 2.0)):
+                found[d, k] = slope(np.array([math.sqrt(t * 0.36) * z[r.g, r.i][k] for r in pdf.itertuples()]), weight)
+        return np.polyval(np.polyfit([0, 0.5, 1, 1.5, 2], [means[0], *found.mean(axis=0)], 2), -1)
+
+    few = resampling.simex_table(df, [], "g", "i", "y", "w", "v", "s", seed=1, draws=2, outer=3, inner=1).first()
+    assert math.isclose(few.simex, extrapolated(-1, 2, ones), rel_tol=1e-8)
+    names, draws = sorted(ones), []
+    for r in range(3):
+        picks = [int(hashlib.sha256(f"1|{r // 4}|{i}".encode()).hexdigest()[15 * (r % 4) : 15 * (r % 4) + 15], 16) % 40 for i in range(40)]
+        draws.append(extrapolated(r, 1, {names[p]: picks.count(p) for p in picks}))
+    assert np.allclose([few.low, few.high], np.percentile(draws, [2.5, 97.5]), rtol=1e-8)
+    assert abs(got.simex - 0.8) < abs(got.naive - 0.8) and got.low < got.simex < got.high and got.p_boot < 0.2
+    none = resampling.simex_table(df, [], "g", "i", "y", "w", "v", "s", seed=1, draws=2, outer=0).first()
+    assert math.isclose(none.simex, few.simex, rel_tol=1e-9) and none.low is None
 
 
 def test_power_rises_with_items(spark):
