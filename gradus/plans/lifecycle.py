@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,30 +20,76 @@ def approved(families: DataFrame) -> DataFrame:
 
 
 def file_hashes(spark, paths: Sequence[str]) -> DataFrame:
-    """G-05: (path, sha256) of whole files."""
-    return spark.read.format("binaryFile").load(list(paths)).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
-
-
-def check_manifest(spark, paths: Sequence[str], manifest: dict[str, str]) -> None:
-    """G-05: an error if a file is not what the manifest says."""
-    found = {r.file: r.sha256 for r in file_hashes(spark, paths).collect()}
-    wrong = sorted(n for n, h in manifest.items() if found.get(n) != h)
-    if wrong:
-        raise ValueError(f"files that differ from the manifest: {', '.join(wrong)}")
-
-
-def release(variants: DataFrame, curated: DataFrame, path: str, force: bool = False) -> dict:
-    """G-03, J-17: write items that all have an accepted rating to a new place; counts and the gates that were passed."""
-    store = Store(variants.sparkSession, path)
+    """G-05: (file, sha256, bytes) of whole files, each hashed in a task; a file is held while it is hashed."""
+    found = spark.read.format("binaryFile").load(list(paths))
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+
+
+def check_manifest(spark, paths: Sequence[str], manifest: DataFrame | dict[str, str]) -> None:
+    """G-05: an error if a file of the manifest is missing or is not what it says."""
+    if isinstance(manifest, dict):
+        manifest = spark.createDataFrame(list(manifest.items()) or [], "file string, sha256 string")
+    said, found = manifest.select("file", F.col("sha256").alias("said")), file_hashes(spark, paths)
+    wrong = said.join(found, "file", "left").filter(~F.col("said").eqNullSafe(F.col("sha256")))
+    names = [r.file for r in wrong.orderBy("file").limit(5).collect()]
+    if names:
+        raise ValueError(f"files that differ from the manifest: {', '.join(names)}")
+
+
+def release(variants: DataFrame, curated: DataFrame, path: str, force: bool = False, families: DataFrame | None = None, name: str = "", changelog: str = "", rows_per_file: int = 1_000_000) -> dict:
+    """G-03, J-17: items that pass the gates, with a manifest, in a new place; returns what the manifest sums up.
+
+    Gates: every family is approved (where ``families`` is given) and every item
+    has an accepted rating; ``force`` releases all the same, without naming the
+    gate.  Items are written beside ``path``, every file is hashed and counted in
+    the plan, the manifest is written, and a rename commits all of it, so a
+    reader finds a whole release or none.  A place that is taken is an error.
+    Files hold at most ``rows_per_file`` rows.
+    """
+    spark = variants.sparkSession
+    store = Store(spark, path)
     if store.exists(path):
         raise FileExistsError(path)
+    gates = []
+    if families is not None:
+        n = families.join(approved(families).select("family_id"), "family_id", "left_anti").count()
+        if n and not force:
+            raise ValueError(f"{n} families without approval")
+        gates += [] if n else ["approved"]
     lacking = variants.join(curated.filter("accepted").select("variant_id"), "variant_id", "left_anti")
     n = lacking.count()
     if n and not force:
         raise ValueError(f"{n} items without an accepted rating")
-    variants.write.mode("errorifexists").parquet(path)
-    counts = aggregates.labelled_counts(variants, ["valence"], "family_id").collect()
-    return {"counts": {r["valence"]: (r["n"], r["n_distinct"]) for r in counts}, "gates_passed": [] if n else ["accepted"]}
+    gates += [] if n else ["accepted"]
+    stage = f"{path}.stage-{uuid.uuid4().hex}"
+    variants.write.option("maxRecordsPerFile", rows_per_file).parquet(f"{stage}/items")
+    items = spark.read.parquet(f"{stage}/items")
+    rows = items.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("rows"))
+    hashes = file_hashes(spark, [f"{stage}/items"]).join(rows, "file", "left").na.fill(0, ["rows"])
+    hashes.write.json(f"{stage}/manifest/files")
+    counts = {r["valence"]: (r["n"], r["n_distinct"]) for r in aggregates.labelled_counts(items, ["valence"], "family_id").collect()}
+    about = {"release": name, "changelog": changelog, "rows": items.count(), "counts": counts, "gates_passed": gates}
+    spark.createDataFrame([(json.dumps(about, sort_keys=True),)], "value string").coalesce(1).write.text(f"{stage}/manifest/about")
+    store.commit(stage, path)
+    return about
+
+
+def manifest_of(spark, path: str) -> tuple[dict, DataFrame]:
+    """What a release says of itself, and of its files: (file, sha256, bytes, rows)."""
+    store = Store(spark, path)
+    if not store.exists(f"{path}/manifest/about"):
+        raise ValueError(f"no manifest in {path}")
+    about = json.loads(spark.read.text(f"{path}/manifest/about").first()[0])
+    return about, spark.read.schema("file string, sha256 string, bytes bigint, rows bigint").json(f"{path}/manifest/files")
+
+
+def read_release(spark, path: str, name: str | None = None) -> DataFrame:
+    """G-05: the items of a release, after all files are found to be those of its manifest and the release that of ``name``."""
+    about, said = manifest_of(spark, path)
+    if name is not None and about["release"] != name:
+        raise ValueError(f"{path} is release {about['release']!r}, not {name!r}")
+    check_manifest(spark, [f"{path}/items"], said)
+    return spark.read.parquet(f"{path}/items")
 
 
 def approve(families: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

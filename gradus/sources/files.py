@@ -9,23 +9,63 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.text import fixed, normalise_header
+from ..session import written
 from . import schemas
 from .storage import Store
 
 
-def read_csv(spark: SparkSession, path: str, record: str, rules: Sequence[schemas.Rule] = ()) -> DataFrame:
-    """S-01: strict CSV with a header; other columns, bad values and broken rules are errors."""
-    header = spark.read.text(path).limit(1).collect()
-    if not header:
-        return spark.createDataFrame([], schemas.schema(record))
-    names = next(iter(__import__("csv").reader([header[0].value])))
-    schemas.require_columns(names, record)
-    by_file = T.StructType([schemas.schema(record)[n] for n in names])
-    df = spark.read.schema(by_file).option("header", True).option("mode", "FAILFAST").option("multiLine", True).option("escape", '"').csv(path)
-    df = df.select(*schemas.schema(record).names)
-    return schemas.require(df, rules) if rules else df
+def placed_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Cells of CSV with a header as text, with ``file`` and ``row``: the header is row 1, each file is counted by itself.
+
+    Rows are counted in the splits that tasks read and their offsets added, so
+    files without line ends in their cells (``multi_line`` false) are read by
+    many tasks.  What is counted is written first, so it is what is numbered.
+    """
+    raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("inferSchema", False).csv(path)
+    rows = raw.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__at"))
+    rows = written(spark, rows, "csv")
+    splits = rows.groupBy("file", "__start").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = Window.partitionBy("file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "__start", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 2).alias("__shift"))
+    return rows.join(splits, ["file", "__start"]).withColumn("row", F.col("__at") + F.col("__shift")).select("file", "row", *raw.columns)
+
+
+def read_csv(spark: SparkSession, path: str, record: str, rules: Sequence[schemas.Rule] = (), multi_line: bool = True) -> DataFrame:
+    """S-01: strict CSV with a header; other columns, bad values and broken rules are errors, which name the first such row and its file."""
+    kind = schemas.schema(record)
+    placed = placed_csv(spark, path, multi_line)
+    if len(placed.columns) == 2:
+        return spark.createDataFrame([], kind)
+    schemas.require_columns(placed.columns[2:], record)
+    typed = placed.select("file", "row", *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in kind.fields], *[(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()).alias(f"__bad_{f.name}") for f in kind.fields])
+    values = [schemas.Rule(f"value of {f.name}", ~F.col(f"__bad_{f.name}")) for f in kind.fields]
+    schemas.require(typed, [*values, *rules], "row", "file")
+    return typed.select(*kind.names)
+
+
+_INFERRED = ("bigint", "double", "boolean", "date", "timestamp")
+
+
+def read_inferred(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
+    """S-14: CSV with a header, or JSON lines, each column of the first type that all its values have.
+
+    Types are tried in one aggregation over all rows, a flag for each column and
+    type, so none is guessed from a sample; what no type fits, and columns
+    without values, stay text.  Dates and times are in ISO form.
+    """
+    if kind == "json":
+        return spark.read.option("samplingRatio", 1.0).json(path)
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    if not raw.columns:
+        return raw
+    shape = {"date": r"^\d{4}-\d\d-\d\d$", "timestamp": r"^\d{4}-\d\d-\d\d[ T]\d\d:\d\d(:\d\d(\.\d+)?)?$", "boolean": "(?i)^(true|false)$"}
+    fits = lambda c, t: F.col(f"`{c}`").try_cast(t).isNotNull() & (F.col(f"`{c}`").rlike(shape[t]) if t in shape else F.lit(True))
+    seen = raw.agg(*[F.every(F.col(f"`{c}`").isNull() | fits(c, t)).alias(f"{i}_{t}") for i, c in enumerate(raw.columns) for t in _INFERRED], *[F.count(F.col(f"`{c}`")).alias(f"{i}_n") for i, c in enumerate(raw.columns)]).first()
+    types = [next((t for t in _INFERRED if seen[f"{i}_n"] and seen[f"{i}_{t}"]), "string") for i in range(len(raw.columns))]
+    return raw.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in zip(raw.columns, types, strict=True)])
 
 
 def as_text(df: DataFrame) -> DataFrame:

@@ -90,12 +90,13 @@ def validate(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame
     return marked.filter(F.size("broken") == 0).drop("broken"), marked.filter(F.size("broken") > 0)
 
 
-def require(df: DataFrame, rules: Sequence[Rule], ordinal: str | None = None) -> DataFrame:
-    """df, or an error that names the first row that breaks a rule."""
+def require(df: DataFrame, rules: Sequence[Rule], ordinal: str | None = None, file: str | None = None) -> DataFrame:
+    """df, or an error that names the first row that breaks a rule, and its file."""
     _, bad = validate(df, rules)
-    first = (bad.orderBy(ordinal) if ordinal else bad).limit(1).collect()
+    order = [c for c in (file, ordinal) if c]
+    first = (bad.orderBy(*order) if order else bad).limit(1).collect()
     if first:
-        where = f" in row {first[0][ordinal]}" if ordinal else ""
+        where = (f" in row {first[0][ordinal]}" if ordinal else "") + (f" of {first[0][file]}" if file else "")
         raise ValueError(f"broken rules{where}: {', '.join(first[0]['broken'])}")
     return df
 

@@ -46,6 +46,14 @@ class Store:
         fs.delete(away, True)
 
 
+    def commit(self, stage: str, path: str) -> None:
+        """stage becomes path in one rename; an error, and stage gone, if path is taken."""
+        fs = self._fs(path)
+        if fs.exists(self._path(path)) or not fs.rename(self._path(stage), self._path(path)):
+            fs.delete(self._path(stage), True)
+            raise FileExistsError(path)
+
+
 class NullStore:
     """Keeps nothing."""
 
