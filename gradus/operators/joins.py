@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import seeds
 from ..functions.scoring import ev_unchecked
-from ..functions.text import jaccard, split_key
+from ..functions.text import split_key
 from .routing import route, valence_type
 
 
@@ -88,11 +88,14 @@ def to_baseline(df: DataFrame, group: Sequence[str], config: str, base: str, val
 
 def paired_channel(df: DataFrame, item: str, rating: str, question: str, sign: str) -> DataFrame:
     """J-06, T-11: intentionality rows with their item's mean on the channel of their sign, standardised over rows."""
-    channel = F.when(F.col(sign) == "bad", "blame").otherwise("praise")
-    means = df.filter(F.col(question) == channel).groupBy(item).agg(F.avg(rating).alias("pred_raw"))
-    rows = df.filter(F.col(question) == "intentionality").join(means, item)
-    stats = rows.agg(F.avg("pred_raw").alias("__m"), F.stddev_pop("pred_raw").alias("__s"))
-    out = rows.crossJoin(F.broadcast(stats))  # one row
+    channel, rated = F.col(question) == F.when(F.col(sign) == "bad", "blame").otherwise("praise"), F.col(question) == "intentionality"
+    # One row for each item: its channel's mean, and the rows that the spread over rows counts it for.
+    items = df.groupBy(item).agg(F.avg(F.when(channel, F.col(rating))).alias("pred_raw"), F.count(F.when(channel, 1)).alias("__c"), F.count(F.when(rated, 1)).alias("__n")).filter("__c > 0 and __n > 0")
+    mean = items.agg((F.sum(F.col("__n") * F.col("pred_raw")) / F.sum(F.when(F.col("pred_raw").isNotNull(), F.col("__n")))).alias("__m"))
+    known = items.crossJoin(F.broadcast(mean))  # one row
+    off = F.col("pred_raw") - F.col("__m")
+    stats = known.agg(F.first("__m").alias("__m"), F.sqrt(F.sum(F.col("__n") * off * off) / F.sum(F.when(F.col("pred_raw").isNotNull(), F.col("__n")))).alias("__s"))
+    out = df.filter(rated).join(items.select(item, "pred_raw"), item).crossJoin(F.broadcast(stats))  # one row
     scaled = F.when(F.col("__s") > 0, (F.col("pred_raw") - F.col("__m")) / F.col("__s")).otherwise(0.0)
     return out.withColumn("pred_c", scaled).withColumn("sg_c", F.when(F.col(sign) == "bad", 0.5).when(F.col(sign) == "good", -0.5)).drop("__m", "__s")
 
@@ -166,25 +169,60 @@ def matched_pairs(df: DataFrame, key: Sequence[str], level: str, low: str, high:
     return out.filter("low is not null and high is not null").select(*key, *[F.col(f"{s}.{v}").alias(f"{v}_{s}") for s in ("low", "high") for v in values])
 
 
+def _prefixes(df: DataFrame, by: Sequence[str], keep: Sequence[str], text: str, least: float, counts: DataFrame) -> DataFrame:
+    """(by, keep, words, n, prefix): a text's tokens from the rarest on, and those of which two similar texts share one.
+
+    Texts above a similarity ``least`` have at least least * n of n tokens in
+    common, so they share one of any n - ceil(least * n) + 1 of a text's tokens;
+    the rarest are taken, and common words meet nothing.
+    """
+    words = _words(df, [*by, *keep], text)
+    seen = words.join(counts, [*by, "w"]).groupBy(*by, *keep).agg(F.array_sort(F.collect_list(F.struct("k", "w"))).alias("x"))
+    seen = seen.select(*by, *keep, F.transform("x", lambda e: e["w"]).alias("words"), F.size("x").alias("n"))
+    # A hair less than the product, which may be rounded up past a whole number.
+    return seen.withColumn("prefix", F.slice("words", F.lit(1), (F.col("n") - F.greatest(F.ceil(F.col("n") * least - 1e-9), F.lit(1)) + 1).cast("int")))
+
+
+def _words(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
+    from ..functions.text import tokens
+
+    return df.select(*keep, F.explode(tokens(text, [])).alias("w"))
+
+
+def _like(a: DataFrame, b: DataFrame, by: Sequence[str], least: float, which: Column | None = None) -> DataFrame:
+    """Pairs of rows of ``_prefixes`` (columns of b end in _b) with a similarity above least."""
+    b = b.select(*[F.col(c).alias(f"{c}_b") for c in b.columns])
+    x, y = a.withColumn("w", F.explode("prefix")), b.withColumn("w_b", F.explode("prefix_b"))
+    on = (F.col("w") == F.col("w_b")) & (F.col("n_b") >= F.col("n") * least - 1e-9) & (F.col("n") >= F.col("n_b") * least - 1e-9)
+    for c in by:
+        on = on & (F.col(c) == F.col(f"{c}_b"))
+    # A pair that meets by several tokens counts where it does first.
+    met = x.join(y, on if which is None else on & which).filter(F.element_at(F.array_intersect("prefix", "prefix_b"), 1) == F.col("w"))
+    common = F.size(F.array_intersect("words", "words_b"))
+    return met.withColumn("similarity", common / (F.col("n") + F.col("n_b") - common)).filter(F.col("similarity") > least)
+
+
 def similar_goals(new: DataFrame, old: DataFrame, domain: str, goal: str, least: float = 0.6) -> DataFrame:
-    """J-27: new goals too like earlier ones of their domain; both are authored by hand."""
-    a = new.select(domain, F.col(goal).alias("new_goal"))
-    b = old.select(domain, F.col(goal).alias("old_goal")).distinct()
-    return a.join(b, domain).withColumn("similarity", jaccard("new_goal", "old_goal")).filter(F.col("similarity") > least)
+    """J-27: new goals too like earlier ones of their domain, a row for each new row and different earlier goal.
+
+    Goals meet by their rarest tokens in the domain; equal ones are compared once.
+    """
+    sides = [df.select(F.col(domain).alias("__d"), F.col(goal).alias("__g")).distinct() for df in (new, old)]
+    both = sides[0].unionAll(sides[1]).distinct()
+    counts = _words(both, ["__d", "__g"], "__g").groupBy("__d", "w").agg(F.count("*").alias("k"))
+    a, b = (_prefixes(s, ["__d"], ["__g"], "__g", least, counts) for s in sides)
+    pairs = _like(a, b, ["__d"], least).select(F.col("__d").alias(domain), F.col("__g").alias("new_goal"), F.col("__g_b").alias("old_goal"), "similarity")
+    return new.select(domain, F.col(goal).alias("new_goal")).join(pairs, [domain, "new_goal"])
 
 
 def token_pairs(df: DataFrame, order: str, text: str, least: float) -> DataFrame:
-    """J-25, J-27: pairs a < b with a token Jaccard similarity above ``least`` (0 or more), met through their common tokens.
+    """J-25, J-27: pairs a < b with a token Jaccard similarity above ``least`` (0 or more), met through their rarest common tokens.
 
     Texts are tokenised once; pairs without a common token are never made.
     """
-    from ..functions.text import tokens
-
-    words = df.select(F.col(order), tokens(text, []).alias("w")).select(order, F.size("w").alias("n"), F.explode("w").alias("w"))
-    a = words.select(F.col(order).alias(f"{order}_a"), F.col("n").alias("n_a"), "w")
-    b = words.select(F.col(order).alias(f"{order}_b"), F.col("n").alias("n_b"), "w")
-    both = a.join(b, "w").filter(F.col(f"{order}_a") < F.col(f"{order}_b")).groupBy(f"{order}_a", f"{order}_b", "n_a", "n_b").agg(F.count("*").alias("c"))
-    return both.withColumn("similarity", F.col("c") / (F.col("n_a") + F.col("n_b") - F.col("c"))).filter(F.col("similarity") > least).select(f"{order}_a", f"{order}_b", "similarity")
+    counts = _words(df, [order], text).groupBy("w").agg(F.count("*").alias("k"))
+    rows = _prefixes(df, [], [order], text, least, counts)
+    return _like(rows, rows, [], least, F.col(order) < F.col(f"{order}_b")).select(F.col(order).alias(f"{order}_a"), f"{order}_b", "similarity")
 
 
 def reconcile_tables(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:

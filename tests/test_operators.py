@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -214,3 +215,19 @@ def test_calls_are_repeated(spark, tmp_path):
         return pdf
 
     assert resume.called(spark.range(4).coalesce(1), flaky, "id long", wait=0.01).count() == 4
+
+
+@pytest.mark.parametrize("least", [0.0, 0.1, 0.5, 0.6, 0.8])
+def test_similar_texts_lose_no_pair(spark, least):
+    rng = random.Random(27)
+    words = ["the"] * 30 + [f"w{'abcdefghij'[i % 10]}{'klmnop'[i // 10]}" for i in range(40)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 9))) for _ in range(90)] + ["the", "the", "", "THE wak!"]
+    sets = [set(re.findall("[a-z]+", t.lower())) for t in texts]
+    sim = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+    df = spark.createDataFrame([(i, "xy"[i % 2], t) for i, t in enumerate(texts)] + [(None, None, None)], "i int, d string, t string")
+    got = {(r.i_a, r.i_b): r.similarity for r in joins.token_pairs(df, "i", "t", least).collect()}
+    want = {(a, b): sim(sets[a], sets[b]) for a in range(len(texts)) for b in range(a + 1, len(texts)) if sim(sets[a], sets[b]) > least}
+    assert got == want
+    like = sorted((r.d, r.new_goal, r.old_goal) for r in joins.similar_goals(df, df.filter("i >= 40"), "d", "t", least).collect())
+    olds = {("xy"[i % 2], texts[i]) for i in range(40, len(texts))}
+    assert like == sorted(("xy"[i % 2], t, o) for i, t in enumerate(texts) for d, o in olds if d == "xy"[i % 2] and sim(sets[i], set(re.findall("[a-z]+", o.lower()))) > least)
