@@ -97,8 +97,15 @@ def projected_se(se: float, clusters: int, new_clusters: int) -> float:
 
 
 def required_clusters(se: float, clusters: int, effect: float, alpha: float = 0.05, power: float = 0.8, most: int = 5000) -> int | None:
-    """F-29: the least number of clusters at which the effect is detectable."""
-    return next((g for g in range(3, most + 1) if minimum_detectable(projected_se(se, clusters, g), g, alpha, power) <= effect), None)
+    """F-29: the least number of clusters at which the effect is detectable; what is detectable falls with it, so halves are tried."""
+    seen = lambda g: minimum_detectable(projected_se(se, clusters, g), g, alpha, power) <= effect
+    low, high = 3, most
+    if not seen(high):
+        return None
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if seen(mid) else (mid + 1, high)
+    return low
 
 
 def direction_ok(direction: str, estimate: float, p: float, alpha: float = 0.05) -> bool:

@@ -586,4 +586,4 @@ def power_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-from . import stat_queries, stream_queries, study_queries  # noqa: E402, F401  register further queries
+from . import analysis_queries, stat_queries, stream_queries, study_queries  # noqa: E402, F401  register further queries

@@ -22,22 +22,28 @@ def _signs(source: str, seed: int, replicates: int) -> str:
     return f"(SELECT s.*, r, 1 - 2 * ((CAST('0x' || substr(sha256('{seed}|' || (r // 32) || '|' || g), 1, 8) AS BIGINT) >> (r % 32)) & 1) AS w FROM {source} s, range({replicates}) x(r))"
 
 
-_SLOPE = """
-c AS (SELECT l_returnflag AS f, CAST(l_suppkey AS VARCHAR) AS g, count(*) AS n, sum(l_discount) AS sx, sum(l_discount * l_discount) AS sxx, sum(l_quantity) AS sy, sum(l_discount * l_quantity) AS sxy FROM lineitem GROUP BY 1, 2),
+def _wild(clusters: str, seed: str, replicates: int) -> str:
+    """CTEs up to z (f, drawn, seen), x and b: a slope's wild bootstrap in each f of clusters (f, g, n, sx, sxx, sy, sxy); seed is an expression of f."""
+    signs = _signs("r", 0, replicates).replace("'0|' ||", f"CAST({seed} AS VARCHAR) || '|' ||")
+    return f"""
+c AS ({clusters}),
 t AS (SELECT f, sum(n) AS n, count(*) AS k, sum(sx) AS sx, sum(sxx) AS sxx, sum(sy) AS sy, sum(sxy) AS sxy, sum(n) * sum(sxx) - sum(sx) * sum(sx) AS det FROM c GROUP BY 1),
-b AS (SELECT *, (n * sxy - sx * sy) / det AS b1, (sxx * sy - sx * sxy) / det AS b0, sy / n AS m, k / (k - 1) * (n - 1) / (n - 2) AS factor FROM t)"""
-
-
-@query(
-    f"""WITH {_SLOPE},
+b AS (SELECT *, (n * sxy - sx * sy) / det AS b1, (sxx * sy - sx * sxy) / det AS b0, sy / n AS m, k / (k - 1) * (n - 1) / (n - 2) AS factor FROM t),
 r AS (
   SELECT c.f, g, c.sy - c.n * m AS e0, c.sxy - c.sx * m AS e1, (b.n * (c.sxy - c.sx * m) - b.sx * (c.sy - c.n * m)) / det AS p,
     (b.n * c.sx - b.sx * c.n) / det AS q0, (b.n * c.sxx - b.sx * c.sx) / det AS q1, (b.n * (c.sxy - c.sx * b0 - c.sxx * b1) - b.sx * (c.sy - c.n * b0 - c.sx * b1)) / det AS s
   FROM c JOIN b USING (f)),
 x AS (SELECT f, sum(p * p) AS pp, sum(s * s) AS ss, sum(q0 * q0) AS q00, sum(q0 * q1) AS q01, sum(q1 * q1) AS q11 FROM r GROUP BY 1),
-w AS (SELECT f, r, sum(w * e0) AS u0, sum(w * e1) AS u1, sum(w * p * q0) AS v0, sum(w * p * q1) AS v1 FROM {_signs("r", 3, 499)} GROUP BY 1, 2),
+w AS (SELECT f, r, sum(w * e0) AS u0, sum(w * e1) AS u1, sum(w * p * q0) AS v0, sum(w * p * q1) AS v1 FROM {signs} GROUP BY 1, 2),
 d AS (SELECT w.*, (sxx * u0 - sx * u1) / det AS d0, (n * u1 - sx * u0) / det AS d1 FROM w JOIN b USING (f)),
-z AS (SELECT f, d1 / sqrt(factor * (pp - 2 * (d0 * v0 + d1 * v1) + d0 * d0 * q00 + 2 * d0 * d1 * q01 + d1 * d1 * q11)) AS drawn, b1 / sqrt(factor * ss) AS seen FROM d JOIN x USING (f) JOIN b USING (f))
+z AS (SELECT f, d1 / sqrt(factor * (pp - 2 * (d0 * v0 + d1 * v1) + d0 * d0 * q00 + 2 * d0 * d1 * q01 + d1 * d1 * q11)) AS drawn, b1 / sqrt(factor * ss) AS seen FROM d JOIN x USING (f) JOIN b USING (f))"""
+
+
+_SLOPES = "SELECT l_returnflag AS f, CAST(l_suppkey AS VARCHAR) AS g, count(*) AS n, sum(l_discount) AS sx, sum(l_discount * l_discount) AS sxx, sum(l_quantity) AS sy, sum(l_discount * l_quantity) AS sxy FROM lineitem GROUP BY 1, 2"
+
+
+@query(
+    f"""WITH {_wild(_SLOPES, "3", 499)}
 SELECT f AS l_returnflag, round(any_value(b1), 6) AS beta, round(any_value(sqrt(factor * ss)), 6) AS se, round(any_value(seen), 6) AS statistic,
   round(any_value(p), 6) AS p_wild, round(any_value(2 * (1 - {_phi("abs(seen)")})), 6) AS p_classical, any_value(k) AS n_clusters
 FROM (SELECT f, seen, avg(CASE WHEN abs(drawn) >= abs(seen) THEN 1.0 ELSE 0.0 END) AS p FROM z GROUP BY 1, 2) JOIN x USING (f) JOIN b USING (f) GROUP BY 1"""
@@ -132,16 +138,16 @@ def within_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 # ----- profile likelihood
 
 
-def _searched(clusters: str, solved: dict[str, tuple[str, str]], reml: bool = False) -> str:
-    """CTEs of the fits of models by name: each has its residual sum and determinant in terms of a00 ... c; fit_<name> has one row for each f."""
+def _searched(clusters: str, solved: dict[str, tuple[str, str]], reml: bool = False, before: str = "") -> str:
+    """CTEs, after those of ``before``, of the fits of models by name: each has its residual sum and determinant in terms of a00 ... c; fit_<name> has one row for each f."""
     out = [f"c AS ({clusters})", "g0 AS (SELECT f, i, CASE WHEN i = 0 THEN 0 ELSE exp(-12 + 0.25 * (i - 1)) END AS rho FROM (SELECT DISTINCT f FROM c), range(82) x(i))"]
     sums = "f, i, rho, sum(n) AS n, count(*) AS k, sum(n - s * n * n) AS a00, sum(sx - s * n * sx) AS a01, sum(sxx - s * sx * sx) AS a11, sum(sy - s * n * sy) AS b0, sum(sxy - s * sx * sy) AS b1, sum(yy - s * sy * sy) AS c, sum(ln(1 + n * rho)) AS logs"
     for name, (rss, det) in solved.items():
         m = "(n - 1)" if reml else "n"
         at = lambda r: f"SELECT *, {rss} AS rss, -0.5 * ({m} * ln(2 * pi() * ({rss}) / {m}) + {m} + logs){f' - 0.5 * ln({det})' if reml else ''} AS log FROM (SELECT {sums} FROM (SELECT c.*, i, rho, rho / (1 + n * rho) AS s FROM c JOIN {r} USING (f)) GROUP BY f, i, rho)"  # noqa: B023, E731
-        before = "g0"
+        grid = "g0"
         for step in range(3):
-            out.append(f"l{step}_{name} AS ({at(before)})")
+            out.append(f"l{step}_{name} AS ({at(grid)})")
             out.append(
                 f"""n{step}_{name} AS (
   SELECT f, lo, hi, i = last AS ends, CASE WHEN i > 0 AND i < last AND p - 2 * log + q < 0 THEN rho + (hi - lo) / 4 * (p - q) / (p - 2 * log + q) ELSE rho END AS rho
@@ -149,9 +155,9 @@ def _searched(clusters: str, solved: dict[str, tuple[str, str]], reml: bool = Fa
             )
             if step < 2:
                 out.append(f"g{step + 1}_{name} AS (SELECT f, i, lo + (hi - lo) * i / 80 AS rho FROM n{step}_{name}, range(81) x(i))")
-                before = f"g{step + 1}_{name}"
+                grid = f"g{step + 1}_{name}"
         out.append(f"fit_{name} AS (SELECT l.*, NOT e.ends AS converged FROM ({at(f'(SELECT f, 0 AS i, rho FROM n2_{name})')}) l JOIN n0_{name} e USING (f))")
-    return "WITH " + ",\n".join(out)
+    return "WITH " + before + ",\n".join(out)
 
 
 _LINES = "SELECT l_returnflag AS f, CAST(l_suppkey AS VARCHAR) AS g, CAST(count(*) AS DOUBLE) AS n, sum(l_discount) AS sx, sum(l_discount * l_discount) AS sxx, sum(l_quantity) AS sy, sum(l_discount * l_quantity) AS sxy, sum(l_quantity * l_quantity) AS yy FROM lineitem GROUP BY 1, 2"

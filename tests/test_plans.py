@@ -1,12 +1,15 @@
 import hashlib
+import json
 import math
+from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gradus.functions import fakes, seeds
 from gradus.operators import joins, routing
-from gradus.plans import lifecycle, robustness
+from gradus.plans import analysis, lifecycle, robustness
 from gradus.sources import schemas
 
 
@@ -87,3 +90,38 @@ def test_lifecycle(spark, study, tmp_path):
     assert text.startswith("# T") and "| a | 0.500 |" in text
     pairs = lifecycle.registry_pairs(spark.createDataFrame([("m", "finetuned", True), ("n", "finetuned", False), ("n", "pretrained", False)], "model_family string, tuning_status string, core boolean"))
     assert [tuple(r) for r in pairs.collect()] == [("m", "error")]
+
+
+def test_declarations_from_a_file(spark, tmp_path):
+    analysis.write_declarations(spark, analysis.CONTRASTS, f"{tmp_path}/d")
+    assert analysis.read_declarations(spark, f"{tmp_path}/d") == analysis.CONTRASTS
+    line = {"name": "a", "kind": "lmm", "formula": "y ~ x", "term": "x", "expected": "positive", "family": "rq1"}
+    for name, change, match in (("twice", {}, "bad declaration: a"), ("kind", {"kind": "wls"}, "bad declaration: a"), ("sens", {"sensitivities": ["moon"]}, "bad declaration: a"), ("field", {"seed": 3}, "line 1: seed")):
+        lines = [json.dumps(line | change)] * (2 if name == "twice" else 1)
+        (tmp_path / name).write_text("\n".join([*lines, ""]))
+        with pytest.raises(ValueError, match=match):
+            analysis.read_declarations(spark, f"{tmp_path}/{name}")
+    (tmp_path / "less").write_text(json.dumps({k: v for k, v in line.items() if k != "term"}))
+    with pytest.raises(ValueError, match="line 1: term"):
+        analysis.read_declarations(spark, f"{tmp_path}/less")
+    with pytest.raises(ValueError, match="undeclared: z"):
+        analysis.selected(analysis.declared(analysis.CONTRASTS), ["z"])
+
+
+def test_sensitivities_qualify_a_contrast(spark):
+    """Slopes that differ by family qualify the contrast; equal ones don't."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for g in range(24):
+        own = rng.normal(0, 1.5)
+        for i in range(30):
+            bad = i % 2 == 0
+            for kind, slope in (("m", 1 + own), ("n", 1.0)):
+                rows.append((kind, f"D{g % 6}-MB-{g:02d}", f"D{g % 6}", "raw", "finetuned", "intentionality", "bad" if bad else "good", float(slope * (0.5 if bad else -0.5) + rng.normal(0, 0.5))))
+    df = spark.createDataFrame(rows, "model_family string, family_id string, domain string, format string, tuning_status string, question_type string, sign string, rating double")
+    got = {r.model_family: r for r in analysis.sensitivity_table(df, ["rq1_base_sign_finetuned"]).collect()}
+    assert got["m"].qualified and got["m"].slope_variance > 1 and got["m"].width_ratio > 1.5
+    assert not got["n"].qualified and got["n"].slope_variance < 0.05
+    assert got["m"].domain_n_groups == 6 and got["m"].domain_slope_variance is not None
+    none = analysis.sensitivity_table(df, ["rq1_base_sign_finetuned"], contrasts=[replace(c, sensitivities=()) for c in analysis.CONTRASTS]).first()
+    assert none.qualified is None and none.domain_se is None and none.se > 0
