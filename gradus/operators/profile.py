@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import distributions as dist
 from ..session import written
 from .resampling import _dot, _sums, _totals, _types, beside
+from .stats import design, sufficient
 
 #: Ratios of the first grid: none, and from e^-12 by quarters of an exponent to e^8; later ones have as many steps between two neighbours.
 GRID = (0.0, *[math.exp(-12 + 0.25 * j) for j in range(81)])
@@ -139,36 +141,57 @@ def fitted(clusters: DataFrame, keys: list[str], k: int, reml: bool = False) ->
     return rows.mapInPandas(run, f"{_types(rows, keys)}, rho double, n double, n_groups bigint, log double, beta array<double>, cov array<double>, var_resid double, converged boolean")
 
 
+def lmm_tables(fits: dict[str, tuple[DataFrame, str, str]], cell: Sequence[str], cluster: str) -> DataFrame:
+    """T-01, T-10: the mixed models of (rows, formula, term) by name (column ``fit``), in each cell; see ``lmm_table``.
+
+    Models with equally many terms are searched together: their clusters are
+    rows of one table, so many fits take as many jobs as one.
+    """
+    sizes: dict[int, dict[str, tuple[DataFrame, int]]] = {}
+    for name, (df, formula, term) in fits.items():
+        d = design(formula)
+        sums = sufficient(df, d, list(cell), cluster).select(F.lit(name).alias("fit"), "*")
+        sizes.setdefault(len(d.names), {})[name] = (sums, d.names.index(term))
+    out = [_mixed(reduce(DataFrame.unionAll, [s for s, _ in own.values()]), ["fit", *cell], k, {n: at for n, (_, at) in own.items()}, cluster) for k, own in sizes.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
 def lmm_table(df: DataFrame, formula: str, term: str, cell: Sequence[str], cluster: str) -> DataFrame:
     """T-01, T-10: the mixed model of each cell, or least squares with cluster-robust errors if it doesn't converge or has no finite result.
 
     A cell is never dropped; ``method`` and ``fallback_used`` say which path gave its row.
     """
-    clusters, names, keys = _sums(df, formula, cell, cluster)
-    k, at = len(names), names.index(term)
-    fits = fitted(clusters, keys, k)
+    return lmm_tables({"": (df, formula, term)}, cell, cluster).drop("fit")
+
+
+def _mixed(sums: DataFrame, keys: list[str], k: int, places: dict[str, int], cluster: str) -> DataFrame:
+    """places: the term's index by the key ``fit``."""
+    clusters = written(sums.sparkSession, sums, "clusters")
+    models = fitted(clusters, keys, k)
     totals = _totals(clusters, k, keys)
 
     def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
+            at = pdf["fit"].map(places).to_numpy(int)
             inverse = np.linalg.pinv(np.stack(pdf["xx"]).reshape(-1, k, k))
             beta = np.einsum("rij,rj->ri", inverse, np.stack(pdf["xy"]))
             g, n = pdf["n_clusters"].to_numpy(float), pdf["n"].to_numpy()
             factor = g / np.maximum(g - 1, 1) * (n - 1) / np.maximum(n - k, 1)
-            yield pdf[keys].assign(ols=list(beta), row=list(inverse[:, at]), factor=factor)
+            yield pdf[keys].assign(ols=list(beta), row=list(inverse[np.arange(len(pdf)), at]), factor=factor)
 
     plain = totals.mapInPandas(solve, f"{_types(totals, keys)}, ols array<double>, row array<double>, factor double")
     scores = beside(clusters, plain, keys)
     left = F.array(*[F.element_at("xy", F.lit(i + 1)) - _dot("xx", "ols", k, i) for i in range(k)])
     scores = scores.withColumn("left", left).withColumn("score", _dot("row", "left", k))
     robust = scores.groupBy(*keys).agg(F.sum(F.col("score") * F.col("score")).alias("meat"))
-    rows = beside(beside(fits, plain, keys), robust, keys)
+    rows = beside(beside(models, plain, keys), robust, keys)
     label = f"{cluster.removesuffix('_id')}RI"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             out = []
             for r in pdf.itertuples():
+                at = places[r.fit]
                 b, s, name = r.beta[at], math.sqrt(max(r.cov[at * k + at], 0)), f"lmm-{label}"
                 mixed = bool(r.converged) and math.isfinite(b) and s > 0
                 if not mixed:
@@ -177,7 +200,7 @@ def lmm_table(df: DataFrame, formula: str, term: str, cell: Sequence[str], clust
             yield pdf[keys].assign(**dict(zip(("estimate", "se", "p_value", "n_obs", "n_groups", "converged", "fallback_used", "method"), map(list, zip(*out, strict=True)), strict=True)))
 
     schema = "estimate double, se double, p_value double, n_obs bigint, n_groups bigint, converged boolean, fallback_used boolean, method string"
-    return rows.mapInPandas(run, f"{_types(rows, keys)}, {schema}").drop(*([] if cell else ["__all"]))
+    return rows.mapInPandas(run, f"{_types(rows, keys)}, {schema}")
 
 
 def _tested(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -194,8 +217,6 @@ def _tested(rows: DataFrame, keys: list[str]) -> DataFrame:
 def lrt_table(df: DataFrame, full: str, reduced: str, cell: Sequence[str], cluster: str) -> DataFrame:
     """T-15: twice the difference of log likelihoods, and its chi-square probability."""
     clusters, names, keys = _sums(df, full, cell, cluster)
-    from .stats import design
-
     kept = [names.index(n) for n in design(reduced).names]
     k = len(names)
     pick = lambda c, at: F.array(*[F.element_at(c, F.lit(i + 1)) for i in at])
