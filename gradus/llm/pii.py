@@ -15,17 +15,19 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from . import textkit as tk
 from .common import Workspace, map_rows
 
-#: Redrawn entities that are broadcast; beyond it family names get more syllables, which makes them fewer.
+#: Redrawn entities that are broadcast; more of them are joined with the texts that name them.
 MAX_REDRAWN = 200_000
 DEFAULT_KEY = "change-me"
 
@@ -295,28 +297,42 @@ def _format(kind: str, entity: str) -> str:
     return "\x1f".join([kind, kept, "".join("0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c for c in entity)])
 
 
-def _rotated(pairs: list[tuple[str, str]], keyed: Keyed) -> dict[tuple[str, str], str]:
-    """Each entity's surrogate is the next one of its format in keyed order.
+_ENTITIES = "kind string, entity string, attempt int, surrogate string"
+#: Draws before what is left trades places.
+DRAWS = 20
 
-    The others' surrogates are no entities, so all stay distinct.
-    """
-    groups: dict[str, list[tuple[str, str]]] = {}
-    for pair in pairs:
-        groups.setdefault(_format(*pair), []).append(pair)
-    out = {}
-    for same in groups.values():
-        if len(same) < 2:
-            raise ValueError(f"no distinct surrogate is left for an entity of kind {same[0][0]}")
-        same.sort(key=lambda x: (keyed.number("rotate", *x), x))
-        out |= {a: b[1] for a, b in zip(same, same[1:] + same[:1], strict=True)}
-    return out
 
+def _rotated(left: DataFrame, known: DataFrame, keyed: Keyed) -> DataFrame:
+    """(kind, entity, attempt, surrogate): the surrogate of each entity of left is the next one of its format in keyed order.
 
-_ENTITIES = "kind string, entity string, attempt int, surrogate string"
-
+    The others' surrogates are no entities, so all stay distinct.  One that is
+    alone trades places with the first other entity of its format; with none
+    such it becomes a mark of its kind and its keyed number.
+    """
 
-def redrawn(docs: DataFrame, keyed: Keyed, work: Workspace, text: str = "text") -> tuple[dict[tuple[str, str], int | str], Keyed]:
-    """Entities whose surrogate would not be distinct, with the draw that is, or the surrogate itself; and the key with the width it took."""
+    def formats(batches):
+        for batch in batches:
+            kinds, entities = (batch.column(i).to_pylist() for i in range(2))
+            pairs = list(zip(kinds, entities, strict=True))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_format(*x) for x in pairs], pa.string()), pa.array([f"{keyed.number('rotate', *x):064x}"[-32:] for x in pairs], pa.string())], names=["kind", "entity", "format", "place"])
+
+    shaped = lambda df: df.select("kind", "entity").mapInArrow(formats, "kind string, entity string, format string, place string")
+    left = shaped(left)
+    sizes = left.groupBy("format").agg(F.count("*").alias("n"), F.first("entity").alias("alone"))
+    lone = sizes.filter("n = 1").select("format", "alone")
+    partners = shaped(known).join(lone, "format").filter("entity <> alone").groupBy("format").agg(F.min(F.struct("place", "kind", "entity")).alias("x"))
+    both = left.unionByName(partners.select("x.kind", "x.entity", "format", "x.place"))
+    by = Window.partitionBy("format")
+    ordered = both.withColumn("next", F.lead("entity").over(by.orderBy("place", "entity"))).withColumn("first", F.first("entity").over(by.orderBy("place", "entity"))).withColumn("size", F.count("*").over(by))
+    mark = F.concat(F.lit("["), "kind", F.lit("-"), F.substring("place", 25, 8), F.lit("]"))
+    return ordered.select("kind", "entity", F.lit(0).alias("attempt"), F.when(F.col("size") == 1, mark).otherwise(F.coalesce("next", "first")).alias("surrogate"))
+
+
+def redrawn(docs: DataFrame, keyed: Keyed, work: Workspace, text: str = "text") -> tuple[DataFrame, Keyed]:
+    """(kind, entity, attempt, surrogate) of entities whose first draw would not be distinct: the draw that is, or the surrogate itself; and the key with the width it took.
+
+    Family names get more syllables only if some are left after ``DRAWS`` draws.
+    """
 
     def distinct(batches):
         for batch in batches:
@@ -332,7 +348,7 @@ def redrawn(docs: DataFrame, keyed: Keyed, work: Workspace, text: str = "text")
                 kinds, entities, attempts = (batch.column(i).to_pylist() for i in range(3))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([keyed.surrogate(*x) for x in zip(kinds, entities, attempts, strict=True)], pa.string())], names=["kind", "entity", "attempt", "surrogate"])
 
-        step, now, again = 0, known, None
+        step, now = 0, known
         while True:
             drawn = work.save(now.mapInArrow(draw, _ENTITIES), f"drawn{keyed.width}_{step}")
             # The least entity keeps a shared surrogate, unless the surrogate is an entity itself; given names only trade places.
@@ -341,56 +357,85 @@ def redrawn(docs: DataFrame, keyed: Keyed, work: Workspace, text: str = "text")
             clash = drawn.join(shared, ["kind", "surrogate"]).filter("entity <> first").select("kind", "entity")
             real = drawn.filter(~F.col("kind").startswith("given_")).join(known.select("kind", F.col("entity").alias("surrogate")), ["kind", "surrogate"], "left_semi").select("kind", "entity")
             bad = work.save(clash.unionAll(real).distinct(), f"bad{keyed.width}_{step}")
-            if bad.isEmpty() or step >= 20:
+            if bad.isEmpty() or step >= DRAWS:
                 break
             marked = bad.withColumn("up", F.lit(1))
             now = drawn.drop("surrogate").join(marked, ["kind", "entity"], "left").select("kind", "entity", (F.col("attempt") + F.coalesce("up", F.lit(0))).alias("attempt"))
             step += 1
-        left = [(r.kind, r.entity) for r in bad.limit(MAX_REDRAWN + 1).collect()]
-        again = drawn.filter("attempt > 0").select("kind", "entity", "attempt")
-        rows = again.limit(MAX_REDRAWN + 1).collect()
-        if len(rows) <= MAX_REDRAWN and not any(kind.startswith("family_") for kind, _ in left):
-            work.drop(*work.saved)
-            return {(r.kind, r.entity): r.attempt for r in rows} | _rotated(left, keyed), keyed
+        if bad.filter(F.col("kind").startswith("family_")).isEmpty():
+            break
         keyed = _restore(keyed.key, keyed.width + 1)
+    again = drawn.filter("attempt > 0").select("kind", "entity", "attempt", F.lit(None).cast("string").alias("surrogate"))
+    if not bad.isEmpty():
+        turned = work.save(_rotated(bad, known, keyed), "rotated")
+        again = again.join(turned.select("kind", "entity"), ["kind", "entity"], "left_anti").unionByName(turned)
+    changes = work.save(again, "changes")
+    work.drop(*(work.saved - {"changes"}))
+    return changes, keyed
 
 
-def replace(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text") -> DataFrame:
+def replace(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text", most: int = MAX_REDRAWN) -> DataFrame:
     """docs with surrogates in ``text`` and the counts n_entities and kinds.
 
     An entity has one surrogate wherever it occurs, in any spelling; two
     entities never share one.  kinds maps each kind to its mentions.  Null and
     empty texts stay as they are with no entities.  Rows are neither moved nor
-    dropped; columns named n_entities or kinds are replaced.
+    dropped; columns named n_entities or kinds are replaced.  Up to ``most``
+    entities that were drawn again are broadcast; beyond, texts are joined with
+    their own, and the result is the same.
     """
     work = Workspace(docs.sparkSession, "pii")
-    again, keyed = redrawn(docs, Keyed(key), work, text)
-    shared = docs.sparkSession.sparkContext.broadcast(again)
+    changes, keyed = redrawn(docs, Keyed(key), work, text)
+    fields = [(text, T.StringType()), ("n_entities", T.LongType()), ("kinds", T.MapType(T.StringType(), T.LongType()))]
+
+    def rewritten(column, redraws):
+        """redraws: for each text what is drawn again of its entities."""
+        texts, counts, kinds = [], [], []
+        for (value, hits), redraw in zip(_found(column), redraws, strict=False):
+            if hits:
+                pieces, done, tally = [], 0, {}
+                for a, b, kind, entity in hits:
+                    own, said = redraw.get((kind, entity), 0), value[a:b]
+                    new = own if isinstance(own, str) else keyed.surrogate(kind, entity, own)
+                    mark = isinstance(own, str) and own.startswith("[")
+                    pieces += [value[done:a], new if mark else keyed.written(kind, said, new)]
+                    done = b
+                    tally[kind] = tally.get(kind, 0) + 1
+                texts.append("".join([*pieces, value[done:]]))
+                kinds.append(sorted(tally.items()))
+            else:
+                texts.append(value)
+                kinds.append([])
+            counts.append(len(hits))
+        return [pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(kinds, pa.map_(pa.string(), pa.int64()))]
+
+    if changes.count() <= most:
+        shared = docs.sparkSession.sparkContext.broadcast({(r.kind, r.entity): r.attempt if r.surrogate is None else r.surrogate for r in changes.collect()})
+        return map_rows(docs, [text], fields, lambda: lambda column: rewritten(column, repeat(shared.value)))
+
+    # Too many to send everywhere: each text meets those of its own entities.
+    rows = work.save(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+    def mentions(batches):
+        for batch in batches:
+            ids, found = [], []
+            for row, (_, hits) in zip(batch.column(0).to_pylist(), _found(batch.column(1)), strict=True):
+                own = sorted({(kind, entity) for _, _, kind, entity in hits})
+                ids += [row] * len(own)
+                found += own
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array([p[i] for p in found], pa.string()) for i in (0, 1)]], names=["__row", "kind", "entity"])
+
+    named = rows.select("__row", F.col(text).cast("string")).mapInArrow(mentions, "__row long, kind string, entity string")
+    own = named.join(changes, ["kind", "entity"]).groupBy("__row").agg(F.collect_list(F.struct("kind", "entity", "attempt", "surrogate")).alias("__changes"))
+    joined = rows.join(own, "__row", "left").drop("__row")
 
     def make():
-        def step(column):
-            texts, counts, kinds = [], [], []
-            redraw = shared.value
-            for value, hits in _found(column):
-                if hits:
-                    pieces, done, tally = [], 0, {}
-                    for a, b, kind, entity in hits:
-                        own = redraw.get((kind, entity), 0)
-                        new = own if isinstance(own, str) else keyed.surrogate(kind, entity, own)
-                        pieces += [value[done:a], keyed.written(kind, value[a:b], new)]
-                        done = b
-                        tally[kind] = tally.get(kind, 0) + 1
-                    texts.append("".join([*pieces, value[done:]]))
-                    kinds.append(sorted(tally.items()))
-                else:
-                    texts.append(value)
-                    kinds.append([])
-                counts.append(len(hits))
-            return [pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(kinds, pa.map_(pa.string(), pa.int64()))]
+        def step(column, drawn):
+            return rewritten(column, ({(r["kind"], r["entity"]): r["attempt"] if r["surrogate"] is None else r["surrogate"] for r in x or ()} for x in drawn.to_pylist()))
 
         return step
 
-    return map_rows(docs, [text], [(text, T.StringType()), ("n_entities", T.LongType()), ("kinds", T.MapType(T.StringType(), T.LongType()))], make)
+    return map_rows(joined, [text, "__changes"], fields, make).drop("__changes")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -126,14 +126,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, key: str = "vec
     and only one edge for each row leaves it.
 
     Vectors that are null, zero or hold null or non-finite components link with
-    nothing and are their own component.  Rows that repeat a key are one
-    vector, the least of theirs.  Rows with a null key are returned one by one
+    nothing and are their own component.  Rows that repeat a key are vectors of
+    their own, whatever their labels: their links to rows of other keys are added,
+    and lie in one component.  Rows with a null key are returned one by one
     with 0 links, a null component and kept false.  Other columns are not read.
     """
     spark = vectors.sparkSession
     work = Workspace(spark, "vectors")
     read = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("embedding"))
-    rows = read.filter("id is not null").groupBy("id").agg(F.min(F.struct("label", "embedding")).alias("x")).select("id", "x.label", "x.embedding")
+    rows = read.filter("id is not null")
     usable = rows.filter("label is not null and embedding is not null")
     basis = _basis(usable, GRID_DIMENSIONS)
     eps2 = max(0.0, 2 - 2 * threshold)
@@ -216,6 +217,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, key: str = "vec
             else:
                 i, j = _joined(unit[one], place[one], unit[~one], place[~one], False, threshold, eps2)
                 i, j = np.flatnonzero(one)[i], np.flatnonzero(~one)[j]
+            other = ids[i] != ids[j]
+            i, j = i[other], j[other]
             if not len(i):
                 return None
             count = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
@@ -245,7 +248,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, key: str = "vec
     found = work.save(dealt.mapInArrow(links, "id long, n long, root long"), "links")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     roots = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")), work)
-    out = rows.select("id").join(counts, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    out = rows.select("id").distinct().join(counts, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
     out = out.select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "id").alias("component_id"))
     out = out.withColumn("kept", F.col("id") == F.col("component_id"))
     none = read.filter("id is null").select("id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"), F.lit(False).alias("kept"))

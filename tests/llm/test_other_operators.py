@@ -1,3 +1,4 @@
+import duckdb
 import html
 import json
 import math
@@ -54,6 +55,19 @@ def test_vectors_against_all_pairs(spark, monkeypatch, block):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_repeated_vector_ids_lose_no_link(spark):
+    """Rows of one id under several labels and vectors each link; a null label hides nothing."""
+    v, w = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, v, "5"), (1, v, None), (2, v, "5"), (3, v, "5"), (3, w, "5"), (4, w, "5"), (5, w, "6"), (5, w, "6"), (6, v, None), (7, None, "5")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (3, 1, False), 4: (1, 1, False), 5: (0, 5, True), 6: (0, 6, True), 7: (0, 7, True)}
+    con = duckdb.connect()
+    embeddings = df.toPandas()  # noqa: F841  read by name
+    want = {r[0]: tuple(r[1:]) for r in con.execute(vectors.OP7_SQL.replace("SELECT c.node AS vec_id", "SELECT DISTINCT c.node AS vec_id")).fetchall()}
+    assert got == want
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(1, 80)]

@@ -275,11 +275,35 @@ def test_collisions_are_drawn_again(spark):
     one_syllable = pii.Keyed("k", width=1)
     assert len({one_syllable.surrogate("family_latin", n) for n in names}) < len(names)
     df = spark.createDataFrame([(i, f"Mr {n} spoke.") for i, n in enumerate(names)], "doc_id long, text string")
-    again, keyed = pii.redrawn(df, one_syllable, pii.Workspace(spark, "t"))
+    changes, keyed = pii.redrawn(df, one_syllable, pii.Workspace(spark, "t"))
+    again = {(r.kind, r.entity): r.attempt for r in changes.collect()}
     got = [keyed.surrogate("family_latin", n, again.get(("family_latin", n), 0)) for n in names]
     assert len(set(got)) == len(names) and again
 
 
+def test_more_redraws_than_are_broadcast_give_the_same(spark, odd):
+    """All of a format's 26 addresses are drawn again; no limit changes what they become, and names keep their length."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"Mr Nabb and {c}@x.org wrote to {letters[(i + 1) % 26]}@x.org. Call +1 202 555 01{i:02d}.") for i, c in enumerate(letters)]
+    df = spark.createDataFrame([*rows, (99, None), (98, "")], "doc_id long, text string")
+    for docs in (df, odd):
+        few, many = (sorted(map(repr, pii.replace(docs, "k", most=most).collect())) for most in (pii.MAX_REDRAWN, -1))
+        assert few == many
+    texts = [r.text for r in pii.replace(df, "k", most=-1).filter("doc_id < 26").orderBy("doc_id").collect()]
+    mails = [re.findall(r"\S+@[a-z.]+[a-z]", t) for t in texts]
+    assert len({m[0] for m in mails}) == 26 and all(mails[i][1] == mails[(i + 1) % 26][0] for i in range(26))
+
+
+def test_what_is_left_alone_trades_places(spark):
+    keyed = pii.Keyed("k")
+    frame = lambda *pairs: spark.createDataFrame(list(pairs), "kind string, entity string")
+    known = frame(("email", "a@x.org"), ("email", "b@x.org"), ("email", "cc@y.org"))
+    got = {r.entity: r.surrogate for r in pii._rotated(frame(("email", "a@x.org")), known, keyed).collect()}
+    assert got == {"a@x.org": "b@x.org", "b@x.org": "a@x.org"}
+    alone = pii._rotated(frame(("email", "cc@y.org")), known, keyed).collect()
+    assert len(alone) == 1 and re.fullmatch(r"\[email-[0-9a-f]{8}\]", alone[0].surrogate)
+
+
 @pytest.mark.parametrize("said", ["\u201cJohn Smith\u201d left.", "[John Smith] left.", "**John Smith**", "Author:John Smith", "<b>John Smith</b>", "John Smith came. Later John left, and Smith too."])
 def test_names_after_any_sign(said):
     found = pii.find(said)
