@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import distributions as dist
 from . import stats
 
 def sha_seed(*parts: object) -> int:
@@ -20,6 +21,27 @@ def sha_seed(*parts: object) -> int:
 CONTRASTS = ("1a", "1b", "1c_typicality", "1c_evocativeness", "1d")
 
 
+def fit_term(term: str, cluster: str) -> Callable[[stats.Clusters, list[str]], dict]:
+    """T-01: the mixed model, or least squares if it doesn't converge or has no finite result; a cell is never dropped."""
+    label = f"{cluster.removesuffix('_id')}RI"
+
+    def fit(c: stats.Clusters, names: list[str]) -> dict:
+        at = names.index(term)
+        base = {"n_obs": int(c.n.sum()), "n_groups": len(c.n)}
+        try:
+            m = stats.lmm(c)
+            b, s = float(m["beta"][at]), float(math.sqrt(max(m["cov"][at, at], 0)))
+            if m["converged"] and math.isfinite(b) and s > 0:
+                return base | {"estimate": b, "se": s, "p_value": dist.two_sided(b / s), "converged": True, "fallback_used": False, "method": f"lmm-{label}"}
+        except np.linalg.LinAlgError:
+            pass
+        beta, cov = stats.ols(c)
+        b, s = float(beta[at]), float(math.sqrt(max(cov[at, at], 0)))
+        return base | {"estimate": b, "se": s, "p_value": dist.two_sided(b / s) if s > 0 else 1.0, "converged": False, "fallback_used": True, "method": f"ols-{label}"}
+
+    return fit
+
+
 def _clusters(x: np.ndarray, y: np.ndarray, code: np.ndarray) -> stats.Clusters:
     g = int(code.max()) + 1
     k = x.shape[1]
@@ -85,7 +107,7 @@ def replicates(spark: SparkSession, contrasts: Sequence[str], item_counts: Seque
             for r in pdf.itertuples(index=False):
                 rng = np.random.default_rng(sha_seed(seed, r.item_count, r.n, r.contrast, r.sim))
                 x, y, code, at = simulate(r.contrast, rng, r.item_count, r.n, mu, var_group, var_resid, effect)
-                fit = stats.fit_term("t", "family_id")(_clusters(x, y, code), ["t" if i == at else str(i) for i in range(x.shape[1])])
+                fit = fit_term("t", "family_id")(_clusters(x, y, code), ["t" if i == at else str(i) for i in range(x.shape[1])])
                 raw = y if r.contrast != "1d" else y + mu
                 out.append((r.contrast, r.item_count, r.n, r.sim, fit["p_value"], fit["converged"], fit["fallback_used"], float(np.mean((raw < 0) | (raw > 10)))))
             yield pd.DataFrame(out, columns=["contrast", "item_count", "n", "sim", "p_value", "converged", "fallback_used", "frac_clipped"])

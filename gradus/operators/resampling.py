@@ -23,6 +23,8 @@ from .stats import design, sufficient
 
 #: Bits of a hash that are used at a time: 32 signs, or 60 bits for a pick (four picks a hash).
 _SIGNS, _PICKS = 32, 4
+#: Statistics that differ by less, relatively, are equal: signs that are all alike give the data's own, but for rounding.
+TIE = 1e-9
 
 
 def beside(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -150,7 +152,7 @@ def wild_table(df: DataFrame, formula: str, terms: Sequence[str], cell: Sequence
 
     seen = place(fixed.mapInPandas(observed, seen_schema))
     found = beside(drawn, seen, keys).mapInPandas(lambda parts: _statistics(parts, k, at, keys), f"{_types(seen, keys)}, seen double, drawn double")
-    p = found.groupBy(*keys).agg(F.avg((F.abs("drawn") >= F.abs("seen")).cast("double")).alias("p_wild"))
+    p = found.groupBy(*keys).agg(F.avg((F.abs("drawn") >= F.abs("seen") * (1 - TIE)).cast("double")).alias("p_wild"))
 
     def classical(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:

@@ -86,7 +86,7 @@ both_ AS (SELECT '34 pretrained, moral' AS f, family_id AS g, CASE WHEN sign = '
 @query(
     f"""WITH {_SWAP},{_wild("SELECT f, g, count(*) AS n, sum(x) AS sx, sum(x * x) AS sxx, sum(y) AS sy, sum(x * y) AS sxy FROM both_ GROUP BY 1, 2", "CASE WHEN starts_with(f, '34') THEN 23 ELSE 24 END", 199)},
 k AS (SELECT f, count(*) AS n, count(DISTINCT g) AS n_groups FROM both_ GROUP BY 1)
-SELECT f AS fit, 'm' AS family, k.n, k.n_groups, round(any_value(b1), 6) AS beta, round(any_value(sqrt(factor * ss)), 6) AS se, round(avg(CASE WHEN abs(drawn) >= abs(seen) THEN 1.0 ELSE 0.0 END), 6) AS p_wild FROM z JOIN x USING (f) JOIN b USING (f) JOIN k USING (f) GROUP BY f, k.n, k.n_groups"""
+SELECT f AS fit, 'm' AS family, k.n, k.n_groups, round(any_value(b1), 6) AS beta, round(any_value(sqrt(factor * ss)), 6) AS se, round(avg(CASE WHEN abs(drawn) >= abs(seen) * (1 - 1e-9) THEN 1.0 ELSE 0.0 END), 6) AS p_wild FROM z JOIN x USING (f) JOIN b USING (f) JOIN k USING (f) GROUP BY f, k.n, k.n_groups"""
 )
 def robust_fits(spark: SparkSession, d: str) -> DataFrame:
     """T-37, T-38: a declared fit, and the same with ratings that were parsed from answers in place of expected ones."""
