@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions import scoring, seeds
 from ..functions import text as tx
 from ..operators import aggregates as ag
-from ..operators import joins, power, routing, stats, vectors
+from ..operators import joins, routing, stats, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -579,11 +579,5 @@ def logistic_effect(spark: SparkSession, d: str) -> DataFrame:
     return r6(stats.logistic_table(x, "late ~ high", "high").select("estimate", "se"))
 
 
-@query()
-def power_grid(spark: SparkSession, d: str) -> DataFrame:
-    """T-22, T-23."""
-    return r6(power.grid_points(power.replicates(spark, list(power.CONTRASTS), [10], [5], 20, 11)))
-
-
 
 from . import analysis_queries, stat_queries, stream_queries, study_queries  # noqa: E402, F401  register further queries

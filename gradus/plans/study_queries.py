@@ -359,10 +359,12 @@ def study_benchmarks(spark: SparkSession, d: str) -> DataFrame:
     return r6(joins.benchmark_rows(c, F.col("s") == "O", ["f"], "v").select("f", "v", "benchmark"))
 
 
-@query("SELECT contrast, CAST(items AS INTEGER) AS items, CAST(n AS INTEGER) AS n FROM (VALUES ('a'), ('b')) c(contrast), (SELECT unnest([10, 20, 40]) AS items), (SELECT unnest([5, 10]) AS n)")
+@query("SELECT contrast, CAST(items AS INTEGER) AS items, CAST(n AS INTEGER) AS n, CAST(n_clusters * items * n AS BIGINT) AS n_rows FROM (SELECT l_returnflag AS contrast, count(DISTINCT l_suppkey) AS n_clusters FROM lineitem GROUP BY 1) c, (SELECT unnest([10, 20, 40]) AS items), (SELECT unnest([5, 10]) AS n)")
 def study_grid(spark: SparkSession, d: str) -> DataFrame:
-    """J-24, J-33: a grid's points; its axes are parameters, so no table is read."""
-    return joins.grid(spark, contrast=["a", "b"], items=[10, 20, 40], n=[5, 10])
+    """J-24, J-33: contrasts of the data at each point of a grid of parameters, and the rows that it takes."""
+    clusters = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("contrast")).agg(F.count_distinct("l_suppkey").alias("n_clusters"))
+    points = clusters.crossJoin(F.broadcast(joins.grid(spark, items=[10, 20, 40], n=[5, 10])))  # six points
+    return points.select("contrast", "items", "n", (F.col("n_clusters") * F.col("items") * F.col("n")).alias("n_rows"))
 
 
 # ----- summaries
