@@ -9,8 +9,10 @@ shuffles nor joins.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections import Counter
+from functools import lru_cache
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import without
 
 BUCKETS = 2048
+SLOTS = 4096
 UNKNOWN = "unknown"
 #: Least calibrated probability of a family; share of the template's or the paragraph's n-grams that must be shared.
 LEAST_PROBABILITY = 0.5
@@ -146,15 +149,23 @@ def _variants() -> list[dict]:
     return out
 
 
+def _words(low: Column) -> Column:
+    return F.split(low, r"[^\p{L}\p{N}]+")
+
+
 def grams(text: Column) -> Column:
     """Distinct words and word pairs, in lower case; digits count as words."""
-    w = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    w = F.array_remove(_words(F.lower(text)), "")
     pairs = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
     return F.array_distinct(F.concat(w, F.filter(pairs, lambda x: x.isNotNull())))
 
 
+def _bucket(gram: Column, count: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(count)).cast("int")
+
+
 def buckets(found: Column) -> Column:
-    return F.array_distinct(F.transform(found, lambda g: F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int")))
+    return F.array_distinct(F.transform(found, lambda g: _bucket(g)))
 
 
 def _literal(value: object, kind: str) -> Column:
@@ -162,25 +173,36 @@ def _literal(value: object, kind: str) -> Column:
 
 
 class Model:
-    """families in order of the classes, unknown first; weights by bucket and class; intercepts; temperature that calibrates; n-grams that it knows."""
+    """families in order of the classes, unknown first; weights by bucket and class; intercepts; temperature that calibrates; n-grams that it knows, with their buckets."""
 
-    def __init__(self, families: list[str], weights: list[list[float]], intercept: list[float], temperature: float, known: list[str]):
+    def __init__(self, families: list[str], weights: list[list[float]], intercept: list[float], temperature: float, known: dict[str, int]):
         self.families, self.weights, self.intercept, self.temperature = families, weights, intercept, temperature
         self.known = known
 
-    def telling(self) -> Callable[[Column], Column]:
-        """Whether an n-gram weighs more for some family than for unknown; if no intercept does, a paragraph without one is unknown for sure."""
-        told = [b for b, w in enumerate(self.weights) if max(w[1:]) > w[0]]
-        return lambda g: g.isin(self.known) & F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int").isin(told)
-
-    def needs_telling(self) -> bool:
-        return max(self.intercept[1:]) <= self.intercept[0]
+    def bounded(self) -> bool:
+        """Whether the intercept of every family lacks something to that of unknown; else a paragraph may be of a family by its intercept alone."""
+        return max(self.intercept[1:]) < self.intercept[0]
+
+    def lifts(self) -> list[float]:
+        """By hash of a word, the most that it and its pairs can weigh for some family above unknown, as a share of what the family's intercept lacks.
+
+        A known pair counts with one of its words, that in fewer known pairs, so
+        that frequent words carry little; words of equal hash are added.
+        """
+        own = np.asarray(self.weights)
+        lacks = self.intercept[0] - np.asarray(self.intercept[1:])
+        share = (np.maximum(own[:, 1:] - own[:, :1], 0.0) / lacks).max(axis=1)
+        often = Counter(w for g in self.known if " " in g for w in g.split(" "))
+        rows = [(min(g.split(" "), key=lambda x: (often[x], x)), float(share[b])) for g, b in self.known.items()]
+        words = SparkSession.active().createDataFrame(rows, "w string, u double").groupBy(_bucket(F.col("w"), SLOTS).alias("b")).agg(F.sum("u").alias("u"))
+        found = {r.b: r.u for r in words.collect()}
+        return [found.get(i, 0.0) for i in range(SLOTS)]
 
     def logits(self, found: Column) -> Column:
         """Each bucket of known n-grams counts 1 / sqrt(number of all n-grams)."""
         weights = _literal(self.weights, "array<array<double>>")
         zero = F.array(*[F.lit(0.0)] * len(self.families))
-        hashed = buckets(F.filter(found, lambda g: g.isin(self.known)))
+        hashed = buckets(F.filter(found, lambda g: g.isin(list(self.known))))
         total = F.aggregate(hashed, zero, lambda acc, h: F.zip_with(acc, F.element_at(weights, h + 1), lambda a, b: a + b))
         scale = F.sqrt(F.greatest(F.size(found), F.lit(1)).cast("double"))
         return F.zip_with(total, _literal(self.intercept, "array<double>"), lambda a, b: (a / scale + b) / F.lit(self.temperature))
@@ -198,7 +220,7 @@ def _best(logits: Column) -> Column:
     return F.aggregate(logits, start, add, lambda acc: F.struct(acc["f"].alias("f"), (1 / acc["s"]).alias("q")))
 
 
-def _regression(train: DataFrame, families: list[str], known: list[str]) -> Model:
+def _regression(train: DataFrame, families: list[str], known: dict[str, int]) -> Model:
     """Sparse (elastic net) multinomial regression on (label, g), the n-grams of a statement."""
     h = train.select("label", buckets(F.col("g")).alias("h"), F.size("g").cast("double").alias("n"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.when(F.array_contains("h", i), 1 / F.sqrt("n")).otherwise(F.lit(0.0)))
@@ -217,18 +239,24 @@ def fit(spark: SparkSession) -> Model:
     families = [UNKNOWN, *TEMPLATES]
     rows = F.from_json(F.lit(json.dumps([v | {"label": families.index(v["family"])} for v in _variants()])), "array<struct<family string, text string, held boolean, label double>>")
     data = spark.range(1).select(F.explode(rows).alias("r")).select("r.*").withColumn("g", grams(F.col("text")))
-    seen = data.select("held", "g").collect()
-    trial = _regression(data.filter("not held"), families, sorted({g for r in seen if not r.held for g in r.g}))
+    seen = data.select("held", F.explode("g").alias("g")).groupBy("g", _bucket(F.col("g")).alias("b")).agg(F.bool_and("held").alias("held")).orderBy("g").collect()
+    trial = _regression(data.filter("not held"), families, {r.g: r.b for r in seen if not r.held})
     held = data.filter("held").select("label", trial.logits(F.col("g")).alias("z"))
     choices = [0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5]
     own = F.element_at("z", F.col("label").cast("int") + 1)
     loss = lambda t: F.log(F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp((x - own) / F.lit(t))))
     losses = held.agg(*[F.avg(loss(t)).alias(f"t{i}") for i, t in enumerate(choices)]).first()
-    model = _regression(data, families, sorted({g for r in seen for g in r.g}))
+    model = _regression(data, families, {r.g: r.b for r in seen})
     model.temperature = choices[min(range(len(choices)), key=lambda i: losses[i])]
     return model
 
 
+@lru_cache(maxsize=1)
+def _standard() -> Model:
+    """The fitted model, the same numbers in every session, so it is fitted once."""
+    return fit(SparkSession.active())
+
+
 def scan(docs: DataFrame, model: Model | None = None, text: str = "text") -> DataFrame:
     """docs with n_paragraphs, licences and families.
 
@@ -238,20 +266,31 @@ def scan(docs: DataFrame, model: Model | None = None, text: str = "text") -> Dat
     if that isn't unknown and has at least LEAST_PROBABILITY; it is confirmed
     if the share of n-grams common with its best template, of the smaller of
     the two, is at least LEAST_OVERLAP.  families holds the sorted confirmed
-    families.  Every paragraph is judged by the model; those without an n-gram
-    that speaks for some family are unknown without a sum.  Null and empty texts have no paragraphs.  Rows are neither moved nor dropped;
+    families.  Every paragraph is judged by the model; those whose words, by
+    ``Model.lifts``, can't lift any family to what it lacks are unknown for
+    sure, before pairs of words are made.  Null and empty texts have no paragraphs.  Rows are neither moved nor dropped;
     clashing columns are replaced.
     """
-    model = model or fit(docs.sparkSession)
+    model = model or _standard()
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     low = F.lower(body)
     parts = F.filter(F.when(F.regexp_like(low, F.lit(r"\n[ \t]*\n")), F.split(low, r"\n[ \t]*\n")).otherwise(F.split(low, "\n")), lambda p: F.regexp_like(p, F.lit(r"\S")))
     out = without(docs, ["n_paragraphs", "licences", "families"])
     out = out.withColumn("__parts", parts)
-    out = out.withColumn("__grams", F.transform("__parts", lambda p, i: F.struct(i.alias("i"), grams(p).alias("g"))))
-    if model.needs_telling():
-        telling = model.telling()
-        out = out.withColumn("__grams", F.filter("__grams", lambda x: F.exists(x["g"], telling)))
+    numbered = F.transform("__parts", lambda p, i: F.struct(i.alias("i"), p.alias("p")))
+    if model.bounded():
+        lifts = _literal(model.lifts(), "array<double>")
+
+        def may_win(p):
+            """m different words make at least m - 1 different pairs, so the sum of what the words lift is divided by no less than sqrt(2 m - 1)."""
+            start = F.struct(F.lit(0.0).alias("u"), F.lit(0).alias("m"))
+            add = lambda acc, w: F.struct((acc["u"] + F.element_at(lifts, _bucket(w, SLOTS) + 1)).alias("u"), (acc["m"] + 1).alias("m"))
+            found = F.array_distinct(F.array_remove(_words(p), ""))
+            return F.aggregate(found, start, add, lambda acc: acc["u"] >= (1 - 1e-6) * F.sqrt(F.greatest(2 * acc["m"] - 1, F.lit(1))))
+
+        numbered = F.filter(numbered, lambda x: may_win(x["p"]))
+    out = out.withColumn("__numbered", numbered)
+    out = out.withColumn("__grams", F.transform("__numbered", lambda x: F.struct(x["i"].alias("i"), grams(x["p"]).alias("g"))))
     out = out.withColumn("__probs", F.transform("__grams", lambda x: F.struct(x["i"].alias("i"), x["g"].alias("g"), _best(model.logits(x["g"])).alias("b"))))
     names = _literal(model.families, "array<string>")
     best = F.transform("__probs", lambda x: F.struct(x["i"].alias("i"), x["g"].alias("g"), x["b"]["q"].alias("q"), F.element_at(names, x["b"]["f"] + 1).alias("f")))
@@ -269,7 +308,7 @@ def scan(docs: DataFrame, model: Model | None = None, text: str = "text") -> Dat
     licences = F.transform("__met", lambda x: F.struct(x["paragraph"].alias("paragraph"), x["family"].alias("family"), x["probability"].alias("probability"), x["overlap"].alias("overlap"), (x["overlap"] >= LEAST_OVERLAP).alias("confirmed")))
     out = out.withColumn("n_paragraphs", F.size("__parts").cast("long")).withColumn("licences", licences)
     out = out.withColumn("families", F.array_sort(F.array_distinct(F.transform(F.filter("licences", lambda x: x["confirmed"]), lambda x: x["family"]))))
-    return out.drop("__parts", "__grams", "__probs", "__best", "__met")
+    return out.drop("__parts", "__numbered", "__grams", "__probs", "__best", "__met")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -225,7 +225,7 @@ def test_every_paragraph_is_judged(spark):
     said = ["Dual MIT / Apache-2.0", "Distributed under the MIT terms", licences.TEMPLATES["proprietary"][3], "The road was long.", "x", "Alle Rechte vorbehalten"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(said + licences.OTHER)], "doc_id long, text string")
     quick = {r.doc_id: r.licences for r in licences.scan(df, model).collect()}
-    model.needs_telling = lambda: False
+    model.bounded = lambda: False
     assert quick == {r.doc_id: r.licences for r in licences.scan(df, model).collect()}
     assert [[x.family for x in quick[i]] for i in range(5)] == [["apache"], ["mit"], ["proprietary"], [], []]
 
