@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Sequence
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, joins
+from ..sources import schemas
 from ..sources.files import with_provenance
 from ..sources.storage import Store
 
@@ -112,11 +114,88 @@ def status(families: DataFrame, domains: DataFrame, valences: Sequence[str]) ->
     return domains.select("domain").distinct().join(grid, "domain", "left").na.fill(0)
 
 
-def next_prompt(summary: Sequence[dict], domain: str, number: int, steer: str | None, most: int = 5) -> str:
-    """G-09: text that asks for the next set, with the last sets of the domain to avoid."""
-    used = "; ".join(f"{s['agent']} - {s['goal']}" for s in list(summary)[-most:]) or "none"
-    lines = [f"Domain: {domain}", f"Set number: {number}", f"Already used: {used}"]
-    return "\n".join(lines + ([f"Prefer the subdomain {steer}."] if steer else []))
+def _filled(template: str, **slots: Column) -> Column:
+    """The template with its named slots filled from columns; nulls are blank."""
+    parts = []
+    for text, slot, _, _ in Formatter().parse(template):
+        parts += [F.lit(text)] if text else []
+        parts += [F.coalesce(slots[slot].cast("string"), F.lit(""))] if slot is not None else []
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def set_number(family_id: str) -> Column:
+    """The number at the end of an id, before a suffix of a revision (``-r2``); null without one."""
+    return F.regexp_extract(family_id, r"(\d+)(?:-r\d+)?$", 1).try_cast("int")
+
+
+def next_prompts(
+    families: DataFrame,
+    domains: DataFrame,
+    template: str,
+    order_by: str,
+    steering: str = "\n\nRequired: nonmoral families of this set use the subdomain {target} ({tally}).",
+    most: int = 5,
+    allow_extra: bool = False,
+) -> DataFrame:
+    """G-09: (domain, n_sets, set_number, at_cap, prompt), what asks for the next set of each domain.
+
+    Slots of the template are domain, set_number and tracking_log, which lists
+    the sets of a domain by number: first agent, goal and subdomain that isn't
+    blank, in the order of ``order_by``.  The steering line follows if, of all
+    approved families, the commonest subdomain has over twice the rarest's.
+    Domains with ``most`` sets are at the cap and have no prompt, unless
+    ``allow_extra``; so only a few sets are gathered for a domain.  Families
+    without a number count for the tally alone; a domain without families
+    begins with set 1.
+    """
+    numbered = families.withColumn("__set", set_number("family_id")).filter("__set is not null")
+    sets = aggregates.set_summary(numbered, ["domain", "__set"], ["agent", "goal"], ["nonmoral_subdomain"], order_by)
+    counts = sets.groupBy("domain").agg(F.count("*").alias("n_sets"), F.max("__set").alias("top"))
+    counts = domains.select("domain").distinct().join(counts, "domain", "left").na.fill(0, ["n_sets", "top"])
+    counts = counts.withColumn("at_cap", F.col("n_sets") >= most)
+    # Fixed format of a line.
+    note = F.coalesce(F.concat(F.lit(" [subdomain: "), "nonmoral_subdomain", F.lit("]")), F.lit(""))
+    line = F.format_string('  - Set %02d: agent = "%s"; goal = "%s"%s', "__set", F.coalesce("agent", F.lit("")), F.coalesce("goal", F.lit("")), note)
+    wanted = counts if allow_extra else counts.filter(~F.col("at_cap"))
+    open_sets = sets.join(wanted.select("domain"), "domain", "left_semi")
+    log = open_sets.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("__set", line.alias("line")))).alias("lines"))
+    log = log.select("domain", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("log"))
+    names = schemas.SUBDOMAINS
+    tally = families.filter("human_approved").agg(*[F.count_if(F.col("nonmoral_subdomain") == x).alias(x) for x in names])
+    least, commonest = F.least(*names), F.greatest(*names)
+    target = F.coalesce(*[F.when((commonest > 2 * least) & (F.col(x) == least), F.lit(x)) for x in names])
+    text = F.concat_ws(", ", *[F.concat(F.lit(f"{x}="), F.col(x).cast("string")) for x in names])
+    steer = tally.select(target.alias("target"), F.when(target.isNotNull(), _filled(steering, target=target, tally=text)).alias("steer"))
+    out = counts.join(log, "domain", "left").crossJoin(F.broadcast(steer))  # one row
+    number = F.col("top") + 1
+    asks = _filled(template, domain=F.col("domain"), set_number=F.format_string("%02d", number), tracking_log=F.coalesce("log", F.lit("(none yet)")))
+    prompt = F.concat(asks, F.coalesce("steer", F.lit("")))
+    return out.select("domain", "n_sets", number.alias("set_number"), "at_cap", (prompt if allow_extra else F.when(~F.col("at_cap"), prompt)).alias("prompt"))
+
+
+def qa_prompt_lines(families: DataFrame, template: str, columns: Sequence[str], order_by: str) -> DataFrame:
+    """G-09: (domain, part, at, line), the text that asks for a review of each domain's whole matrix.
+
+    Part 0 is the template before its slot matrix_csv, with domain, n_sets and
+    n_families filled, 1 the header, 2 a row for each family in the order
+    ``at`` (else 0), 3 the template after the slot.  Lines stay rows, so a domain of any
+    size is never gathered; sorted by part and at they are the prompt.  Nulls
+    are blank, booleans True and False; cells with commas, quotes or line
+    breaks are quoted.
+    """
+    before, _, after = template.partition("{matrix_csv}")
+    sizes = families.groupBy("domain").agg(F.count_distinct(set_number("family_id")).alias("n_sets"), F.count("*").alias("n_families"))
+    slots = {c: F.col(c) for c in ("domain", "n_sets", "n_families")}
+    fixed = [(0, _filled(before, **slots)), (1, F.lit(",".join(columns))), (3, _filled(after, **slots))]
+    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.lit(0).cast("bigint").alias("at"), x.alias("line")) for i, x in fixed]))
+
+    def cell(c: str) -> Column:
+        flag = families.schema[c].dataType.simpleString() == "boolean"
+        x = F.coalesce(F.initcap(F.col(c).cast("string")) if flag else F.col(c).cast("string"), F.lit(""))
+        return F.when(F.regexp_like(x, F.lit('[,"\r\n]')), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
+
+    lines = families.select("domain", F.lit(2).alias("part"), F.col(order_by).cast("bigint").alias("at"), F.concat_ws(",", *[cell(c) for c in columns]).alias("line"))
+    return sizes.select("domain", rows.alias("r")).select("domain", "r.*").unionByName(lines)
 
 
 def registry_pairs(models: DataFrame) -> DataFrame:

@@ -491,6 +491,51 @@ def study_status(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.status(f, f, schemas.VALENCES)
 
 
+_GROUPED = f"""{_FAM}, grown AS (
+  SELECT 'G' || (k // 35) AS domain, 'G' || (k // 35) || '-' || valence || '-' || printf('%02d', (k // 5) % 7 + 1) || CASE WHEN k % 4 = 0 THEN '-r2' ELSE '' END AS family_id, (k // 5) % 7 + 1 AS num, (k // 5) % 7 < (k // 35) % 8 AS made, k, valence, agent,
+    CASE WHEN k % 6 = 0 THEN goal || ', "now"' ELSE goal END AS goal, CASE WHEN nonmoral_subdomain = 'etiquette' AND k % 3 <> 0 THEN '' ELSE nonmoral_subdomain END AS nonmoral_subdomain, human_approved FROM fam)"""
+
+
+def _grown(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Families in many domains of up to seven sets, and all domains; etiquette is rare among those approved."""
+    k, s = F.col("k"), F.expr("k div 5 % 7 + 1")
+    domain = F.concat(F.lit("G"), F.expr("k div 35").cast("string"))
+    f = _families(spark, d).withColumns(
+        {
+            "domain": domain,
+            "family_id": F.concat(F.concat_ws("-", domain, "valence", F.format_string("%02d", s)), F.when(k % 4 == 0, "-r2").otherwise("")),
+            "goal": F.when(k % 6 == 0, F.concat("goal", F.lit(', "now"'))).otherwise(F.col("goal")),
+            "nonmoral_subdomain": F.when((F.col("nonmoral_subdomain") == "etiquette") & (k % 3 != 0), "").otherwise(F.col("nonmoral_subdomain")),
+        }
+    )
+    return f.filter("k div 5 % 7 < k div 35 % 8"), f.select("domain")
+
+
+@query(
+    f"WITH {_GROUPED}, s AS (SELECT domain, num, arg_min(agent, k) AS a, arg_min(goal, k) AS g, arg_min(nonmoral_subdomain, k) FILTER (nonmoral_subdomain <> '') AS u FROM grown WHERE made GROUP BY 1, 2), "
+    """l AS (SELECT domain, count(*) AS n, max(num) AS top, string_agg('  - Set ' || printf('%02d', num) || ': agent = "' || a || '"; goal = "' || g || '"' || coalesce(' [subdomain: ' || u || ']', ''), chr(10) ORDER BY num) AS log FROM s GROUP BY 1), """
+    "t AS (SELECT x, count(k) AS n FROM (VALUES ('aesthetic'), ('etiquette'), ('procedural'), ('prudential')) v(x) LEFT JOIN (SELECT * FROM grown WHERE made AND human_approved) ON nonmoral_subdomain = x GROUP BY 1), "
+    "z AS (SELECT CASE WHEN max(n) > 2 * min(n) THEN chr(10) || 'Use ' || arg_min(x, struct_pack(n := n, x := x)) || ' of ' || string_agg(x || '=' || n, ', ' ORDER BY x) ELSE '' END AS steer FROM t), "
+    "w AS (SELECT d.domain, coalesce(n, 0) AS n_sets, coalesce(top, 0) + 1 AS set_number, coalesce(n, 0) >= 5 AS at_cap, coalesce(log, '(none yet)') AS log FROM (SELECT DISTINCT domain FROM grown) d LEFT JOIN l ON d.domain = l.domain) "
+    "SELECT domain, n_sets, set_number, at_cap, CASE WHEN NOT at_cap THEN domain || ' / ' || printf('%02d', set_number) || chr(10) || log || steer END AS prompt FROM w, z"
+)
+def study_next_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """G-09: what asks for the next set of each domain, steered to the rarest subdomain."""
+    families, domains = _grown(spark, d)
+    return lifecycle.next_prompts(families, domains, "{domain} / {set_number}\n{tracking_log}", "k", "\nUse {target} of {tally}")
+
+
+@query(
+    f"WITH {_GROUPED}, m AS (SELECT * FROM grown WHERE made), n AS (SELECT domain, count(DISTINCT num) AS s, count(*) AS f FROM m GROUP BY 1) "
+    "SELECT domain, 0 AS part, CAST(0 AS BIGINT) AS at, domain || ' (' || s || ' sets, ' || f || ' families):' AS line FROM n UNION ALL SELECT domain, 1, 0, 'family_id,goal,nonmoral_subdomain,human_approved' FROM n UNION ALL SELECT domain, 3, 0, 'End of ' || domain FROM n "
+    """UNION ALL SELECT domain, 2, k, family_id || ',' || CASE WHEN goal LIKE '%,%' THEN '"' || replace(goal, '"', '""') || '"' ELSE goal END || ',' || nonmoral_subdomain || ',' || CASE WHEN human_approved THEN 'True' ELSE 'False' END FROM m"""
+)
+def study_qa_lines(spark: SparkSession, d: str) -> DataFrame:
+    """G-09: lines of the texts that ask for a review of each domain's matrix."""
+    template = "{domain} ({n_sets} sets, {n_families} families):{matrix_csv}End of {domain}"
+    return lifecycle.qa_prompt_lines(_grown(spark, d)[0], template, ["family_id", "goal", "nonmoral_subdomain", "human_approved"], "k")
+
+
 @query("WITH m AS (SELECT s_nationkey AS f, s_suppkey % 3 = 0 AS t, s_acctbal < 0 AS core FROM supplier) SELECT CAST(f AS VARCHAR) AS model_family, CASE WHEN bool_or(core) THEN 'error' ELSE 'warning' END AS severity FROM m GROUP BY f HAVING count(DISTINCT t) < 2")
 def study_registry(spark: SparkSession, d: str) -> DataFrame:
     """G-10: families without both kinds of checkpoint."""

@@ -182,3 +182,28 @@ def test_types_come_from_all_values(spark, tmp_path):
     assert got.count() == 51 and got.agg(F.sum("b")).first()[0] == 51.5
     (tmp_path / "e.csv").write_text("")
     assert files.read_inferred(spark, f"{tmp_path}/e.csv").count() == 0
+
+
+def test_prompts_of_next_sets(spark):
+    row = "k int, family_id string, domain string, agent string, goal string, nonmoral_subdomain string, human_approved boolean"
+    rows = [(1, "A-MB-02-r3", "A", "The cook", "sell", "", True), (2, "A-NMB-02", "A", "The boss", "buy", "aesthetic", True), (3, "A-MB-10", "A", None, "run", None, None), (4, "A-other", "A", "x", "y", "aesthetic", True)]
+    rows += [(10 + i, f"B-MB-0{i}", "B", "b", "g", "procedural", True) for i in range(1, 6)]
+    families, domains = spark.createDataFrame(rows, row), spark.createDataFrame([("A",), ("B",), ("C",)], "domain string")
+    ask = lambda **more: {r.domain: r for r in lifecycle.next_prompts(families, domains, "{domain}{set_number}\n{tracking_log}", "k", "\n{target}: {tally}", **more).collect()}
+    got = ask()
+    steer = "\netiquette: aesthetic=2, etiquette=0, procedural=5, prudential=0"
+    assert got["A"].prompt == 'A11\n  - Set 02: agent = "The cook"; goal = "sell" [subdomain: aesthetic]\n  - Set 10: agent = ""; goal = "run"' + steer
+    assert got["B"].at_cap and got["B"].prompt is None and (got["C"].set_number, got["C"].prompt) == (1, "C01\n(none yet)" + steer)
+    assert ask(allow_extra=True)["B"].prompt.startswith("B06\n  - Set 01") and ask(most=2)["A"].prompt is None
+    assert ask(most=9)["B"].at_cap is False
+    nobody = lifecycle.next_prompts(families.limit(0), domains, "{domain}", "k").collect()
+    assert sorted(r.prompt for r in nobody) == ["A", "B", "C"]
+
+
+def test_review_prompt_is_its_lines(spark):
+    families = spark.createDataFrame([(2, "A-MB-01", "A", 'say "no", now', True), (1, "A-MG-01", "A", None, None), (3, "B-MB-07", "B", "two\nlines", False)], "k int, family_id string, domain string, goal string, human_approved boolean")
+    lines = lifecycle.qa_prompt_lines(families, "{domain}: {n_sets}, {n_families}{matrix_csv}done", ["family_id", "goal", "human_approved"], "k")
+    text = "\n".join(r.line for r in lines.filter("domain = 'A'").orderBy("part", "at").collect())
+    assert text == 'A: 1, 2\nfamily_id,goal,human_approved\nA-MG-01,,\nA-MB-01,"say ""no"", now",True\ndone'
+    assert [r.line for r in lines.filter("domain = 'B' and part = 2").collect()] == ['B-MB-07,"two\nlines",False']
+    assert lifecycle.qa_prompt_lines(families.limit(0), "{matrix_csv}", ["goal"], "k").count() == 0
