@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 from string import Formatter
 
 from pyspark.sql import Column, DataFrame
@@ -114,6 +115,48 @@ def status(families: DataFrame, domains: DataFrame, valences: Sequence[str]) ->
     return domains.select("domain").distinct().join(grid, "domain", "left").na.fill(0)
 
 
+def dashboard(families: DataFrame) -> DataFrame:
+    """G-08: (section, domain, name, n), the whole state of a matrix of families.
+
+    total: all families.  grid: families by domain and valence, zeros included.
+    sets: different set numbers of a domain.  approved, pending: families by
+    nonmoral subdomain over all domains, zeros included; steer: the rarest of
+    the approved if the commonest has over twice its count.  backlog: each
+    family not approved.  agents: sets whose agent is a role ("The ...") or a
+    name; an agent counts once for each set.  repeated: agents of several sets
+    of a domain.  A null domain is "?", a null approval is none; families
+    without a set number are one set.  Domains of whole sections are blank.
+    """
+    f = families.withColumns({"domain": F.coalesce("domain", F.lit("?")), "__set": set_number("family_id"), "__ok": F.coalesce("human_approved", F.lit(False))})
+    names = [("grid", v, F.col("valence") == v) for v in schemas.VALENCES]
+    names += [(part, x, (F.col("nonmoral_subdomain") == x) & ok) for part, ok in (("approved", F.col("__ok")), ("pending", ~F.col("__ok"))) for x in schemas.SUBDOMAINS]
+    counts = f.groupBy("domain").agg(F.count("*").alias("all"), F.count_distinct("__set").alias("sets"), *[F.count_if(test).alias(f"{part}_{x}") for part, x, test in names])
+    row = lambda part, name, n: F.struct(F.lit(part).alias("section"), F.lit(name).alias("name"), F.col(n).alias("n"))
+    cells = [row("total", "families", "all"), row("sets", "sets", "sets"), *[row(part, x, f"{part}_{x}") for part, x, _ in names]]
+    long = counts.select("domain", F.explode(F.array(*cells)).alias("r")).select("r.section", "domain", "r.name", "r.n")
+    # A matrix without families has totals of zero.
+    zeros = families.sparkSession.createDataFrame([("total", "families"), *[(p, x) for p, x, _ in names if p != "grid"]], "section string, name string")
+    sums = long.filter("section in ('total', 'approved', 'pending')").groupBy("section", "name").agg(F.sum("n").alias("n"))
+    whole = zeros.join(sums, ["section", "name"], "left").select("section", F.lit("").alias("domain"), "name", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    order = F.array_position(F.array(*map(F.lit, schemas.SUBDOMAINS)), F.col("name"))
+    tally = whole.filter("section = 'approved'").withColumn("at", order)
+    steer = tally.agg(F.when(F.max("n") > 2 * F.min("n"), F.min_by(F.struct("name", "n"), F.struct("n", "at"))).alias("r")).filter("r is not null")
+    backlog = f.filter(~F.col("__ok")).select(F.lit("backlog").alias("section"), "domain", F.col("family_id").alias("name"), F.lit(1).cast("bigint").alias("n"))
+    agent = F.coalesce("agent", F.lit(""))
+    used = f.select("domain", "__set", agent.alias("name")).distinct().groupBy("domain", "name").agg(F.count("*").alias("n"))
+    kind = F.when(F.col("name").startswith("The "), "role").when(F.col("name") != "", "name")
+    kinds = used.groupBy(kind.alias("name")).agg(F.sum("n").alias("n")).filter("name is not null")
+    parts = [
+        long.filter("section in ('grid', 'sets')"),
+        whole,
+        steer.select(F.lit("steer").alias("section"), F.lit("").alias("domain"), "r.name", "r.n"),
+        backlog,
+        kinds.select(F.lit("agents").alias("section"), F.lit("").alias("domain"), "name", "n"),
+        used.filter("n > 1").select(F.lit("repeated").alias("section"), "domain", "name", "n"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _filled(template: str, **slots: Column) -> Column:
     """The template with its named slots filled from columns; nulls are blank."""
     parts = []

@@ -536,6 +536,21 @@ def study_qa_lines(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.qa_prompt_lines(_grown(spark, d)[0], template, ["family_id", "goal", "nonmoral_subdomain", "human_approved"], "k")
 
 
+@query(
+    f"WITH {_GROUPED}, m AS (SELECT * REPLACE (CASE WHEN k % 7 = 0 THEN 'Mr ' ELSE 'The ' END || string_split(agent, ' ')[2] AS agent) FROM grown WHERE made), "
+    "u AS (SELECT domain, agent, count(DISTINCT num) AS n FROM m GROUP BY 1, 2), x AS (SELECT unnest(['aesthetic', 'etiquette', 'procedural', 'prudential']) AS x), "
+    "t AS (SELECT CASE WHEN ok THEN 'approved' ELSE 'pending' END AS section, x, (SELECT count(*) FROM m WHERE nonmoral_subdomain = x AND human_approved = ok) AS n FROM x, (VALUES (true), (false)) b(ok)), "
+    "g AS (SELECT domain, v, count(*) FILTER (valence = v) AS n FROM m, (SELECT unnest(['MB', 'MG', 'NMB', 'NMG', 'NEU']) AS v) GROUP BY 1, 2) "
+    "SELECT 'total' AS section, '' AS domain, 'families' AS name, count(*) AS n FROM m UNION ALL SELECT 'grid', domain, v, n FROM g UNION ALL SELECT 'sets', domain, 'sets', count(DISTINCT num) FROM m GROUP BY 2 "
+    "UNION ALL SELECT section, '', x, n FROM t UNION ALL SELECT 'steer', '', arg_min(x, struct_pack(n := n, x := x)), min(n) FROM t WHERE section = 'approved' HAVING max(n) > 2 * min(n) "
+    "UNION ALL SELECT 'backlog', domain, family_id, 1 FROM m WHERE NOT human_approved UNION ALL SELECT 'agents', '', CASE WHEN agent LIKE 'The %' THEN 'role' ELSE 'name' END, CAST(sum(n) AS BIGINT) FROM u GROUP BY 3 UNION ALL SELECT 'repeated', domain, agent, n FROM u WHERE n > 1"
+)
+def study_dashboard(spark: SparkSession, d: str) -> DataFrame:
+    """G-08: the whole state of the matrix, section by section."""
+    title = F.when(F.pmod("k", F.lit(7)) == 0, "Mr ").otherwise("The ")
+    return lifecycle.dashboard(_grown(spark, d)[0].withColumn("agent", F.concat(title, F.split("agent", " ")[1])))
+
+
 @query("WITH m AS (SELECT s_nationkey AS f, s_suppkey % 3 = 0 AS t, s_acctbal < 0 AS core FROM supplier) SELECT CAST(f AS VARCHAR) AS model_family, CASE WHEN bool_or(core) THEN 'error' ELSE 'warning' END AS severity FROM m GROUP BY f HAVING count(DISTINCT t) < 2")
 def study_registry(spark: SparkSession, d: str) -> DataFrame:
     """G-10: families without both kinds of checkpoint."""

@@ -207,3 +207,17 @@ def test_review_prompt_is_its_lines(spark):
     assert text == 'A: 1, 2\nfamily_id,goal,human_approved\nA-MG-01,,\nA-MB-01,"say ""no"", now",True\ndone'
     assert [r.line for r in lines.filter("domain = 'B' and part = 2").collect()] == ['B-MB-07,"two\nlines",False']
     assert lifecycle.qa_prompt_lines(families.limit(0), "{matrix_csv}", ["goal"], "k").count() == 0
+
+
+def test_dashboard(spark):
+    row = "family_id string, domain string, valence string, agent string, nonmoral_subdomain string, human_approved boolean"
+    rows = [("A-MB-01", "A", "MB", "The cook", None, True), ("A-NMB-01", "A", "NMB", "The cook", "aesthetic", True), ("A-MB-02-r2", "A", "MB", "The cook", "", None), ("odd", None, "??", "Ann", "etiquette", False), ("B-MB-01", "B", "MB", None, "", True)]
+    got = {(r.section, r.domain, r.name): r.n for r in lifecycle.dashboard(spark.createDataFrame(rows, row)).collect()}
+    assert got[("total", "", "families")] == 5 and got[("grid", "A", "MB")] == 2 and got[("grid", "?", "MB")] == 0
+    assert [got[("sets", x, "sets")] for x in "AB?"] == [2, 1, 0]
+    assert got[("approved", "", "aesthetic")] == 1 and got[("pending", "", "etiquette")] == 1 and got[("steer", "", "etiquette")] == 0
+    assert {k[1:] for k in got if k[0] == "backlog"} == {("A", "A-MB-02-r2"), ("?", "odd")}
+    assert got[("agents", "", "role")] == 2 and got[("agents", "", "name")] == 1
+    assert {k[1:]: n for k, n in got.items() if k[0] == "repeated"} == {("A", "The cook"): 2}
+    empty = lifecycle.dashboard(spark.createDataFrame([], row)).collect()
+    assert {r.section for r in empty} == {"total", "approved", "pending"} and not any(r.n for r in empty)
