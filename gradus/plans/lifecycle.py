@@ -247,6 +247,41 @@ def registry_pairs(models: DataFrame) -> DataFrame:
     return out.select("model_family", F.when(F.col("core") == 1, "error").otherwise("warning").alias("severity"))
 
 
+def summary_lines(results: DataFrame, tests: DataFrame) -> DataFrame:
+    """G-11: (section, topic, part, at, line), a report of an analysis; sorted by these it is the text.
+
+    Section 1 says how many result rows were read, included and excluded, and
+    lists reasons (``drop_reason``, null for those included) by name.  Section
+    2 has a table for each ``rq`` of ``tests``, by contrast and model family; a
+    table without tests says so.  Lines are made where the rows are; numbers
+    have fixed decimals, nulls are "-".
+    """
+    reasons = results.groupBy("drop_reason").agg(F.count("*").alias("n"))
+    whole = reasons.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("drop_reason").isNull(), F.col("n"))), F.lit(0)).alias("kept"))
+
+    def lines(df: DataFrame, section: int, topic: Column, part: int, at: Column, line: Column) -> DataFrame:
+        return df.select(F.lit(section).alias("section"), topic.alias("topic"), F.lit(part).alias("part"), at.alias("at"), line.alias("line"))
+
+    blank = F.lit("")
+    number = lambda c, digits: F.when(F.col(c).isNull(), "-").otherwise(F.format_string(f"%.{digits}f", c))
+    row = lambda *cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    said = F.format_string("Of %d result rows read, %d were included and %d excluded.", "n", "kept", F.col("n") - F.col("kept"))
+    excluded = reasons.filter("drop_reason is not null")
+    topics = tests.select("rq").distinct()
+    head = F.lit("| contrast | model_family | estimate | p | p(Holm) | confirmed |")
+    cells = row("contrast", "model_family", number("estimate", 3), number("p_value", 4), number("p_holm", 4), F.coalesce(F.col("confirmed").cast("string"), F.lit("-")))
+    none = tests.agg(F.count("*").alias("n")).filter("n = 0")
+    parts = [
+        lines(whole, 1, blank, 0, blank, said),
+        lines(excluded, 1, blank, 1, F.col("drop_reason"), row("drop_reason", F.col("n").cast("string"))),
+        lines(none, 2, blank, 0, blank, F.lit("No contrast could be estimated.")),
+        lines(topics, 2, F.col("rq"), 0, blank, F.concat(F.lit("### "), "rq")),
+        lines(topics, 2, F.col("rq"), 1, blank, head),
+        lines(tests, 2, F.col("rq"), 2, F.concat_ws("/", "contrast", "model_family"), cells),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def summary_markdown(table: DataFrame, title: str, columns: Sequence[str], order_by: Sequence[str]) -> str:
     """G-11, G-13: a report table of one row for each test or grid point."""
     rows = table.select(*columns).orderBy(*order_by).collect()

@@ -221,3 +221,12 @@ def test_dashboard(spark):
     assert {k[1:]: n for k, n in got.items() if k[0] == "repeated"} == {("A", "The cook"): 2}
     empty = lifecycle.dashboard(spark.createDataFrame([], row)).collect()
     assert {r.section for r in empty} == {"total", "approved", "pending"} and not any(r.n for r in empty)
+
+
+def test_summary_lines(spark):
+    results = spark.createDataFrame([(1, None), (2, "refused"), (3, "refused"), (4, "empty")], "k int, drop_reason string")
+    tests = spark.createDataFrame([("b", "m", "rq2", 0.25, 0.5, 0.5, False), ("a", "m", "rq1", -1.5, 0.001, None, None)], "contrast string, model_family string, rq string, estimate double, p_value double, p_holm double, confirmed boolean")
+    text = [r.line for r in lifecycle.summary_lines(results, tests).orderBy("section", "topic", "part", "at").collect()]
+    head = "| contrast | model_family | estimate | p | p(Holm) | confirmed |"
+    assert text == ["Of 4 result rows read, 1 were included and 3 excluded.", "| empty | 1 |", "| refused | 2 |", "### rq1", head, "| a | m | -1.500 | 0.0010 | - | - |", "### rq2", head, "| b | m | 0.250 | 0.5000 | 0.5000 | false |"]
+    assert [r.line for r in lifecycle.summary_lines(results.limit(0), tests.limit(0)).orderBy("section").collect()] == ["Of 0 result rows read, 0 were included and 0 excluded.", "No contrast could be estimated."]
