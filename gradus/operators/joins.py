@@ -123,6 +123,24 @@ def remaining(jobs: DataFrame, done: DataFrame, key: Sequence[str]) -> DataFrame
     return jobs.join(done.select(*key), list(key), "left_anti")
 
 
+def pilot_jobs(prompts: DataFrame, models: Sequence[str], samples: int, done: DataFrame) -> DataFrame:
+    """J-32: (job_id, prompt_id, model_key, sample_idx, turn), jobs without a result, to be run model by model.
+
+    turn orders the models by their first job that is left, jobs being in the
+    order of prompt, model as given, and sample.  Unknown, repeated and null ids
+    of results do no harm; a model that is named twice has its jobs once.
+    """
+    known = list(dict.fromkeys(models))
+    jobs = prompts.select("prompt_id").distinct().select("prompt_id", F.posexplode(F.array(*[F.lit(m) for m in known])).alias("at", "model_key"))
+    jobs = jobs.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample_idx"))
+    jobs = jobs.withColumn("job_id", F.concat_ws("::", "prompt_id", "model_key", F.col("sample_idx").cast("string")))
+    left = remaining(jobs, done, ["job_id"])
+    first = left.groupBy("model_key").agg(F.min(F.struct("prompt_id", "at")).alias("first"))
+    # A row for each model.
+    turns = first.agg(F.array_sort(F.collect_list(F.struct("first", "model_key"))).alias("m")).select(F.posexplode(F.col("m.model_key")).alias("turn", "model_key"))
+    return left.join(F.broadcast(turns), "model_key").select("job_id", "prompt_id", "model_key", "sample_idx", (F.col("turn") + 1).alias("turn"))
+
+
 def in_split(df: DataFrame, ids: DataFrame, key: str, name: str | None = None) -> DataFrame:
     """J-18: rows whose key occurs in ids, or a flag that says so."""
     known = ids.select(key).distinct()

@@ -324,6 +324,22 @@ def study_remaining(spark: SparkSession, d: str) -> DataFrame:
     return joins.remaining(asked, _ingested(spark, d).filter("drop_reason is null"), ["variant_id", "question_type"])
 
 
+@query(
+    f"WITH {_VAR}, m AS (SELECT unnest([0, 1, 2]) AS pos, unnest(['alpha-instruct', 'alpha-pretrained', 'beta-instruct']) AS model_key), "
+    "j AS (SELECT variant_id || '::' || q || '::' || model_key || '::' || i AS job_id, variant_id || '::' || q AS prompt_id, model_key, pos, CAST(i AS INTEGER) AS sample_idx FROM var, (SELECT unnest(['q_blame', 'q_intentionality', 'q_praise']) AS q), m, (SELECT unnest(range(2)) AS i) WHERE NOT (k % 3 = 0 OR (domain = 'D0' AND pos = 0))), "
+    "f AS (SELECT model_key, row_number() OVER (ORDER BY p, pos) AS turn FROM (SELECT model_key, any_value(pos) AS pos, min(prompt_id) AS p FROM j GROUP BY 1)) "
+    "SELECT job_id, prompt_id, model_key, sample_idx, CAST(turn AS INTEGER) AS turn FROM j JOIN f USING (model_key)"
+)
+def study_pilot(spark: SparkSession, d: str) -> DataFrame:
+    """J-32: jobs that are left of a pilot, model by model in the order in which they are met."""
+    models = ["alpha-instruct", "alpha-pretrained", "beta-instruct"]
+    v = _variants(spark, d).join(_families(spark, d).select("family_id", "k"), "family_id")
+    p = v.select(F.explode(F.array(*[F.concat_ws("::", "variant_id", F.lit(f"q_{q}")) for q in ("intentionality", "blame", "praise")])).alias("prompt_id"), "k", "domain")
+    ran = p.filter((F.col("k") % 3 == 0) | (F.col("domain") == "D0")).select("*", F.explode(F.array(*map(F.lit, models))).alias("m")).withColumn("i", F.explode(F.array(F.lit("0"), F.lit("1"))))
+    done = ran.filter((F.col("k") % 3 == 0) | (F.col("m") == models[0])).select(F.concat_ws("::", "prompt_id", "m", "i").alias("job_id"))
+    return joins.pilot_jobs(p, models, 2, done.unionAll(done.filter("i = '0'")))
+
+
 @query(f"WITH {_VAR} SELECT variant_id, 'first' AS question FROM var UNION ALL SELECT variant_id, 'second' FROM var WHERE valence <> 'NEU'")
 def study_questions(spark: SparkSession, d: str) -> DataFrame:
     """J-31: one question for all items, another outside the control condition."""

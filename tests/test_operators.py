@@ -231,3 +231,11 @@ def test_similar_texts_lose_no_pair(spark, least):
     like = sorted((r.d, r.new_goal, r.old_goal) for r in joins.similar_goals(df, df.filter("i >= 40"), "d", "t", least).collect())
     olds = {("xy"[i % 2], texts[i]) for i in range(40, len(texts))}
     assert like == sorted(("xy"[i % 2], t, o) for i, t in enumerate(texts) for d, o in olds if d == "xy"[i % 2] and sim(sets[i], set(re.findall("[a-z]+", o.lower()))) > least)
+
+
+def test_pilot_jobs(spark):
+    prompts = spark.createDataFrame([("b",), ("a",), ("a",)], "prompt_id string")
+    done = spark.createDataFrame([("a::m2::0",), ("a::m2::1",), ("a::m2::1",), ("zz",), (None,)], "job_id string")
+    got = sorted((r.turn, r.prompt_id, r.sample_idx, r.model_key) for r in joins.pilot_jobs(prompts, ["m2", "m1", "m2"], 2, done).collect())
+    assert got == [(1, "a", 0, "m1"), (1, "a", 1, "m1"), (1, "b", 0, "m1"), (1, "b", 1, "m1"), (2, "b", 0, "m2"), (2, "b", 1, "m2")]
+    assert joins.pilot_jobs(prompts.limit(0), ["m1"], 1, done).count() == 0
