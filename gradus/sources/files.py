@@ -137,25 +137,36 @@ def read_if_there(spark: SparkSession, path: str, record: str, kind: str = "json
     return spark.read.schema(schemas.schema(record)).format(kind).load(path)
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, at): lines of a file, or of a folder's files in order of their names; ``at`` sorts as they stand."""
+    raw = spark.read.option("lineSep", "\n").text(path)
+    return raw.select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line")).alias("at"))
+
+
 def read_torn(spark: SparkSession, path: str, record: str) -> tuple[DataFrame, DataFrame]:
-    """S-10: JSON lines of one file whose last line may be torn.
+    """S-10: JSON lines of a file, or of files in order of their names, whose last line may be torn.
 
     (good rows, the torn line if any); a bad line before the last is an error.
     Only a line feed ends a line.
     """
     kind = schemas.schema(record)
     full = T.StructType([*kind.fields, T.StructField("__bad", T.StringType())])
-    lines = spark.read.option("lineSep", "\n").text(path).withColumn("at", F.monotonically_increasing_id()).filter(F.trim("value") != "")
+    lines = _lines(spark, path).filter(F.trim("value") != "")
     read = lines.withColumn("r", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}))
     bad = read.filter(F.col("r.__bad").isNotNull())
     last = lines.agg(F.max("at")).first()[0]
-    earlier = bad.filter(F.col("at") != F.lit(last)).select(F.substring("value", 1, 80)).limit(1).collect() if last is not None else []
+    earlier = bad.filter(F.col("at") != _place(last)).select(F.substring("value", 1, 80)).limit(1).collect() if last is not None else []
     if earlier:
         raise ValueError(f"a bad line that is not the last: {earlier[0][0]}")
     good = read.filter(F.col("r.__bad").isNull()).select(*[F.col(f"r.{f.name}") for f in kind.fields])
     return good, bad.select("value")
 
 
+def _place(at) -> Column:
+    """A line's place as a literal."""
+    return F.struct(F.lit(at["file"]).alias("file"), F.lit(at["start"]).cast("bigint").alias("start"), F.lit(at["line"]).cast("bigint").alias("line"))
+
+
 def repair_torn(spark: SparkSession, path: str, record: str) -> int:
     """S-10: drop a torn last line from JSON lines and put the rest in the file's place; the number of lines dropped.
 
@@ -165,9 +176,10 @@ def repair_torn(spark: SparkSession, path: str, record: str) -> int:
     _, torn = read_torn(spark, path, record)
     n = torn.count()
     if n:
-        lines = spark.read.option("lineSep", "\n").text(path).withColumn("at", F.monotonically_increasing_id())
+        lines = _lines(spark, path)
         last = lines.filter(F.trim("value") != "").agg(F.max("at")).first()[0]
-        lines.filter(F.col("at") < F.lit(last)).select("value").write.mode("overwrite").option("lineSep", "\n").text(path + ".next")
+        kept = lines.filter(F.col("at") < _place(last))
+        kept.repartitionByRange("at").sortWithinPartitions("at").select("value").write.mode("overwrite").option("lineSep", "\n").text(path + ".next")
         Store(spark, path).replace(path + ".next", path)
     return n
 
