@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from itertools import chain
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,8 +76,8 @@ def as_text(df: DataFrame) -> DataFrame:
     return df.select(*[cell(f.name, f.dataType).alias(f.name) for f in df.schema.fields])
 
 
-def write_csv(df: DataFrame, path: str, columns: Sequence[str], line_end: str = "\r\n") -> None:
-    """S-02: pinned columns; ``line_end`` as csv modules write it."""
+def write_csv(df: DataFrame, path: str, columns: Sequence[str], line_end: str = "\r\n", header: Sequence[str] | None = None) -> None:
+    """S-02: pinned columns; ``line_end`` as csv modules write it, and ``header``, if given, as the first line of each file."""
     rows = as_text(df.select(*columns))
     quoted = [F.when(F.regexp_like(c, F.lit('[",\r\n]')), F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(c)) for c in columns]
     lines = rows.select(F.concat_ws(",", *quoted).alias("value"))
@@ -87,6 +89,11 @@ def read_jsonl(spark: SparkSession, path: str | Sequence[str], record: str, rule
     paths = [path] if isinstance(path, str) else list(path)
     df = spark.read.schema(schemas.schema(record)).option("mode", "FAILFAST").option("lineSep", "\n").json(paths)
     return schemas.require(df, rules) if rules else df
+    if header is not None:
+        quote = lambda x: '"' + x.replace('"', '""') + '"' if any(c in x for c in ',"\r\n') else x
+        first = pa.array([",".join(quote(x) for x in header)])
+        # A task writes a file.
+        lines = lines.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([x], ["value"]) for x in chain([first], (b.column(0) for b in batches))), "value string")
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
