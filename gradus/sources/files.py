@@ -32,7 +32,8 @@ def placed_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataF
     splits = rows.groupBy("file", "__start").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
     before = Window.partitionBy("file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("file", "__start", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 2).alias("__shift"))
-    return rows.join(splits, ["file", "__start"]).withColumn("row", F.col("__at") + F.col("__shift")).select("file", "row", *raw.columns)
+    # A row for each split; rows of a file don't gather in one task.
+    return rows.join(F.broadcast(splits), ["file", "__start"]).withColumn("row", F.col("__at") + F.col("__shift")).select("file", "row", *raw.columns)
 
 
 def read_csv(spark: SparkSession, path: str, record: str, rules: Sequence[schemas.Rule] = (), multi_line: bool = True) -> DataFrame:
