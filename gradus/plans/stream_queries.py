@@ -103,7 +103,7 @@ def files_inferred(spark: SparkSession, d: str) -> DataFrame:
     """S-14: a table through CSV, its types found again from all values."""
     at = _place(spark, "inferred.csv")
     o = table(spark, d, "orders")
-    o.select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").alias("day"), (F.col("o_orderkey") % 2 == 0).alias("even")).write.option("header", True).csv(at)
+    o.select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").alias("day"), (F.col("o_orderkey") % 2 == 0).alias("even")).write.option("header", True).option("maxRecordsPerFile", 200_000).csv(at)  # a file is read by one task
     found = files.read_inferred(spark, at)
     if [t for _, t in found.dtypes] != ["bigint", "string", "double", "date", "boolean"]:
         raise ValueError(f"other types: {found.dtypes}")

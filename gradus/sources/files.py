@@ -49,7 +49,15 @@ def read_csv(spark: SparkSession, path: str, record: str, rules: Sequence[schema
     return typed.select(*kind.names)
 
 
-_INFERRED = ("bigint", "double", "boolean", "date", "timestamp")
+#: Types that are tried, and what texts of them look like at least: a cast that fails inside is dear, so other texts aren't cast.
+_EDGE = r"[\x00-\x20\x7f]*"
+_INFERRED = {
+    "bigint": rf"^{_EDGE}[-+]?[0-9]+{_EDGE}$",
+    "double": rf"(?i)^{_EDGE}[-+]?(nan|inf|infinity|0x[0-9a-f.]+p[-+]?[0-9]+|[0-9.]+(e[-+]?[0-9]+)?)[fd]?{_EDGE}$",
+    "boolean": "(?i)^(true|false)$",
+    "date": r"^\d{4}-\d\d-\d\d$",
+    "timestamp": r"^\d{4}-\d\d-\d\d[ T]\d\d:\d\d(:\d\d(\.\d+)?)?$",
+}
 
 
 def read_inferred(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
@@ -64,8 +72,7 @@ def read_inferred(spark: SparkSession, path: str, kind: str = "csv") -> DataFram
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     if not raw.columns:
         return raw
-    shape = {"date": r"^\d{4}-\d\d-\d\d$", "timestamp": r"^\d{4}-\d\d-\d\d[ T]\d\d:\d\d(:\d\d(\.\d+)?)?$", "boolean": "(?i)^(true|false)$"}
-    fits = lambda c, t: F.col(f"`{c}`").try_cast(t).isNotNull() & (F.col(f"`{c}`").rlike(shape[t]) if t in shape else F.lit(True))
+    fits = lambda c, t: F.when(F.col(f"`{c}`").rlike(_INFERRED[t]), F.col(f"`{c}`").try_cast(t)).isNotNull()
     seen = raw.agg(*[F.every(F.col(f"`{c}`").isNull() | fits(c, t)).alias(f"{i}_{t}") for i, c in enumerate(raw.columns) for t in _INFERRED], *[F.count(F.col(f"`{c}`")).alias(f"{i}_n") for i, c in enumerate(raw.columns)]).first()
     types = [next((t for t in _INFERRED if seen[f"{i}_n"] and seen[f"{i}_{t}"]), "string") for i in range(len(raw.columns))]
     return raw.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in zip(raw.columns, types, strict=True)])
@@ -82,6 +89,11 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str], line_end: str =
     rows = as_text(df.select(*columns))
     quoted = [F.when(F.regexp_like(c, F.lit('[",\r\n]')), F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(c)) for c in columns]
     lines = rows.select(F.concat_ws(",", *quoted).alias("value"))
+    if header is not None:
+        quote = lambda x: '"' + x.replace('"', '""') + '"' if any(c in x for c in ',"\r\n') else x
+        first = pa.array([",".join(quote(x) for x in header)])
+        # A task writes a file.
+        lines = lines.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([x], ["value"]) for x in chain([first], (b.column(0) for b in batches))), "value string")
     lines.write.mode("overwrite").option("lineSep", line_end).text(path)
 
 
@@ -90,11 +102,6 @@ def read_jsonl(spark: SparkSession, path: str | Sequence[str], record: str, rule
     paths = [path] if isinstance(path, str) else list(path)
     df = spark.read.schema(schemas.schema(record)).option("mode", "FAILFAST").option("lineSep", "\n").json(paths)
     return schemas.require(df, rules) if rules else df
-    if header is not None:
-        quote = lambda x: '"' + x.replace('"', '""') + '"' if any(c in x for c in ',"\r\n') else x
-        first = pa.array([",".join(quote(x) for x in header)])
-        # A task writes a file.
-        lines = lines.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([x], ["value"]) for x in chain([first], (b.column(0) for b in batches))), "value string")
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
