@@ -372,9 +372,9 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
     work = Workspace(docs.sparkSession, "passages")
     docs = docs.select(F.col(key), F.col(text).cast("string").alias(text))
     pools, parts = [], []
-    every = work.save(_seeds(docs, text, key), "seeds")
+    every = work.save(_seeds(docs, text, key).withColumn("slice", F.pmod(F.xxhash64("seed"), F.lit(SLICES)).cast("int")), "seeds", "slice")
     for part in range(SLICES):  # a slice's shuffle is gone before the next one's
-        seeds = every.filter(F.pmod(F.xxhash64("seed"), F.lit(SLICES)) == part)
+        seeds = every.filter(F.col("slice") == part).drop("slice")
         # Written, so that both sides of the join are plain shuffles, which the planner may split where a seed has many documents.
         ends = work.save(seeds.groupBy("seed").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), (F.count("*") > USED_UP).alias("many")).filter("a <> b"), f"ends{part}")
         work.release()

@@ -499,3 +499,16 @@ def test_surrogates_leave_nothing_private(spark, documents):
         if not any(re.search(p, d.text) for p in patterns) and not found[d.doc_id][1]:
             assert found[d.doc_id][0] == d.text
     assert seen > 5
+
+
+def test_a_slice_of_a_saved_table_reads_no_other(spark):
+    """op8's check in round 3: seeds were read whole for each of their slices, twice."""
+    from gradus.llm.common import _WRITERS, Workspace
+
+    work, before = Workspace(spark, "slices"), spark.conf.get(_WRITERS)
+    rows = spark.range(1000).selectExpr("id", "cast(id % 4 as int) as slice")
+    saved = work.save(rows, "t", "slice")
+    assert spark.conf.get(_WRITERS) == before
+    assert sorted(r.id for r in saved.filter("slice = 3").collect()) == list(range(3, 1000, 4))
+    plan = saved.filter("slice = 3").drop("slice")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(slice" in plan and saved.dtypes == rows.dtypes
