@@ -458,7 +458,7 @@ def join_components(docs: DataFrame, size: int = 3, percent: int = 90, text: str
     return work.finish(out.select(F.col(key), "n_shingles", F.when(F.col("n_shingles") == 0, F.col(key)).otherwise(F.col("component_id")).alias("component_id")))
 
 
-def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", turns: int | None = None) -> DataFrame:
     """docs with one row of each group of linked rows (see ``join_components``).
 
     Rows are told apart by a hash of all their columns, so repeated and null
@@ -471,7 +471,7 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "
     names = docs.columns
     row = F.xxhash64(*[F.col(f"`{c}`") for c in names])
     keyed = docs.select(row.alias("__row"), F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text"))
-    found = join_components(keyed, size, percent, "__text", "__row")
+    found = join_components(keyed, size, percent, "__text", "__row", turns)
     rows = work.save(found.filter("n_shingles > 0").groupBy("__row", "component_id").agg(F.count("*").alias("n")), "rows")
     groups = rows.groupBy("component_id").agg(F.sum("n").alias("rows")).filter("rows > 1")
     shared = work.save(rows.join(groups, "component_id").select("__row", "component_id", "n"), "shared")

@@ -512,3 +512,17 @@ def test_a_slice_of_a_saved_table_reads_no_other(spark):
     assert sorted(r.id for r in saved.filter("slice = 3").collect()) == list(range(3, 1000, 4))
     plan = saved.filter("slice = 3").drop("slice")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(slice" in plan and saved.dtypes == rows.dtypes
+
+
+def test_pipeline_makes_tiles_in_more_turns(spark, monkeypatch):
+    """The pipeline's executors held too many tiles in two turns."""
+    import corpus_pipeline
+    from gradus.llm import jaccard
+
+    def joined(docs, size, percent, text, key, turns=None):
+        raise InterruptedError(turns)
+
+    monkeypatch.setattr(jaccard, "join_components", joined)
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    with pytest.raises(InterruptedError, match="4"):
+        corpus_pipeline.near_duplicates(spark, docs, "")
