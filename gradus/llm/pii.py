@@ -25,10 +25,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import textkit as tk
-from .common import Workspace, map_rows
+from .common import Workspace, map_rows, pieces
 
 #: Redrawn entities that are broadcast; more of them are joined with the texts that name them.
 MAX_REDRAWN = 200_000
+#: Texts that a task holds as Python strings at a time; a batch holds eight times as many.
+TEXTS = 256
 DEFAULT_KEY = "change-me"
 
 # Titles by gender, given names by gender and script, syllables by script, mail providers.
@@ -336,7 +338,7 @@ def redrawn(docs: DataFrame, keyed: Keyed, work: Workspace, text: str = "text")
 
     def distinct(batches):
         for batch in batches:
-            seen = {(kind, entity) for _, hits in _found(batch.column(0)) for _, _, kind, entity in hits}
+            seen = {(kind, entity) for piece in pieces([batch], TEXTS) for _, hits in _found(piece.column(0)) for _, _, kind, entity in hits}
             pairs = sorted(seen)
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)], names=["kind", "entity"])
 
@@ -411,13 +413,13 @@ def replace(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text", most: i
 
     if changes.count() <= most:
         shared = docs.sparkSession.sparkContext.broadcast({(r.kind, r.entity): r.attempt if r.surrogate is None else r.surrogate for r in changes.collect()})
-        return map_rows(docs, [text], fields, lambda: lambda column: rewritten(column, repeat(shared.value)))
+        return map_rows(docs, [text], fields, lambda: lambda column: rewritten(column, repeat(shared.value)), TEXTS)
 
     # Too many to send everywhere: each text meets those of its own entities.
     rows = work.save(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
 
     def mentions(batches):
-        for batch in batches:
+        for batch in pieces(batches, TEXTS):
             ids, found = [], []
             for row, (_, hits) in zip(batch.column(0).to_pylist(), _found(batch.column(1)), strict=True):
                 own = sorted({(kind, entity) for _, _, kind, entity in hits})
@@ -435,7 +437,7 @@ def replace(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text", most: i
 
         return step
 
-    return map_rows(joined, [text, "__changes"], fields, make).drop("__changes")
+    return map_rows(joined, [text, "__changes"], fields, make, TEXTS).drop("__changes")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

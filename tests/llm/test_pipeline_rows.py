@@ -112,3 +112,22 @@ def test_odd_rows_in_every_stage(spark, stage, tmp_path):
         assert {r.text for r in got.collect()} >= {r[1] for r in rows if r[1] and re.search("[a-z]{3}", r[1])}
     assert rows_of(f(spark, plain, folder)) == rows_of(got)
     assert f(spark, plain.limit(0), folder).count() == 0
+
+
+def test_surrogates_hold_few_texts(spark, monkeypatch):
+    """The pipeline's check of round 3: of a batch only some texts are Python strings at a time, and none is lost."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from gradus.llm import common, pii
+
+    docs = spark.range(0, 1000, 1, 1).selectExpr("id as doc_id", "concat('write to user', id, '@mail', id, '.com') as text")
+    seen, keep = [], pii.map_rows
+    monkeypatch.setattr(pii, "map_rows", lambda *a: seen.append(a[4]) or keep(*a))
+    for most in (pii.MAX_REDRAWN, -1):  # broadcast, joined
+        out = pii.replace(docs, "k", most=most).join(docs.withColumnRenamed("text", "said"), "doc_id")
+        assert out.agg(F.count("*"), F.count_distinct("text"), F.sum("n_entities")).first()[:] == (1000, 1000, 1000)
+        assert out.filter("text = said").isEmpty()
+    assert seen == [pii.TEXTS, pii.TEXTS]
+    rows = lambda at: common.map_rows(docs, ["text"], [("n", T.LongType())], lambda: lambda c: [pa.array([len(c)] * len(c), pa.int64())], at)
+    assert rows(100).agg(F.max("n"), F.count("*")).first()[:] == (100, 1000) and rows(None).agg(F.max("n")).first()[0] > 100
